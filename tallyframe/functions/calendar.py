@@ -22,8 +22,9 @@ def _unit(freq: str) -> str:
 
 
 def period_start(ts: Column, freq: str) -> Column:
-    """First day of the period that holds ``ts``."""
-    return F.to_date(F.date_trunc(_unit(freq), ts))
+    """First day of the period that holds ``ts``, whatever the session's time zone."""
+    unit = _unit(freq)
+    return F.to_date(ts) if unit == "DAY" else F.trunc(F.to_date(ts), unit)
 
 
 def period_end(start: Column, freq: str) -> Column:
@@ -52,9 +53,8 @@ def weekday(ts: Column) -> Column:
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
-    """Elapsed whole days between two timestamps, floored, not calendar days."""
-    micros = F.unix_micros(later) - F.unix_micros(earlier)
-    return F.floor(micros / F.lit(86_400_000_000))
+    """Elapsed whole days from ``earlier`` to ``later``, not calendar days."""
+    return F.extract(F.lit("DAY"), later - earlier).cast("bigint")
 
 
 def season(ts: Column) -> Column:

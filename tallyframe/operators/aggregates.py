@@ -13,7 +13,7 @@ from tallyframe.functions.calendar import month_start, weekday
 from tallyframe.functions.rules import OTHER
 from tallyframe.functions.stats import exact_quantiles, expense_of, income_of, percent_change, share
 from tallyframe.operators.cleaning import map_columns_if_missing
-from tallyframe.operators.tables import filter_transactions
+from tallyframe.operators.tables import filter_transactions, moment
 
 
 def zero(col: Column) -> Column:
@@ -58,8 +58,8 @@ def category_breakdown(df: DataFrame) -> DataFrame:
 def transaction_stats(df: DataFrame, end, start=None, days: int = 30) -> DataFrame:
     """Totals of a window that ends at ``end`` and the signed sum per category as a map. Rows are
     summed per category first; only those sums meet in one row."""
-    last = F.lit(end).cast("timestamp")
-    first = F.lit(start).cast("timestamp") if start else last - F.expr(f"interval {days} days")
+    last = moment(df, end)
+    first = moment(df, start) if start else last - F.expr(f"interval {days} days")
     window = (F.col("transaction_date") >= first) & (F.col("transaction_date") <= last)
     sums = df.filter(window).groupBy("category").agg(
         spent().alias("spent"), earned().alias("earned"), F.sum("amount").alias("total")
@@ -76,8 +76,8 @@ def transaction_stats(df: DataFrame, end, start=None, days: int = 30) -> DataFra
 def category_stats(df: DataFrame, name: str, end, start=None, days: int = 30) -> DataFrame:
     """Figures of one category in a window, its share of the whole window, and the change between
     its last two observed months. One pass; a month of the category is one row after it."""
-    last = F.lit(end).cast("timestamp")
-    first = F.lit(start).cast("timestamp") if start else last - F.expr(f"interval {days} days")
+    last = moment(df, end)
+    first = moment(df, start) if start else last - F.expr(f"interval {days} days")
     window = (F.col("transaction_date") >= first) & (F.col("transaction_date") <= last)
     mine = F.coalesce(F.col("category") == name, F.lit(False))
     monthly = (
@@ -141,9 +141,10 @@ def monthly_category_pivot(df: DataFrame, categories: Sequence[str]) -> DataFram
 
 
 def monthly_balance(df: DataFrame, month) -> DataFrame:
+    date, kind = F.col("transaction_date"), df.schema["transaction_date"].dataType
     first = F.lit(month).cast("date")
-    date = F.col("transaction_date")
-    inside = df.filter((date >= first) & (date < F.add_months(first, 1)))
+    begin, end = first.cast(kind), F.add_months(first, 1).cast(kind)
+    inside = df.filter((date >= begin) & (date < end))
     return inside.agg(earned().alias("income"), spent().alias("expenses")).withColumn(
         "balance", F.col("income") - F.col("expenses")
     )

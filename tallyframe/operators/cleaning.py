@@ -87,7 +87,10 @@ def coerce_dates(
     """Parse dates, bad text to null. Text is tried as ISO first, then in ``formats`` order."""
     if column not in df.columns:
         return df
-    if not _is_text(df, column):
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return df
+    if not isinstance(kind, T.StringType):
         return df.withColumn(column, _c(column).cast("timestamp"))
     tries = [F.try_to_timestamp(_c(column))]
     tries += [F.try_to_timestamp(_c(column), F.lit(f)) for f in formats]

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from tallyframe.functions.calendar import month_start, whole_days
 from tallyframe.functions.rules import OTHER
-from tallyframe.functions.stats import expense_of, income_of
+from tallyframe.functions.stats import expense_of, income_of, share
 from tallyframe.functions.text import amount_text
 from tallyframe.operators.cleaning import select_expenses
 from tallyframe.schemas import REC
@@ -102,7 +102,7 @@ def _message(kind: str, *values: Column) -> Column:
 
 def rec_high_spending(patterns: DataFrame) -> DataFrame:
     """Recent spending above the usual threshold by more than 10 % and 5 units."""
-    over = (F.col("recent_spending") - F.col("avg_spending")) / F.col("avg_spending") * 100
+    over = share(F.col("recent_spending") - F.col("avg_spending"), F.col("avg_spending"))
     saving = F.col("recent_spending") - F.col("avg_spending")
     hit = patterns.filter("recent_spending > threshold and months_count >= 3").filter(
         (over > 10) & (saving > 5)
@@ -116,7 +116,7 @@ def rec_high_spending(patterns: DataFrame) -> DataFrame:
         message=text,
         amount=F.round(over, 1),
         savings_potential=F.round(saving, 2),
-        priority=F.least(F.lit(90), over.cast("int")),
+        priority=F.least(F.lit(90.0), over).cast("int"),
         confidence=F.lit(0.8),
     )
 
@@ -145,7 +145,7 @@ def rec_saving_opportunity(
         category=F.col("category"),
         message=text,
         savings_potential=F.round(saving, 2),
-        priority=F.least(F.lit(60), (saving / 5).cast("int")),
+        priority=F.least(F.lit(60.0), saving / 5).cast("int"),
         confidence=F.lit(0.7),
         action=action,
     )
@@ -155,7 +155,7 @@ def rec_spending_trend(patterns: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Mean forecast more than 20 % above the historical mean."""
     ahead = forecasts.groupBy("category").agg(F.abs(F.avg("amount")).alias("ahead"))
     usual = F.col("avg_spending")
-    rise = (F.col("ahead") - usual) / usual * 100
+    rise = share(F.col("ahead") - usual, usual)
     hit = patterns.join(ahead, "category").filter(F.col("ahead") > usual * 1.2)
     return _rec(
         hit,
@@ -164,7 +164,7 @@ def rec_spending_trend(patterns: DataFrame, forecasts: DataFrame) -> DataFrame:
         message=_message("spending_trend", F.col("category"), amount_text(rise, 1)),
         percentage=F.round(rise, 1),
         savings_potential=(F.col("ahead") - usual) * 0.5,
-        priority=F.least(F.lit(80), rise.cast("int")),
+        priority=F.least(F.lit(80.0), rise).cast("int"),
         confidence=F.lit(0.75),
     )
 
@@ -223,7 +223,8 @@ def recurring_charges(
         F.sum("_gap").alias("gaps"),
         F.max("_last").alias("last_date"),
     )
-    variation = F.sqrt(F.try_divide("m2", F.col("charges") - 1)) / F.col("amount")
+    deviation = F.sqrt(F.try_divide("m2", F.col("charges") - 1))
+    variation = F.try_divide(deviation, "amount")
     steady = (
         found.filter(
             (F.col("occurrences") >= min_occurrences)
@@ -234,14 +235,14 @@ def recurring_charges(
         .filter(variation <= max_variance)
         .filter("longest - shortest <= 5 and gaps > 0")
     )
-    frequency = F.col("gaps") / (F.col("dated") - 1)
+    frequency = F.try_divide(F.col("gaps"), F.col("dated") - 1)
     return steady.withColumn("frequency_days", frequency).select(
         *ids,
         "amount",
         "frequency_days",
         "occurrences",
         "last_date",
-        (F.col("amount") * (365 / F.col("frequency_days"))).alias("annual_cost"),
+        (F.col("amount") * F.try_divide(F.lit(365), "frequency_days")).alias("annual_cost"),
     )
 
 
@@ -256,7 +257,7 @@ def rec_recurring_charge(charges: DataFrame) -> DataFrame:
         amount=F.round("amount", 2),
         annual_cost=F.round(annual, 2),
         savings_potential=annual * 0.5,
-        priority=F.least(F.lit(70), (annual / 10).cast("int")),
+        priority=F.least(F.lit(70.0), annual / 10).cast("int"),
         confidence=F.lit(0.8),
     )
 

@@ -16,6 +16,12 @@ def _all(*conditions: Column | None) -> Column:
     return combined
 
 
+def moment(df: DataFrame, value) -> Column:
+    """A point in time in the type of the date column, so that a comparison casts the literal and
+    not the column, and still reaches the scan."""
+    return F.lit(value).cast(df.schema["transaction_date"].dataType)
+
+
 def filter_transactions(
     df: DataFrame,
     start=None,
@@ -28,8 +34,8 @@ def filter_transactions(
     date, amount = F.col("transaction_date"), F.col("amount")
     return df.filter(
         _all(
-            date >= F.lit(start).cast("timestamp") if start else None,
-            date <= F.lit(end).cast("timestamp") if end else None,
+            date >= moment(df, start) if start else None,
+            date <= moment(df, end) if end else None,
             F.col("category") == category if category else None,
             amount >= min_amount if min_amount is not None else None,
             amount <= max_amount if max_amount is not None else None,

@@ -262,8 +262,8 @@ def fill_gaps(
     per series and day; each row spreads over the gap that follows it, so neither a join nor a
     second aggregate is needed."""
     after = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
-    last = F.coalesce(F.date_sub(after, 1), F.col(date))
-    days = daily.withColumn("_day", F.explode(F.sequence(F.col(date), last)))
+    spans = daily.withColumn("_last", F.coalesce(F.date_sub(after, 1), F.col(date)))
+    days = spans.withColumn("_day", F.explode(F.sequence(F.col(date), F.col("_last"))))
     filled = F.when(F.col("_day") == F.col(date), F.coalesce(value, F.lit(0.0))).otherwise(0.0)
     return days.select(*keys, F.col("_day").alias(date), filled.alias(value))
 
