@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.rules import DEFAULT, Rules, keyword_category
+from tallyframe.functions.rules import DEFAULT, Rules, with_keyword_category
 from tallyframe.operators.categorize import keyword_categorize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,17 +79,17 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     description = word(key % 12)
     amount = F.when((key % 12).isin(9, 10), F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
-    category = (
-        F.when(key % 5 == 0, None).when(key % 5 == 1, "").otherwise(keyword_category(description))
-    )
-    return table(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").select(
         key.cast("string").alias("id"),
         F.col("o_custkey").cast("string").alias("account_id"),
         F.col("o_orderdate").alias("transaction_date"),
         description.alias("description"),
         amount.alias("amount"),
-        category.alias("category"),
+        (key % 5).alias("kind"),
     )
+    known = with_keyword_category(rows, "description", "category")
+    category = F.when(F.col("kind") == 1, "").when(F.col("kind") > 1, F.col("category"))
+    return known.withColumn("category", category).drop("kind")
 
 
 _DESC = f"{SQL_WORDS}[o_orderkey % 12 + 1]"

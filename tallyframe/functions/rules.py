@@ -75,10 +75,9 @@ RULE_SETS: dict[str, Rules] = {
 }
 
 
-def keyword_category(text: Column, rules: Rules = DEFAULT) -> Column:
-    """Category of a text: substring match in lower case, rule order decides, else ``other``."""
-    lowered = F.lower(text)
-    chain = F.when(text.isNull(), F.lit(OTHER))
+def category_of(lowered: Column, rules: Rules = DEFAULT) -> Column:
+    """Category of a lower-case text: substring match, rule order decides, else ``other``."""
+    chain = F.when(lowered.isNull(), F.lit(OTHER))
     for category, keywords in rules:
         if not keywords:
             continue
@@ -89,6 +88,15 @@ def keyword_category(text: Column, rules: Rules = DEFAULT) -> Column:
     return chain.otherwise(F.lit(OTHER))
 
 
+def with_keyword_category(
+    df: DataFrame, column: str, out: str, rules: Rules = DEFAULT
+) -> DataFrame:
+    """Adds ``out``, the keyword category of a text column. The lower-case text is a column of its
+    own: an expression inside the chain would be evaluated again for every keyword."""
+    lowered = df.withColumn("_lowered", F.lower(column))
+    return lowered.withColumn(out, category_of(F.col("_lowered"), rules)).drop("_lowered")
+
+
 def rules_from_table(table: DataFrame, limit: int = 10_000) -> Rules:
     """Rules kept as a table ``(seq, category, keywords)``. They become literals in the plan, so
     the table is refused when it is larger than ``limit`` rows."""

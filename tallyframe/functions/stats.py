@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tallyframe.session import materialize
+
 
 def share(part: Column, whole: Column) -> Column:
     """Percentage with a null for a zero whole."""
@@ -35,6 +37,7 @@ def _locate(
     borders = rows.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, grid, 10 * buckets)).alias("_borders")
     )
+    borders = materialize(borders)
     split = rows.join(F.broadcast(borders), keys).select(
         *keys, value, F.size(F.filter("_borders", lambda b: b < F.col(value))).alias(bucket)
     )
@@ -47,6 +50,7 @@ def _locate(
         .withColumn("_rank", F.col("_rank") - F.col("_before"))
         .drop("_before", "_rows")
     )
+    located = materialize(located)
     hit = located.select(*keys, bucket).distinct()
     return split.join(F.broadcast(hit), [*keys, bucket], "left_semi"), located
 
@@ -65,7 +69,9 @@ def exact_quantiles(
     keys x buckets rows. Each level takes a fixed-size sketch as range borders, counts the ranges
     exactly and goes on with those that hold a wanted rank; after two levels about 1/16000 of the
     rows is left to rank. Borders decide the speed, never the result, and equal values collapse to
-    one counted row before they are ordered, so no value can be too frequent.
+    one counted row before they are ordered, so no value can be too frequent. Sketches and located
+    ranks, a few rows each, are written out: a level is two map-side passes over the input and
+    nothing but partial sums is shuffled.
     """
     rows = long.select(key, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
     position = F.col("prob") * (F.col("_n") - 1)

@@ -125,7 +125,7 @@ def category_share(df: DataFrame, expenses_only: bool = True) -> DataFrame:
     if expenses_only:
         totals = totals.filter("amount < 0 and category <> 'income'")
     totals = totals.withColumn("amount", F.abs("amount"))
-    whole = totals.agg(F.sum("amount")).scalar()
+    whole = F.sum("amount").over(Window.partitionBy())  # one row per category
     return totals.withColumn("percentage", share(F.col("amount"), whole))
 
 

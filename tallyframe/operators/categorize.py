@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.rules import DEFAULT, Rules, keyword_category
+from tallyframe.functions.rules import DEFAULT, Rules, with_keyword_category
 from tallyframe.functions.text import normalize_text
 
 
@@ -18,10 +18,11 @@ def keyword_categorize(
 ) -> DataFrame:
     """Fill null and empty categories by keyword, or all of them with ``overwrite``. A map-only
     expression: nothing is shuffled and no Python runs per row."""
-    found = keyword_category(F.col(column), rules)
-    if not overwrite and "category" in df.columns:
-        found = F.when(is_uncategorized(), found).otherwise(F.col("category"))
-    return df.withColumn("category", found)
+    if overwrite or "category" not in df.columns:
+        return with_keyword_category(df, column, "category", rules)
+    found = with_keyword_category(df, column, "_found", rules)
+    kept = F.when(is_uncategorized(), F.col("_found")).otherwise(F.col("category"))
+    return found.withColumn("category", kept).drop("_found")
 
 
 def training_set(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import normalize_text
 from tallyframe.operators.categorize import is_uncategorized, tfidf_vocabulary
+from tallyframe.session import materialize
 
 MIN_EXAMPLES = 10
 MAX_FEATURES = 5000
@@ -57,7 +58,8 @@ def train_categorizer(df: DataFrame, id_col: str = "id") -> tuple[PipelineModel,
     """Multinomial naive Bayes over word weights; returns the model and its validation accuracy.
 
     Examples with the same text and label are counted first and enter as one weighted row, so the
-    passes of the fit run over distinct texts instead of over all transactions.
+    passes of the fit run over distinct texts, written out once, instead of over all
+    transactions.
     """
     examples = (
         holdout(df.dropna(subset=["description", "category"]), id_col)
@@ -65,6 +67,7 @@ def train_categorizer(df: DataFrame, id_col: str = "id") -> tuple[PipelineModel,
         .groupBy("_text", "category", "is_validation")
         .agg(F.count("*").cast("double").alias("weight"))
     )
+    examples = materialize(examples)
     total = examples.agg(F.sum("weight")).first()[0] or 0
     if total < MIN_EXAMPLES:
         raise ValueError(f"Need at least {MIN_EXAMPLES} examples to train a model")

@@ -14,6 +14,7 @@ from tallyframe.functions.stats import expense_of, income_of, share
 from tallyframe.functions.text import amount_text
 from tallyframe.operators.cleaning import select_expenses
 from tallyframe.schemas import REC
+from tallyframe.session import materialize
 
 # Ways to save per category.
 SAVINGS_ACTIONS = {
@@ -68,15 +69,15 @@ def spending_patterns(
 ) -> DataFrame:
     """Statistics of the observed months per category. ``recent`` is the mean over the last three
     months seen in any category. With ``keys`` each key value is judged on its own months."""
-    monthly = monthly_category_spending(df, mode, keys)
-    newest = F.slice(F.sort_array(F.collect_set("month"), False), 1, 3)
-    if keys:
-        cutoffs = monthly.groupBy(*keys).agg(F.element_at(newest, -1).alias("_cutoff"))
-        monthly, cutoff = monthly.join(cutoffs, list(keys)), F.col("_cutoff")
-    else:
-        cutoff = monthly.agg(F.try_element_at(newest, F.lit(-1))).scalar()
-    recent = F.avg(F.when(F.col("month") >= cutoff, F.col("spending")))
-    stats = monthly.groupBy(*keys, "category").agg(
+    return patterns_of(monthly_category_spending(df, mode, keys), pct, keys)
+
+
+def patterns_of(monthly: DataFrame, pct: float = 75, keys: Sequence[str] = ()) -> DataFrame:
+    """``spending_patterns`` from the monthly sums. The months of one key value are ranked together:
+    one row per month and category, however many transactions there were."""
+    age = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("month")))
+    recent = F.avg(F.when(F.col("_age") <= 3, F.col("spending")))
+    stats = monthly.withColumn("_age", age).groupBy(*keys, "category").agg(
         F.avg("spending").alias("avg_spending"),
         F.percentile("spending", 0.5).alias("median_spending"),
         F.percentile("spending", pct / 100).alias("threshold"),
@@ -313,10 +314,12 @@ def rec_habit(recs: DataFrame) -> DataFrame:
 def all_recommendations(
     df: DataFrame, forecasts: DataFrame | None = None, mode: str = "signed"
 ) -> DataFrame:
-    """Every recommendation with its rule number ``seq``, not ranked or cut."""
+    """Every recommendation with its rule number ``seq``, not ranked or cut. The monthly sums feed
+    three rules and the list feeds its own last rule; both are small against the transactions and
+    are written out once instead of computed again."""
     recs = []
     if "category" in df.columns:
-        patterns = spending_patterns(df, mode=mode)
+        patterns = patterns_of(materialize(monthly_category_spending(df, mode)))
         recs += [rec_high_spending(patterns), rec_saving_opportunity(patterns)]
         if forecasts is not None:
             recs.append(rec_spending_trend(patterns, forecasts))
@@ -326,6 +329,7 @@ def all_recommendations(
     union = recs[0]
     for more in recs[1:]:
         union = union.unionByName(more)
+    union = materialize(union)
     union = union.unionByName(rec_habit(union))
     return union.withColumn("category", F.coalesce("category", F.lit("general")))
 

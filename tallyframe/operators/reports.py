@@ -77,11 +77,12 @@ def report_summary(df: DataFrame) -> DataFrame:
 
 
 def _by_category(df: DataFrame, sign: str) -> DataFrame:
-    """``(category, amount, n)`` of one sign, categories without such rows left out."""
-    rows = report_rollup(df).filter((F.col(f"n_{sign}") > 0) & F.col("category").isNotNull())
-    return rows.groupBy("category").agg(
-        F.sum(sign).alias("amount"), F.sum(f"n_{sign}").alias("n")
-    )
+    """``(category, amount, n, whole)`` of one sign, categories without such rows left out. ``whole``
+    is the total over all rows; the window behind it has one row per category."""
+    rows = report_rollup(df).filter(F.col(f"n_{sign}") > 0).groupBy("category")
+    sums = rows.agg(F.sum(sign).alias("amount"), F.sum(f"n_{sign}").alias("n"))
+    whole = F.sum("amount").over(Window.partitionBy())
+    return sums.withColumn("whole", whole).filter(F.col("category").isNotNull())
 
 
 def _monthly(df: DataFrame, sign: str) -> DataFrame:
@@ -101,10 +102,9 @@ def top_categories(df: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _shares(df: DataFrame, sign: str) -> DataFrame:
-    rollup = report_rollup(df)
-    whole = rollup.agg(_total(sign)).scalar()
-    rows = _by_category(rollup, sign).filter(F.col("amount") >= 0.01 * whole)
-    return rows.select("category", "amount", share(F.col("amount"), whole).alias("percentage"))
+    rows = _by_category(df, sign).filter("amount >= 0.01D * whole")
+    percentage = share(F.col("amount"), F.col("whole")).alias("percentage")
+    return rows.select("category", "amount", percentage)
 
 
 def income_sources(df: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def category_section(df: DataFrame) -> DataFrame:
         F.sum("n").alias("transaction_count"),
         F.sort_array(F.collect_list(F.struct("month", "value"))).alias("months"),
     )
-    whole = rollup.agg(_total("expense")).scalar()
+    whole = F.sum("amount").over(Window.partitionBy())  # one row per category
     last = F.try_element_at("months", F.lit(-1))["value"]
     previous = F.try_element_at("months", F.lit(-2))["value"]
     rows = rows.withColumn("share", share(F.col("amount"), whole))
@@ -183,9 +183,10 @@ def category_section(df: DataFrame) -> DataFrame:
 
 def pie_buckets(df: DataFrame) -> DataFrame:
     """Rounded expense shares, those below three percent folded into ``Other``."""
-    totals = _by_category(report_rollup(df), "expense")
-    whole = totals.agg(_total("amount")).scalar()
-    pct = F.round(share(F.col("amount"), whole), 1)
+    totals = _by_category(df, "expense").filter("category is not null")
+    whole = F.sum("amount").over(Window.partitionBy())  # one row per category
+    totals = totals.withColumn("pct", F.round(share(F.col("amount"), whole), 1))
+    pct = F.col("pct")
     slice_name = F.when(pct >= 3, F.col("category")).otherwise("Other")
     return totals.groupBy(slice_name.alias("slice")).agg(F.sum(pct).alias("percentage"))
 

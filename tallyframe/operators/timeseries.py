@@ -269,12 +269,13 @@ def fill_gaps(
 
 
 def time_series_features(
-    df: DataFrame, freq: str = "D", keys: Sequence[str] = CATEGORY
+    df: DataFrame, freq: str = "D", keys: Sequence[str] = CATEGORY, guard: bool = True
 ) -> DataFrame:
     """Series with calendar, lag, rolling, season and outlier columns. All windows share one
-    partitioning and one sort order, so the series is shuffled once after the sums."""
+    partitioning and one sort order, so the series is shuffled once after the sums. ``guard=False``
+    saves the row count that ``pct_change_features`` makes for very short tables."""
     series = cyclic_features(temporal_features(to_time_series(df, freq, keys)))
-    series = pct_change_features(lag_features(series, keys=keys), keys=keys)
+    series = pct_change_features(lag_features(series, keys=keys), keys=keys, force=not guard)
     series = rolling_std(rolling_mean(series, keys=keys), keys=keys)
     return outliers_zscore(seasonal_features(series), keys=keys)
 
