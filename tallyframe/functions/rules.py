@@ -75,17 +75,19 @@ RULE_SETS: dict[str, Rules] = {
 }
 
 
-def category_of(lowered: Column, rules: Rules = DEFAULT) -> Column:
-    """Category of a lower-case text: substring match, rule order decides, else ``other``."""
-    chain = F.when(lowered.isNull(), F.lit(OTHER))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def category_of(lowered: str, rules: Rules = DEFAULT) -> Column:
+    """Category of a lower-case text column: substring match, rule order decides, else ``other``.
+    One SQL expression, because a hundred Column calls would cost more than the query."""
+    cases = [f"WHEN {lowered} IS NULL THEN {_quoted(OTHER)}"]
     for category, keywords in rules:
-        if not keywords:
-            continue
-        hit = F.lit(False)
-        for word in keywords:
-            hit = hit | lowered.contains(word)
-        chain = chain.when(hit, F.lit(category))
-    return chain.otherwise(F.lit(OTHER))
+        if keywords:
+            hits = " OR ".join(f"contains({lowered}, {_quoted(word)})" for word in keywords)
+            cases.append(f"WHEN {hits} THEN {_quoted(category)}")
+    return F.expr(f"CASE {' '.join(cases)} ELSE {_quoted(OTHER)} END")
 
 
 def with_keyword_category(
@@ -94,7 +96,7 @@ def with_keyword_category(
     """Adds ``out``, the keyword category of a text column. The lower-case text is a column of its
     own: an expression inside the chain would be evaluated again for every keyword."""
     lowered = df.withColumn("_lowered", F.lower(column))
-    return lowered.withColumn(out, category_of(F.col("_lowered"), rules)).drop("_lowered")
+    return lowered.withColumn(out, category_of("_lowered", rules)).drop("_lowered")
 
 
 def rules_from_table(table: DataFrame, limit: int = 10_000) -> Rules:

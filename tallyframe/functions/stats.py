@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallyframe.session import materialize
-
 
 def share(part: Column, whole: Column) -> Column:
     """Percentage with a null for a zero whole."""
@@ -29,80 +30,103 @@ def income_of(amount: Column) -> Column:
     return F.when(amount > 0, amount)
 
 
-def _locate(
-    rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, bucket: str, buckets: int
-) -> tuple[DataFrame, DataFrame]:
-    """Split every key into ``buckets`` ranges and keep the ranges that hold a wanted rank."""
-    grid = [i / buckets for i in range(1, buckets)]
-    borders = rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, grid, 10 * buckets)).alias("_borders")
-    )
-    borders = materialize(borders)
-    split = rows.join(F.broadcast(borders), keys).select(
-        *keys, value, F.size(F.filter("_borders", lambda b: b < F.col(value))).alias(bucket)
-    )
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = split.groupBy(*keys, bucket).agg(F.count("*").alias("_rows"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    located = (
-        wanted.join(counts, keys)
-        .filter("_rank >= _before and _rank < _before + _rows")
-        .withColumn("_rank", F.col("_rank") - F.col("_before"))
-        .drop("_before", "_rows")
-    )
-    located = materialize(located)
-    hit = located.select(*keys, bucket).distinct()
-    return split.join(F.broadcast(hit), [*keys, bucket], "left_semi"), located
+ACCURACY = 10_000
+
+
+class _Target:
+    """One wanted quantile: its rank, and the value range that is known to hold it."""
+
+    def __init__(self, column: str, prob: float, count: int):
+        self.column, self.prob = column, prob
+        position = prob * (count - 1)
+        self.low_rank = int(position)
+        self.part = position - self.low_rank
+        self.high_rank = min(self.low_rank + 1, count - 1) if self.part else self.low_rank
+        self.low, self.high, self.below, self.inside = -math.inf, math.inf, 0, count
+        self.room = 3 / ACCURACY
+
+    def grid(self) -> list[float]:
+        """Shares of the rows in range between which both ranks lie, with room for the sketch."""
+        first = (self.low_rank - self.below) / self.inside - self.room
+        last = (self.high_rank - self.below + 1) / self.inside + self.room
+        return [max(first, 0.0), min(last, 1.0)]
+
+    def value(self) -> Column:
+        return F.col(f"`{self.column}`").cast("double")
+
+    def in_range(self) -> Column:
+        return (self.value() >= self.low) & (self.value() <= self.high)
+
+
+def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
+    """Close in on every target until few rows are left in its range. A round is two passes that
+    return a few numbers: a sketch for a tighter range, then exact counts below and inside it."""
+    open_targets = [t for t in targets if t.inside > small]
+    while open_targets:
+        sketches = df.agg(
+            *[F.percentile_approx(F.when(t.in_range(), t.value()), t.grid(), ACCURACY)
+              for t in open_targets]
+        ).first()
+        before = [(t.low, t.high, t.below, t.inside) for t in open_targets]
+        for target, (low, high) in zip(open_targets, sketches):
+            target.low, target.high = low, high
+        counts = df.agg(
+            *[F.count_if(t.value() < t.low) for t in open_targets],
+            *[F.count_if(t.in_range()) for t in open_targets],
+        ).first()
+        again = []
+        for i, (target, old) in enumerate(zip(open_targets, before)):
+            target.below, target.inside = counts[i], counts[i + len(open_targets)]
+            end = target.below + target.inside
+            if not target.below <= target.low_rank <= target.high_rank < end:
+                # The sketch was off by more than its bound: take the old range with more room.
+                target.low, target.high, target.below, target.inside = old
+                target.room *= 4
+                if target.room < 1:
+                    again.append(target)
+            elif small < target.inside < old[-1] and target.low < target.high:
+                again.append(target)
+        open_targets = again
 
 
 def exact_quantiles(
-    long: DataFrame,
-    key: str,
-    value: str,
-    probs: Sequence[float],
-    buckets: int = 128,
-    levels: int = 2,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = 1_000_000
 ) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per ``key`` as rows ``(key, prob, quantile)``.
-
-    ``key`` names one of a few columns or measures, so everything broadcast here has at most
-    keys x buckets rows. Each level takes a fixed-size sketch as range borders, counts the ranges
-    exactly and goes on with those that hold a wanted rank; after two levels about 1/16000 of the
-    rows is left to rank. Borders decide the speed, never the result, and equal values collapse to
-    one counted row before they are ordered, so no value can be too frequent. Sketches and located
-    ranks, a few rows each, are written out: a level is two map-side passes over the input and
-    nothing but partial sums is shuffled.
+    """Linear-interpolated quantiles of numeric columns as rows ``(column_name, prob, quantile)``.
+
+    A sketch only tells where to look; the counts that follow are exact. The rows left in a range
+    are grouped by value before they are ordered, so the ordered part has at most ``small`` rows
+    per quantile, or one when a single value fills the range, however large the table is.
     """
-    rows = long.select(key, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
-    position = F.col("prob") * (F.col("_n") - 1)
-    wanted = (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .select(key, "_n", F.explode(F.array(*map(F.lit, probs))).alias("prob"))
-        .withColumn("_low", F.floor(position))
-        .withColumn("_part", position - F.col("_low"))
-        .select(
-            key,
-            "prob",
-            F.inline(
-                F.array(
-                    F.struct(F.col("_low").alias("_rank"), (1 - F.col("_part")).alias("_w")),
-                    F.struct((F.col("_low") + 1).alias("_rank"), F.col("_part").alias("_w")),
-                )
-            ),
-        )
-        .filter("_w > 0")
+    numbers = df.select(
+        *[F.nullif(F.col(f"`{c}`").cast("double"), F.lit(math.nan)).alias(c) for c in columns]
+    )
+    counts = numbers.agg(*[F.count(f"`{c}`") for c in columns]).first()
+    targets = [_Target(c, p, n) for c, n in zip(columns, counts) if n for p in probs]
+    _narrow(numbers, targets, small)
+    schema = "column_name string, prob double, low_rank long, high_rank long, part double, " \
+             "low double, high double, below long"
+    wanted = df.sparkSession.createDataFrame(
+        [(t.column, t.prob, t.low_rank, t.high_rank, t.part, t.low, t.high, t.below)
+         for t in targets], schema,
     )
-    keys = [key]
-    for level in range(levels):
-        rows, wanted = _locate(rows, wanted, keys, value, f"_b{level}", buckets)
-        keys = [*keys, f"_b{level}"]
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_rows"))
-    upto = F.sum("_rows").over(Window.partitionBy(*keys).orderBy(value))
-    counted = counted.withColumn("_end", upto)
+    kept = []
+    for column in columns:
+        mine = [t.in_range() for t in targets if t.column == column]
+        if mine:
+            value = F.when(reduce(or_, mine), F.col(f"`{column}`"))
+            kept.append(F.struct(F.lit(column).alias("column_name"), value.alias("value")))
+    rows = numbers.select(F.inline(F.array(*kept))).filter("value is not null")
+    counted = rows.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    near = counted.join(F.broadcast(wanted), "column_name").filter("value between low and high")
+    order = Window.partitionBy("column_name", "prob").orderBy("value")
+    near = near.withColumn("end", F.col("below") + F.sum("n").over(order))
+    weight = F.when(F.expr("low_rank >= end - n and low_rank < end"), 1 - F.col("part")).otherwise(
+        0.0
+    ) + F.when(F.expr("high_rank >= end - n and high_rank < end"), F.col("part")).otherwise(0.0)
     return (
-        counted.join(F.broadcast(wanted), keys)
-        .filter("_rank >= _end - _rows and _rank < _end")
-        .groupBy(key, "prob")
-        .agg(F.sum(F.col(value) * F.col("_w")).alias("quantile"))
+        near.withColumn("weight", weight)
+        .filter("weight > 0")
+        .groupBy("column_name", "prob")
+        .agg(F.sum(F.col("value") * F.col("weight")).alias("quantile"))
     )

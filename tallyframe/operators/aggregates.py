@@ -228,8 +228,7 @@ def profile_table(df: DataFrame) -> DataFrame:
     profile = df.agg(*aggs).select(F.inline(F.array(*rows)))
     if not numbers:
         return profile.select("*", *[empty.alias(q) for q in ("q25", "q50", "q75")])
-    quartiles = exact_quantiles(_stack(df, numbers, "double"), "column_name", "value",
-                                (0.25, 0.5, 0.75))
+    quartiles = exact_quantiles(df, numbers, (0.25, 0.5, 0.75))
     wide = quartiles.groupBy("column_name").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
