@@ -22,6 +22,17 @@ def percent_change(new: Column, old: Column) -> Column:
     return F.when(old > 0, (new - old) / old * 100)
 
 
+def correlation(y: str, x: str | Column) -> Column:
+    """Pearson correlation of two columns without nulls; null, not an error, without variance."""
+    spread = F.stddev_pop(y) * F.stddev_pop(x)
+    return F.try_divide(F.covar_pop(y, x), spread)
+
+
+def slope(y: str, x: str | Column) -> Column:
+    """Least-squares slope; null, not an error, for a single point."""
+    return F.try_divide(F.regr_sxy(y, x), F.regr_sxx(y, x))
+
+
 def expense_of(amount: Column) -> Column:
     return F.when(amount < 0, -amount)
 

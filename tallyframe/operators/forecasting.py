@@ -273,9 +273,9 @@ def forecast_trend_seasonal(
     )
     own = Window.partitionBy(*keys)
     rows = rows.withColumn("t", F.datediff("date", F.min("date").over(own)).cast("double"))
-    slope = F.regr_slope("y", "t").over(own)
-    intercept = F.regr_intercept("y", "t").over(own)
-    rows = rows.withColumn("trend", intercept + slope * F.col("t"))
+    b = F.try_divide(F.regr_sxy("y", "t").over(own), F.regr_sxx("y", "t").over(own))
+    a = F.avg("y").over(own) - b * F.regr_avgx("y", "t").over(own)
+    rows = rows.withColumn("trend", a + b * F.col("t"))
     rows = rows.withColumn("ratio", F.try_divide("y", "trend"))
     one = F.lit(1.0)
     rows = rows.withColumn("wd", cal.weekday(F.col("date"))).withColumn("mo", F.month("date"))

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyframe.functions.calendar import month_start, whole_days
-from tallyframe.functions.stats import expense_of, income_of, percent_change, share
+from tallyframe.functions.stats import (
+    correlation,
+    expense_of,
+    income_of,
+    percent_change,
+    share,
+    slope,
+)
 from tallyframe.session import materialize
 
 SIGNS = {"income": "income", "expense": "expense"}
@@ -144,13 +151,16 @@ def monthly_trend(df: DataFrame, sign: str = "income") -> DataFrame:
     first, last = F.min_by("amount", "month"), F.max_by("amount", "month")
     trend = rows.agg(
         F.count("*").alias("months"),
-        F.regr_slope("amount", F.col("i").cast("double")).alias("slope"),
-        F.corr("amount", F.col("i").cast("double")).alias("correlation"),
+        slope("amount", F.col("i").cast("double")).alias("slope"),
+        correlation("amount", F.col("i").cast("double")).alias("correlation"),
         percent_change(last, first).alias("percent_change"),
         F.var_pop("amount").alias("_var"),
     )
-    slope = F.col("slope")
-    word = F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("stable")
+    word = (
+        F.when(F.col("slope") > 0, "increasing")
+        .when(F.col("slope") < 0, "decreasing")
+        .otherwise("stable")
+    )
     kept = trend.filter("months >= 4 and _var > 0 and percent_change is not null")
     return kept.drop("_var").withColumn("interpretation", word)
 

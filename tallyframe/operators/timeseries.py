@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
 
 from tallyframe.functions import calendar as cal
+from tallyframe.functions.stats import correlation
 
 DATE = "transaction_date"
 VALUE = "amount_sum"
@@ -238,7 +239,7 @@ def lag_correlation(
     """Pearson correlation of the value with each lag over the rows that have all lags."""
     names = [f"{value}_lag_{n}" for n in lags]
     rows = lag_features(series, value, lags, keys).dropna(subset=[value, *names])
-    return rows.agg(*[F.corr(value, n).alias(f"corr_lag_{k}") for n, k in zip(names, lags)])
+    return rows.agg(*[correlation(value, n).alias(f"corr_lag_{k}") for n, k in zip(names, lags)])
 
 
 def outlier_report(flagged: DataFrame, value: str = VALUE) -> DataFrame:

@@ -82,6 +82,9 @@ def test_short_series_are_left_to_the_mean(spark):
     assert ops.forecast_arima(short, 5).isEmpty()
     assert ops.forecast_autoregressive(short, 5).isEmpty()
     assert ops.forecast_trend_seasonal(short, 5).isEmpty()
+    single = series(spark, [4.0])
+    assert ops.forecast_trend_seasonal(single, 5).isEmpty()
+    assert ops.stationarity_test(single).first().d == 1
     row = ops.forecast_mean(short, 1, short_only=True).first()
     assert (row.amount, row.upper_bound) == (5.0, pytest.approx(5 + 2 ** 0.5))
     one = ops.forecast_mean(series(spark, [50.0]), 1).first()
