@@ -74,13 +74,24 @@ def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
     return a few numbers: a sketch for a tighter range, then exact counts below and inside it."""
     open_targets = [t for t in targets if t.inside > small]
     while open_targets:
+        before = [(t.low, t.high, t.below, t.inside) for t in open_targets]
+        shared: dict[tuple, list[_Target]] = {}
+        for target in open_targets:
+            shared.setdefault((target.column, target.low, target.high), []).append(target)
+        # Targets that still have the same range share one sketch.
         sketches = df.agg(
-            *[F.percentile_approx(F.when(t.in_range(), t.value()), t.grid(), ACCURACY)
-              for t in open_targets]
+            *[
+                F.percentile_approx(
+                    F.when(group[0].in_range(), group[0].value()),
+                    [share for target in group for share in target.grid()],
+                    ACCURACY,
+                )
+                for group in shared.values()
+            ]
         ).first()
-        before = [(t.low, t.high, t.below, t.inside) for t in open_targets]
-        for target, (low, high) in zip(open_targets, sketches):
-            target.low, target.high = low, high
+        for group, found in zip(shared.values(), sketches):
+            for i, target in enumerate(group):
+                target.low, target.high = found[2 * i], found[2 * i + 1]
         counts = df.agg(
             *[F.count_if(t.value() < t.low) for t in open_targets],
             *[F.count_if(t.in_range()) for t in open_targets],
@@ -101,7 +112,7 @@ def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = 1_000_000
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = 100_000
 ) -> DataFrame:
     """Linear-interpolated quantiles of numeric columns as rows ``(column_name, prob, quantile)``.
 

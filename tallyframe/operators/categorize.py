@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.rules import DEFAULT, Rules, with_keyword_category
 from tallyframe.functions.text import normalize_text
 
@@ -21,7 +22,8 @@ def keyword_categorize(
     if overwrite or "category" not in df.columns:
         return with_keyword_category(df, column, "category", rules)
     found = with_keyword_category(df, column, "_found", rules)
-    kept = F.when(is_uncategorized(), F.col("_found")).otherwise(F.col("category"))
+    # A coalesce that ends in a known value is never null, so null checks further on vanish.
+    kept = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.col("_found"))
     return found.withColumn("category", kept).drop("_found")
 
 
@@ -29,7 +31,7 @@ def training_set(df: DataFrame) -> DataFrame:
     """Rows with text and label: normalised ``text``, ``category`` and its index in sorted order."""
     from pyspark.ml.feature import StringIndexer
 
-    rows = df.dropna(subset=["description", "category"])
+    rows = not_null(df, "description", "category")
     rows = rows.withColumn("text", normalize_text(F.col("description")))
     indexer = StringIndexer(
         inputCol="category", outputCol="label", stringOrderType="alphabetAsc"

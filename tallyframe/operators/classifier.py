@@ -18,6 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.text import normalize_text
 from tallyframe.operators.categorize import is_uncategorized, tfidf_vocabulary
 from tallyframe.session import materialize
@@ -62,7 +63,7 @@ def train_categorizer(df: DataFrame, id_col: str = "id") -> tuple[PipelineModel,
     transactions.
     """
     examples = (
-        holdout(df.dropna(subset=["description", "category"]), id_col)
+        holdout(not_null(df, "description", "category"), id_col)
         .withColumn("_text", normalize_text(F.col("description")))
         .groupBy("_text", "category", "is_validation")
         .agg(F.count("*").cast("double").alias("weight"))

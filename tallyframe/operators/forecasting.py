@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyframe.functions import calendar as cal
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.series_fit import fit_arima, fit_autoregressive
 from tallyframe.operators.cleaning import select_expenses
 from tallyframe.operators.timeseries import CATEGORY, DATE, fill_gaps
@@ -53,11 +54,11 @@ def daily_spending_series(
     df: DataFrame, keys: Sequence[str] = CATEGORY, mode: str = "signed"
 ) -> DataFrame:
     """Daily spending per series, gaps filled with 0; one series ``all`` without categories."""
-    spending = select_expenses(df.dropna(subset=[DATE]), mode)
+    spending = select_expenses(not_null(df, DATE), mode)
     if "category" in keys and "category" not in df.columns:
         spending = spending.withColumn("category", F.lit("all"))
     daily = (
-        spending.dropna(subset=list(keys))
+        not_null(spending, *keys)
         .groupBy(*keys, F.to_date(DATE).alias("date"))
         .agg(F.sum("spending").alias("amount"))
     )

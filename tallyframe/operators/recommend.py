@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tallyframe.functions.calendar import month_start, whole_days
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.rules import OTHER
 from tallyframe.functions.stats import expense_of, income_of, share
 from tallyframe.functions.text import amount_text
@@ -56,11 +57,11 @@ def monthly_category_spending(
     df: DataFrame, mode: str = "signed", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Spending per (month, category); a table without categories counts as ``other``."""
-    spending = select_expenses(df.dropna(subset=["transaction_date"]), mode)
+    spending = select_expenses(not_null(df, "transaction_date"), mode)
     if "category" not in spending.columns:
         spending = spending.withColumn("category", F.lit(OTHER))
     month = month_start(F.col("transaction_date")).alias("month")
-    grouped = spending.dropna(subset=["category"]).groupBy(*keys, month, "category")
+    grouped = not_null(spending, "category").groupBy(*keys, month, "category")
     return grouped.agg(F.sum("spending").alias("spending"))
 
 
@@ -192,7 +193,7 @@ def recurring_charges(
     ids = [*keys, "description"]
     ts = F.col("transaction_date")
     days = (
-        df.dropna(subset=ids)
+        not_null(df, *ids)
         .withColumn("_charge", charge)
         .groupBy(*ids, F.to_date(ts).alias("_day"))
         .agg(

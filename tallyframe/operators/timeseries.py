@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
 
 from tallyframe.functions import calendar as cal
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.stats import correlation
 
 DATE = "transaction_date"
@@ -37,14 +38,14 @@ def to_time_series(
 ) -> DataFrame:
     """Sum, count and mean per observed period and series; rows with a null key are left out."""
     label = cal.period_label(F.col(DATE), freq).alias(DATE)
-    return df.dropna(subset=[DATE, *keys]).groupBy(label, *keys).agg(*_measures(value))
+    return not_null(df, DATE, *keys).groupBy(label, *keys).agg(*_measures(value))
 
 
 def to_dense_series(df: DataFrame, freq: str = "D", value: str = "amount") -> DataFrame:
     """One series over all rows with every period between the first and the last; an empty period
     has sum 0, count 0 and no mean."""
     start = cal.period_start(F.col(DATE), freq).alias("_start")
-    observed = df.dropna(subset=[DATE]).groupBy(start).agg(*_measures(value))
+    observed = not_null(df, DATE).groupBy(start).agg(*_measures(value))
     span = observed.agg(F.min("_start").alias("a"), F.max("_start").alias("b"))
     step = F.expr(cal.FREQUENCIES[freq][1])
     spine = span.filter("a is not null").select(
@@ -238,7 +239,7 @@ def lag_correlation(
 ) -> DataFrame:
     """Pearson correlation of the value with each lag over the rows that have all lags."""
     names = [f"{value}_lag_{n}" for n in lags]
-    rows = lag_features(series, value, lags, keys).dropna(subset=[value, *names])
+    rows = not_null(lag_features(series, value, lags, keys), value, *names)
     return rows.agg(*[correlation(value, n).alias(f"corr_lag_{k}") for n, k in zip(names, lags)])
 
 

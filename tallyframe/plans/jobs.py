@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyframe.functions import calendar as cal
+from tallyframe.functions.filters import not_null
 from tallyframe.functions.rules import DEFAULT, Rules
 from tallyframe.operators.categorize import keyword_categorize
 from tallyframe.operators.cleaning import (
@@ -67,7 +68,7 @@ def spending_per_freq(
         F.struct(F.lit(f).alias("freq"), cal.period_label(F.col("transaction_date"), f).alias("date"))
         for f in freqs
     ]
-    rows = select_expenses(df, mode).dropna(subset=["transaction_date", "category"])
+    rows = not_null(select_expenses(df, mode), "transaction_date", "category")
     spread = rows.select("category", "spending", F.inline(F.array(*labels)))
     return spread.groupBy("freq", "category", "date").agg(F.sum("spending").alias("amount"))
 

@@ -18,6 +18,9 @@ def get_session(app: str = "tallyframe", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM does not compile methods above 8000 bytes of bytecode; fused stages that would
+        # exceed it run faster as several smaller methods.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
