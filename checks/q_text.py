@@ -98,6 +98,15 @@ register(
     f"WITH {TX}, {_TERMS.format(text='description', source='tx')} SELECT * FROM vocabulary",
     "10:idf",
 )
+register(
+    "tfidf_vocabulary_documents",
+    lambda s, d: ops.tfidf_vocabulary(
+        table(s, d, "documents").select(F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("plain")),
+        "plain"),
+    f"""WITH plain AS (SELECT regexp_replace(text, '[^a-zA-Z ]', ' ', 'g') AS plain FROM documents),
+    {_TERMS.format(text='plain', source='plain')} SELECT * FROM vocabulary""",
+    "10:idf",
+)
 register(
     "tfidf_features",
     lambda s, d: ops.tfidf_features(tx(s, d)),

@@ -40,16 +40,13 @@ def training_set(df: DataFrame) -> DataFrame:
 
 
 def word_frequency(df: DataFrame, k: int = 20, column: str = "description") -> DataFrame:
-    """The ``k`` most frequent white-space separated words. Equal texts are counted once and
-    weighted, so repeated descriptions are split a single time."""
-    texts = df.filter(F.col(column).isNotNull()).groupBy(F.lower(column).alias("text"))
-    words = texts.agg(F.count("*").alias("copies")).select(
-        F.explode(F.split("text", r"\s+")).alias("word"), "copies"
-    )
+    """The ``k`` most frequent white-space separated words. Words are counted where they are split,
+    so the shuffle carries the vocabulary of a task and never the texts."""
+    words = df.select(F.explode(F.split(F.lower(column), r"\s+")).alias("word"))
     return (
         words.filter("word <> ''")
         .groupBy("word")
-        .agg(F.sum("copies").alias("n"))
+        .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "word")
         .limit(k)
     )
@@ -59,21 +56,27 @@ def _copies(weight: str | None):
     return F.sum(weight) if weight else F.count("*")
 
 
+def _with_terms(texts: DataFrame) -> DataFrame:
+    """Adds ``terms``: the words of two or more characters of the lower-case ``text``, and its
+    pairs of neighbouring words."""
+    words = F.regexp_extract_all("text", F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    texts = texts.withColumn("_words", words)
+    # Pairs come from the list and the list shifted by one.
+    shifted = F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0)))
+    heads = F.slice("_words", 1, F.size(shifted))
+    pairs = F.zip_with(heads, shifted, lambda a, b: F.concat_ws(" ", a, b))
+    return texts.withColumn("terms", F.concat("_words", pairs)).drop("_words")
+
+
 def term_counts(
     df: DataFrame, column: str = "description", weight: str | None = None
 ) -> DataFrame:
-    """``(text, copies, term, tf)`` for the words of two or more characters and the pairs of
-    neighbouring words in each distinct text. ``weight`` names a column of row counts."""
-    texts = (
-        df.groupBy(F.lower(F.coalesce(column, F.lit(""))).alias("text"))
-        .agg(_copies(weight).alias("copies"))
-        .withColumn("words", F.regexp_extract_all("text", F.lit(r"(?U)\b\w\w+\b"), F.lit(0)))
+    """``(text, copies, term, tf)`` for the terms of each distinct text. ``weight`` names a column of
+    row counts."""
+    texts = df.groupBy(F.lower(F.coalesce(column, F.lit(""))).alias("text")).agg(
+        _copies(weight).alias("copies")
     )
-    # Pairs come from the list and the list shifted by one.
-    shifted = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
-    heads = F.slice("words", 1, F.size(shifted))
-    pairs = F.zip_with(heads, shifted, lambda a, b: F.concat_ws(" ", a, b))
-    terms = texts.select("text", "copies", F.explode(F.concat("words", pairs)).alias("term"))
+    terms = _with_terms(texts).select("text", "copies", F.explode("terms").alias("term"))
     return terms.groupBy("text", "copies", "term").agg(F.count("*").alias("tf"))
 
 
@@ -84,15 +87,22 @@ def tfidf_vocabulary(
     weight: str | None = None,
 ) -> DataFrame:
     """``(term, corpus_count, doc_count, idf)`` of the ``max_features`` most frequent terms, with
-    the smoothed ``idf = ln((1 + documents) / (1 + doc_count)) + 1``."""
+    the smoothed ``idf = ln((1 + documents) / (1 + doc_count)) + 1``. Partial sums by term run before
+    the shuffle, so texts never leave their task."""
     total = df.agg(_copies(weight)).scalar()
+    copies = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.select(F.lower(F.coalesce(column, F.lit(""))).alias("text"), copies.alias("_n"))
+    rows = _with_terms(rows)
+    # Each term once per use, and once more per text: both counts from one pass over the texts.
+    none = F.lit(0).cast("bigint")
+    uses = F.transform("terms", lambda t: F.struct(t.alias("term"), F.col("_n").alias("used"),
+                                                   none.alias("held")))
+    texts = F.transform(F.array_distinct("terms"), lambda t: F.struct(
+        t.alias("term"), none.alias("used"), F.col("_n").alias("held")))
     return (
-        term_counts(df, column, weight)
+        rows.select(F.inline(F.concat(uses, texts)))
         .groupBy("term")
-        .agg(
-            F.sum(F.col("tf") * F.col("copies")).alias("corpus_count"),
-            F.sum("copies").alias("doc_count"),
-        )
+        .agg(F.sum("used").alias("corpus_count"), F.sum("held").alias("doc_count"))
         .orderBy(F.desc("corpus_count"), "term")
         .limit(max_features)
         .withColumn("idf", F.log((1 + total) / (1 + F.col("doc_count"))) + 1)

@@ -108,10 +108,8 @@ def test_recent_months_are_global(spark):
 
 def test_recommendations_text_and_order(year):
     recs = ops.recommendations(year).collect()
-    assert [(r.type, r.category) for r in recs] == [
-        ("recurring_charge", "general"), ("saving_opportunity", "food"), ("high_spending", "food"),
-        ("saving_opportunity", "housing"),
-    ] or [r.priority for r in recs] == sorted((r.priority for r in recs), reverse=True)
+    assert [r.priority for r in recs] == sorted((r.priority for r in recs), reverse=True)
+    assert {r.type for r in recs} == {"recurring_charge", "saving_opportunity", "high_spending"}
     high = next(r for r in recs if r.type == "high_spending")
     assert high.message == ("You've spent 47.4% more on food than usual. Consider limiting this to "
                             "save $450.0 next month.")
