@@ -255,10 +255,17 @@ def forecast_autoregressive(
 
 
 def forecast_trend_seasonal(
-    series: DataFrame, days: int = 30, keys: Sequence[str] = CATEGORY
+    series: DataFrame,
+    days: int = 30,
+    keys: Sequence[str] = CATEGORY,
+    regressors: Sequence[str] = (),
+    future: DataFrame | None = None,
 ) -> DataFrame:
     """Linear trend times weekday index times month index, with a 95 % interval from the residuals.
 
+    ``regressors`` names further numeric columns of the series. Each takes up what the fit before it
+    left over, by least squares; ``future`` has one row ``(*keys, date, *regressors)`` per day ahead.
+
     History and future days form one table, the future with unknown values. Averages over the
     windows of a series skip those values yet reach those rows, so no lookup joins are needed and
     every window is served by one shuffle.
@@ -269,7 +276,11 @@ def forecast_trend_seasonal(
     ahead = spans.filter(F.col("n") >= MIN_POINTS).select(
         *keys, F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", days))).alias("date")
     )
-    rows = series.select(*keys, "date", F.col("amount").alias("y")).unionByName(
+    if regressors:
+        if future is None:
+            raise ValueError("Regressors need their future values")
+        ahead = ahead.join(future.select(*keys, "date", *regressors), [*keys, "date"], "left")
+    rows = series.select(*keys, "date", F.col("amount").alias("y"), *regressors).unionByName(
         ahead.withColumn("y", F.lit(None).cast("double"))
     )
     own = Window.partitionBy(*keys)
@@ -288,9 +299,14 @@ def forecast_trend_seasonal(
         "month_index", F.coalesce(F.avg("rest").over(Window.partitionBy(*keys, "mo")), one)
     )
     fit = F.col("trend") * F.col("week_index") * F.col("month_index")
-    rows = rows.withColumn("fit", fit).withColumn(
-        "std", F.stddev_samp(F.col("y") - F.col("fit")).over(own)
-    )
+    rows = rows.withColumn("fit", fit)
+    for name in regressors:
+        rows = rows.withColumns({"_left": F.col("y") - F.col("fit"), "_x": F.col(name)})
+        b = F.try_divide(F.regr_sxy("_left", "_x").over(own), F.regr_sxx("_left", "_x").over(own))
+        a = F.regr_avgy("_left", "_x").over(own) - b * F.regr_avgx("_left", "_x").over(own)
+        effect = F.coalesce(a + b * F.col("_x"), F.lit(0.0))
+        rows = rows.withColumn("fit", F.col("fit") + effect)
+    rows = rows.withColumn("std", F.stddev_samp(F.col("y") - F.col("fit")).over(own))
     future = rows.filter("y is null and fit is not null")
     return future.select(
         F.lit("trend_seasonal").alias("forecaster"),

@@ -106,6 +106,21 @@ def test_trend_seasonal_repeats_the_week(spark):
     np.testing.assert_allclose(values, [100 * w for w in week], rtol=0.1)
 
 
+def test_trend_seasonal_regressor(spark):
+    rng = random.Random(8)
+    sale = [float(rng.random() < 0.4) for _ in range(200)]
+    rows = [("a", D0 + dt.timedelta(days=i), 100 + 50 * x, x) for i, x in enumerate(sale)]
+    both = spark.createDataFrame(rows, "category string, date date, amount double, sale double")
+    history = both.filter(F.col("date") < F.lit(D0 + dt.timedelta(days=190)))
+    ahead = both.drop("amount").filter(F.col("date") >= F.lit(D0 + dt.timedelta(days=190)))
+    got = ops.forecast_trend_seasonal(history, 10, regressors=["sale"], future=ahead).orderBy("ds")
+    for r, x in zip(got.collect(), sale[190:]):
+        assert r.amount == pytest.approx(100 + 50 * x, abs=25)
+        assert abs(r.amount - (100 + 50 * x)) < abs(r.amount - (150 - 50 * x))
+    with pytest.raises(ValueError):
+        ops.forecast_trend_seasonal(history, 10, regressors=["sale"])
+
+
 def test_ensemble_uses_common_dates_and_shortest_model(spark):
     rows = [("arima", "a", i, 10) for i in range(3)] + [("prophet", "a", i, 20) for i in range(1, 6)]
     rows += [("arima", "b", 0, 7)]
