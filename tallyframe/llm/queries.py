@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, quality, simhash
+from tallyframe.llm import bpe, linededup, quality, simhash
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -30,6 +30,16 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality_rules(docs, labels)
 
 
+@query
+def op2_line_dedup(spark, sf_dir):
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_words=50)
+    return docs.select("doc_id", "text", docs["__n_lines"].alias("n_lines"),
+                       docs["__n_deleted"].alias("n_deleted"))
+
+
+ORACLES["op2_line_dedup"] = linededup.SQL
+
+
 @query
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
