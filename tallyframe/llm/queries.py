@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, linededup, quality, simhash
+from tallyframe.llm import bpe, linededup, quality, simhash, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,3 +49,9 @@ def op6_simhash_near_dedup(spark, sf_dir):
 def op7_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return bpe.token_digests(docs, public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity(docs, labels)
