@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, linededup, quality, simhash, toxicity
+from tallyframe.llm import bpe, langid, linededup, quality, simhash, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -55,3 +55,8 @@ def op7_bpe(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.toxicity(docs, labels)
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents"))
