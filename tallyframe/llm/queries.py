@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, langid, linededup, quality, simhash, toxicity
+from tallyframe.llm import bpe, langid, linededup, quality, simhash, toxicity, warc
+from tallyframe.session import new_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -40,6 +41,17 @@ def op2_line_dedup(spark, sf_dir):
 ORACLES["op2_line_dedup"] = linededup.SQL
 
 
+@query
+def op5_warc(spark, sf_dir):
+    path = new_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read_archive(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op5_warc"] = warc.SQL
+
+
 @query
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
