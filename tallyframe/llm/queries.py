@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, langid, linededup, quality, simhash, toxicity, warc
+from tallyframe.llm import bpe, langid, linededup, neighbours, quality, simhash, toxicity, warc
 from tallyframe.session import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,6 +42,14 @@ def op2_line_dedup(spark, sf_dir):
 ORACLES["op2_line_dedup"] = linededup.SQL
 
 
+@query
+def op4_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+ORACLES["op4_nearest_neighbours"] = neighbours.SQL
+
+
 @query
 def op5_warc(spark, sf_dir):
     path = new_path(spark, "archive")
