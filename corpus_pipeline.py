@@ -1,26 +1,54 @@
-"""Corpus pipeline: stages from documents to token statistics. ``STAGES`` is filled in order."""
+"""Corpus pipeline: five stages from ``documents`` to token ids, each one of the ten operators."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyframe.llm import simhash
+from tallyframe.llm import bpe, linededup, mixing, simhash, toxicity
 from tallyframe.session import new_path
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, labels)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs of 50 words or more are cut from the texts."""
+    return linededup.dedup_lines(docs, min_words=50).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.keep_one(docs, shingle=3, max_distance=2)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to tempered shares of source, language and topic."""
+    return mixing.mix(docs, keep=0.5)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of each remaining text."""
+    encoded = bpe.encode(docs, public_tokenizers.path(VOCABULARY), decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", near_dedup),
+          ("mixing", mix_sources), ("bpe", tokenize)]
 
-#: SQL has neither XXH64 nor the classifier and the merges; tests compare with plain Python.
+#: SQL has no XXH64, classifier, raking or merges; tests compare with plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again."""
+    """All stages on ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, name)

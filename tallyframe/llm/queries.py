@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, langid, linededup, neighbours, quality, simhash, toxicity, warc
+from tallyframe.llm import bpe, langid, linededup, mixing, neighbours, quality, simhash, toxicity, warc
 from tallyframe.session import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +42,11 @@ def op2_line_dedup(spark, sf_dir):
 ORACLES["op2_line_dedup"] = linededup.SQL
 
 
+@query
+def op3_mixing_weights(spark, sf_dir):
+    return mixing.mixing_weights(table(spark, sf_dir, "documents"), keep=0.5)
+
+
 @query
 def op4_nearest_neighbours(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
