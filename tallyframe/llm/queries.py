@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, langid, linededup, mixing, neighbours, quality, simhash, toxicity, warc
+from tallyframe.llm import (
+    bpe,
+    htmltext,
+    langid,
+    linededup,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    toxicity,
+    warc,
+)
 from tallyframe.session import new_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -86,3 +97,8 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op10_language_id(spark, sf_dir):
     return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_html_text(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
