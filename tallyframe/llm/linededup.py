@@ -119,7 +119,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     n, that interval is named by n and two ranks, at the run's start and ``span`` lines before its
     end. The first member, by document and line, stays; all later ones go.
     """
-    lines = stored(line_table(docs), "lines")
+    lines = stored(line_table(docs).dropDuplicates([*DOC, "i"]), "lines")
     ranks, total = first_ranks(lines)
     ranks = stored(ranks, "suffixes-1")
     kept = lines.join(ranks.select(*DOC).distinct().withColumnsRenamed(
