@@ -176,7 +176,14 @@ _PROFILE = " UNION ALL ".join(
     + ["""SELECT 'l_shipdate', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'timestamp_ntz',
         CAST(NULL AS BOOLEAN)"""]
 )
-register("profile_types", lambda s, d: ops.profile_types(table(s, d, "lineitem")), _PROFILE)
+register("profile_types", lambda s, d: ops.profile_types(table(s, d, "lineitem"), lossy=True), _PROFILE)
+register("profile_types_exact", lambda s, d: ops.profile_types(table(s, d, "lineitem")),
+         f"SELECT * REPLACE (replace(narrow_type, 'float', 'double') AS narrow_type) FROM ({_PROFILE})")
+register(
+    "dedupe_cleaned",
+    lambda s, d: ops.dedupe_transactions(ops.clean_transactions(tx_raw(s, d))).select(
+        "transaction_date", "description", "amount"),
+    f"WITH {CLEAN} SELECT DISTINCT transaction_date, description, amount FROM clean", "amount")
 
 
 def _narrowed(s, d):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import EV, TXC, ev, register, sql_daily, table, txc
+from checks.base import EV, TXC, ev, register, sql_daily, sql_label, table, txc
 from tallyframe.operators import evaluation as score
 from tallyframe.operators import forecasting as ops
 from tallyframe.plans import jobs
@@ -350,3 +350,91 @@ register(
     """SELECT l_orderkey, l_linenumber, l_extendedprice,
        CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem""",
 )
+
+Z975 = 1.959963984540054
+
+register(
+    "forecast_arima_100",
+    lambda s, d: ops.forecast_arima(ev_series(s, d), DAYS, orders=[(1, 0, 0)]),
+    f"""WITH {EV_SERIES},
+        pairs AS (SELECT category, date, amount AS y, lag(amount) OVER (PARTITION BY category
+          ORDER BY date) AS x FROM filled),
+        fits AS (SELECT category, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+          (regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / regr_count(y, x)
+            AS s2, max(date) AS last, max_by(y, date) AS y0 FROM pairs GROUP BY 1),
+        steps AS (SELECT *, unnest(range(1, {DAYS + 1})) AS h FROM fits),
+        points AS (SELECT category, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds,
+          a / (1 - b) + pow(b, h) * (y0 - a / (1 - b)) AS amount,
+          {Z975} * sqrt(s2 * (1 - pow(b, 2 * h)) / (1 - b * b)) AS reach FROM steps)
+        SELECT 'arima' AS forecaster, category, ds, amount, amount - reach AS lower_bound,
+          amount + reach AS upper_bound FROM points""",
+    BOUNDS,
+)
+
+
+def sql_walk(source, keys="category", name="arima"):
+    """The forecast of order (0, 1, 0): the last value, with a band that widens."""
+    return f"""SELECT '{name}' AS forecaster, {keys}, CAST(last + CAST(h AS INTEGER) AS DATE) AS ds,
+          y0 AS amount, y0 - {Z975} * sqrt(s2 * h) AS lower_bound,
+          y0 + {Z975} * sqrt(s2 * h) AS upper_bound
+        FROM (SELECT *, unnest(range(1, {DAYS + 1})) AS h FROM (
+          SELECT {keys}, count(*) AS n, avg(step * step) AS s2, max(date) AS last,
+            max_by(amount, date) AS y0 FROM (SELECT *, amount - lag(amount) OVER (
+              PARTITION BY {keys} ORDER BY date) AS step FROM {source}) AS stepped
+          GROUP BY ALL) AS fits WHERE n >= 10) AS steps"""
+
+
+def _walk(series, days=DAYS, keys=ops.CATEGORY):
+    return ops.forecast_arima(series, days, keys, orders=[(0, 1, 0)])
+
+
+register("forecast_arima_010", lambda s, d: _walk(ev_series(s, d)),
+         f"WITH {EV_SERIES} {sql_walk('filled')}", BOUNDS)
+
+BY_ACCOUNT = "account_id, category"
+register(
+    "forecast_spending",
+    lambda s, d: ops.forecast_spending(
+        ops.daily_spending_series(ev(s, d), ("account_id", "category")), DAYS,
+        ("account_id", "category"), _walk),
+    f"""WITH {EV}, {sql_daily('ev', BY_ACCOUNT)}
+        {sql_walk('filled', BY_ACCOUNT)}
+        UNION ALL
+        SELECT 'mean', {BY_ACCOUNT}, CAST(last + CAST(h AS INTEGER) AS DATE), m, m - sd, m + sd
+        FROM (SELECT *, unnest(range(1, {DAYS + 1})) AS h FROM (
+          SELECT {BY_ACCOUNT}, count(*) AS n, avg(amount) AS m, max(date) AS last,
+            coalesce(stddev_samp(amount), 0.1 * abs(avg(amount))) AS sd
+          FROM filled GROUP BY ALL) AS short WHERE n < 10) AS steps""",
+    BOUNDS,
+)
+register(
+    "ensemble_default_weights",
+    lambda s, d: ops.ensemble_forecast(fc(s, d).replace(
+        {"mean": "arima", "fallback": "trend_seasonal"}, subset=["forecaster"])),
+    f"""WITH {FC} SELECT 'ensemble' AS forecaster, category, ds,
+          {', '.join(f"(0.4 * max(CASE WHEN forecaster = 'mean' THEN {c} END)"
+                     f" + 0.6 * max(CASE WHEN forecaster = 'fallback' THEN {c} END)) AS {c}"
+                     for c in BOUNDS.split())}
+        FROM fc GROUP BY category, ds""",
+    BOUNDS,
+)
+register(
+    "forecast_per_freq_dates",
+    lambda s, d: jobs.forecast_per_freq(txc(s, d), {"mean": ops.forecast_mean}, horizon=6)[0].filter(
+        "forecaster = 'mean'"),
+    f"""WITH {TXC}, labelled AS ({' UNION ALL '.join(
+          f"SELECT '{f}' AS freq, category, CAST({sql_label('transaction_date', f)} AS DATE) AS date, "
+          f"-amount AS spending FROM txc WHERE amount < 0" for f in "DWM")}),
+        sums AS (SELECT freq, category, date, sum(spending) AS amount FROM labelled GROUP BY ALL),
+        placed AS (SELECT *, count(*) OVER (PARTITION BY freq, category) AS n, row_number() OVER (
+          PARTITION BY freq, category ORDER BY date) AS i FROM sums),
+        levels AS (SELECT freq, category, avg(amount) AS m, stddev_samp(amount) AS sd,
+          max(date) AS last FROM placed
+          WHERE n >= 10 AND i <= floor(n * CAST(0.8 AS DOUBLE)) GROUP BY ALL),
+        steps AS (SELECT *, CAST(unnest(range(1, 7)) AS INTEGER) AS h FROM levels)
+        SELECT 'mean' AS forecaster, freq, category,
+          CAST(CASE freq WHEN 'D' THEN last + h WHEN 'W' THEN last + 7 * h
+               ELSE last_day(last_day(last) - 27 + to_months(h)) END AS DATE) AS ds,
+          m AS amount, m - sd AS lower_bound, m + sd AS upper_bound FROM steps""",
+    BOUNDS,
+)

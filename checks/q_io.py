@@ -207,3 +207,49 @@ register(
     _INGESTED,
     "total",
 )
+
+
+def _by_category_stored(s, path):
+    return by_category(readers.read_transactions_table(s, path))
+
+
+def _store_append(s, d):
+    path = _written(s, tx(s, d).withColumns({"created_at": F.lit(None).cast("timestamp"),
+                                             "updated_at": F.lit(None).cast("timestamp")}))
+    new = tx(s, d).filter(F.col("id").cast("long") % 11 == 0).drop("id")
+    writers.append_to(path, new)
+    return _by_category_stored(s, path)
+
+
+def _store_update(s, d):
+    path = _written(s, tx(s, d))
+    ids = tx(s, d).filter(F.col("id").cast("long") % 7 == 0).select("id")
+    writers.update_in(path, ids.withColumns({"amount": F.lit(-1.0), "category": F.lit("new")}))
+    return _by_category_stored(s, path)
+
+
+def _store_delete(s, d):
+    path = _written(s, tx(s, d))
+    writers.delete_from(path, tx(s, d).filter(F.col("id").cast("long") % 3 == 0))
+    return _by_category_stored(s, path)
+
+
+register(
+    "store_append", _store_append,
+    f"""WITH {TX} SELECT {BY_CATEGORY} FROM (SELECT * FROM tx UNION ALL
+        SELECT * FROM tx WHERE CAST(id AS BIGINT) % 11 = 0) AS both_parts GROUP BY 1""",
+    "total",
+)
+register(
+    "store_update", _store_update,
+    f"""WITH {TX} SELECT {BY_CATEGORY} FROM (
+          SELECT CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'new' ELSE category END AS category,
+                 CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN -1.0 ELSE amount END AS amount FROM tx)
+        AS patched GROUP BY 1""",
+    "total",
+)
+register(
+    "store_delete", _store_delete,
+    f"WITH {TX} SELECT {BY_CATEGORY} FROM tx WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY 1",
+    "total",
+)

@@ -178,6 +178,29 @@ register(
         GROUP BY 1, 2""",
     R_PATTERNS,
 )
+
+
+def _late_uncategorised(s, d):
+    """The ledger without categories in its last sixty days, so that its newest months have none."""
+    rows = ledger(s, d)
+    newest = rows.agg(F.max("transaction_date")).scalar()
+    late = F.col("transaction_date") > newest - F.expr("interval 60 days")
+    return rows.withColumn("category", F.when(~late, F.col("category")))
+
+
+register(
+    "spending_patterns_uncategorised",
+    lambda s, d: ops.spending_patterns(_late_uncategorised(s, d)),
+    f"""WITH {LEDGER}, late AS (SELECT * REPLACE (CASE WHEN transaction_date <=
+          (SELECT max(transaction_date) FROM ledger) - INTERVAL 60 DAY THEN category END
+          AS category) FROM ledger),
+        {sql_monthly('late')},
+        cut AS (SELECT min(month) AS cutoff FROM (SELECT DISTINCT
+          CAST(date_trunc('month', transaction_date) AS DATE) AS month FROM late WHERE amount < 0
+          ORDER BY month DESC LIMIT 3) AS newest)
+        SELECT category, {_STATS} FROM monthly CROSS JOIN cut GROUP BY category""",
+    R_PATTERNS,
+)
 register("rec_high_spending", lambda s, d: shown(ops.rec_high_spending(patterns(s, d))),
          NO_SEQ.format(f"WITH {LEDGER}, {sql_patterns('ledger')} {HIGH}"), R_REC)
 

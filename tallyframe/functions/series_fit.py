@@ -18,6 +18,8 @@ def _lagged(values: np.ndarray, count: int, start: int) -> np.ndarray:
 
 
 def _solve(design: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not design.shape[1]:
+        return np.empty(0), target
     coef, *_ = np.linalg.lstsq(design, target, rcond=None)
     return coef, target - design @ coef
 
@@ -29,27 +31,45 @@ def _innovations(w: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([np.zeros(order), residual])
 
 
-def _fit_arma(w: np.ndarray, p: int, q: int) -> dict | None:
-    """Regression of w on its own lags and lagged innovations, with a constant."""
+def _long_order(n: int, p: int, q: int) -> int:
+    """Length of the autoregression whose residuals stand for the innovations."""
+    return min(max(p + q + 1, int(np.ceil(np.log(max(n, 2)) ** 1.5))), n // 3)
+
+
+def _first_row(n: int, p: int, q: int) -> int:
+    """The first value that an order can explain."""
+    return max(p, _long_order(n, p, q) + q if q else 0)
+
+
+def _inside(coef: np.ndarray) -> bool:
+    """Do the roots of z^k - c1 z^(k-1) - ... lie inside the unit circle?"""
+    return not len(coef) or bool(np.abs(np.roots(np.concatenate([[1.0], -coef]))).max() < 0.999)
+
+
+def _fit_arma(w: np.ndarray, p: int, q: int, constant: bool, first: int) -> dict | None:
+    """Regression of w from place ``first`` on its own lags and lagged innovations. None if there
+    are too few rows or if the result is not stable and invertible."""
     n = len(w)
-    noise, first = np.zeros(n), p
+    noise = np.zeros(n)
     if q:
-        long = min(max(p + q + 1, int(np.ceil(np.log(n) ** 1.5))), n // 3)
-        if long < 1:
+        if (long := _long_order(n, p, q)) < 1:
             return None
-        noise, first = _innovations(w, long), long + q
-    first = max(first, p)
-    design = np.column_stack([np.ones(n - first), _lagged(w, p, first), _lagged(noise, q, first)])
+        noise = _innovations(w, long)
+    parts = [np.ones((n - first, 1))] if constant else []
+    design = np.column_stack([*parts, _lagged(w, p, first), _lagged(noise, q, first)])
     if design.shape[0] <= design.shape[1] + 1:
         return None
     coef, residual = _solve(design, w[first:])
+    lags = coef[constant:]
+    if not _inside(lags[:p]) or not _inside(-lags[p:]):
+        return None
     sigma2 = float(residual @ residual) / len(residual)
-    k = p + q + 2
-    aic = n * (np.log(2 * np.pi * max(sigma2, 1e-12)) + 1) + 2 * k
+    k = p + q + 1 + constant
+    aic = len(residual) * (np.log(2 * np.pi * max(sigma2, 1e-12)) + 1) + 2 * k
     return {
-        "const": coef[0],
-        "ar": coef[1 : 1 + p],
-        "ma": coef[1 + p :],
+        "const": coef[0] if constant else 0.0,
+        "ar": lags[:p],
+        "ma": lags[p:],
         "sigma2": sigma2,
         "noise": residual[len(residual) - q :] if q else np.empty(0),
         "aic": aic,
@@ -110,13 +130,18 @@ def _project(w: np.ndarray, model: dict, steps: int) -> np.ndarray:
 
 
 def fit_arima(
-    y: np.ndarray, steps: int, search: str = "grid", alpha: float = 0.05
+    y: np.ndarray, steps: int, search: str = "grid", alpha: float = 0.05, orders=None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best order by AIC; point forecasts and an interval from the shock weights."""
+    """Best order by AIC; point forecasts and an interval from the shock weights. Only undifferenced
+    series have a constant. All orders are fitted on the same values, those that each of them can
+    explain, so that their AIC can be compared; the mean stands in where none can be fitted."""
     best, best_order = None, (0, 0, 0)
-    for p, d, q in _orders(y, search):
+    tried = list(orders) if orders is not None else _orders(y, search)
+    tried = [(p, d, q) for p, d, q in tried if len(y) - d > p + q + 3]
+    start = max((d + _first_row(len(y) - d, p, q) for p, d, q in tried), default=0)
+    for p, d, q in tried:
         w = np.diff(y, d)
-        model = _fit_arma(w, p, q) if len(w) > p + q + 3 else None
+        model = _fit_arma(w, p, q, d == 0, start - d)
         if model is not None and np.isfinite(model["aic"]):
             if best is None or model["aic"] < best["aic"]:
                 best, best_order = model, (p, d, q)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,29 +97,35 @@ def delete_category(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("name") != name)
 
 
-def category_hierarchy(df: DataFrame, max_depth: int = 100) -> DataFrame:
+def category_hierarchy(df: DataFrame) -> DataFrame:
     """``(root, name, parent_category, depth, path)`` for everything below a root, one join per
-    level. Each level is written out before the next one, so the plan stays flat and the size of
-    the tree is not limited by a recursive query's row limit."""
+    level until a level is empty. Each level is written out before the next one, so the plan stays
+    flat and the size of the tree is not limited by a recursive query's row limit. A name that
+    comes up again below itself is an error; nodes of a cycle that hangs below no root are not
+    listed."""
     nodes = df.select("name", "parent_category")
     no_parent = F.col("parent_category").isNull() | (F.col("parent_category") == "")
     level = materialize(
         nodes.filter(no_parent).select(
-            F.col("name").alias("root"), "name", "parent_category",
-            F.lit(0).alias("depth"), F.col("name").alias("path"),
+            F.col("name").alias("root"), "name", "parent_category", F.lit(0).alias("depth"),
+            F.col("name").alias("path"), F.array("name").alias("_line"),
         )
     )
     found = level
     children = nodes.filter(~no_parent)
-    for depth in range(1, max_depth + 1):
-        above = level.select("root", F.col("name").alias("parent_category"), "path")
+    for depth in itertools.count(1):
+        above = level.select("root", F.col("name").alias("parent_category"), "path", "_line")
         level = materialize(
             children.join(above, "parent_category").select(
                 "root", "name", "parent_category", F.lit(depth).alias("depth"),
                 F.concat_ws("/", "path", "name").alias("path"),
+                F.concat("_line", F.array("name")).alias("_line"),
+                F.array_contains("_line", F.col("name")).alias("_again"),
             )
         )
         if level.isEmpty():
-            return found
+            return found.drop("_line")
+        if not level.filter("_again").isEmpty():
+            raise CategoryError("Category tree holds a cycle")
+        level = level.drop("_again")
         found = found.unionByName(level)
-    raise CategoryError(f"Category tree is deeper than {max_depth} levels or holds a cycle")

@@ -204,12 +204,22 @@ def split_signed(df: DataFrame) -> DataFrame:
 
 
 def dedupe_transactions(
-    df: DataFrame, subset: Sequence[str] = REQUIRED, order: str = "id"
+    df: DataFrame, subset: Sequence[str] = REQUIRED, order: str | None = None
 ) -> DataFrame:
-    """One row per ``subset``, the one with the smallest ``order``. A partial aggregate runs before
+    """One row per ``subset``, the one with the smallest ``order``: a column, by default ``id``
+    where the table has one and else all remaining columns in turn. A partial aggregate runs before
     the shuffle, so a value with many copies sends one row per task."""
-    rest = [order] + [c for c in df.columns if c != order and c not in subset]
-    kept = df.groupBy(*subset).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    if order is None and "id" in df.columns:
+        order = "id"
+    rest = [c for c in df.columns if c not in subset]
+    if not rest:
+        return df.dropDuplicates(list(subset))
+    if order is None:
+        row = F.min(F.struct(*rest))
+    else:
+        rest = [order] + [c for c in rest if c != order]
+        row = F.min_by(F.struct(*rest), order)
+    kept = df.groupBy(*subset).agg(row.alias("_row"))
     return kept.select(*[c if c in subset else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
@@ -219,9 +229,10 @@ _BOUNDS = (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31))
 FLOAT_TOLERANCE = 5e-4
 
 
-def profile_types(df: DataFrame) -> DataFrame:
+def profile_types(df: DataFrame, lossy: bool = False) -> DataFrame:
     """One row per column: smallest type that holds it, and whether a text column is worth a
-    dictionary (fewer distinct values than half the rows). One pass over the table."""
+    dictionary (fewer distinct values than half the rows). One pass over the table. Doubles stay
+    doubles unless ``lossy`` allows a float whose values differ by ``FLOAT_TOLERANCE`` at most."""
     aggs, rows = [F.count("*").alias("_n")], []
     null = F.lit(None).cast("double")
     for i, field in enumerate(df.schema.fields):
@@ -240,7 +251,8 @@ def profile_types(df: DataFrame) -> DataFrame:
             gap = F.max(F.abs(col.cast("float").cast("double") - col))
             aggs += [F.min(col).alias(f"_lo{i}"), F.max(col).alias(f"_hi{i}"), gap.alias(f"_e{i}")]
             low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-            narrow = F.when(F.col(f"_e{i}") <= FLOAT_TOLERANCE, "float").otherwise("double")
+            close = F.lit(lossy) & (F.col(f"_e{i}") <= FLOAT_TOLERANCE)
+            narrow = F.when(close, "float").otherwise("double")
         elif isinstance(kind, T.StringType):
             aggs.append(F.approx_count_distinct(col).alias(f"_d{i}"))
             flag = F.try_divide(F.col(f"_d{i}"), F.col("_n")) < 0.5
@@ -256,8 +268,8 @@ def profile_types(df: DataFrame) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def narrow_types(df: DataFrame) -> DataFrame:
+def narrow_types(df: DataFrame, lossy: bool = False) -> DataFrame:
     """Cast every column to the type found by ``profile_types``. Only the profile, one row per
     column, reaches the driver."""
-    types = {r.column_name: r.narrow_type for r in profile_types(df).collect()}
+    types = {r.column_name: r.narrow_type for r in profile_types(df, lossy).collect()}
     return df.select(*[_c(n).cast(types[n]).alias(n) for n in df.columns])

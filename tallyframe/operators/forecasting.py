@@ -7,6 +7,7 @@ time, and a series has one row per day however many transactions went into it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -20,6 +21,7 @@ from tallyframe.functions.filters import not_null
 from tallyframe.functions.series_fit import fit_arima, fit_autoregressive
 from tallyframe.operators.cleaning import select_expenses
 from tallyframe.operators.timeseries import CATEGORY, DATE, fill_gaps
+from tallyframe.session import materialize
 
 # Fixed values.
 MIN_POINTS = 10
@@ -28,7 +30,9 @@ ADF_MIN_POINTS = 20
 DF_CRITICAL = -2.86
 Z95 = 1.96
 FALLBACK_LEVEL = 100.0
-DEFAULT_WEIGHTS = {"arima": 0.4, "prophet": 0.6}
+# The trend and season model stands where the second one does.
+DEFAULT_WEIGHTS = {"arima": 0.4, "prophet": 0.6, "trend_seasonal": 0.6}
+DEFAULT_MODELS = 2
 
 
 class Forecaster(Protocol):
@@ -213,14 +217,17 @@ def forecast_arima(
     keys: Sequence[str] = CATEGORY,
     search: str = "grid",
     alpha: float = 0.05,
+    orders: Sequence[tuple[int, int, int]] | None = None,
 ) -> DataFrame:
-    """Order search by AIC, then point forecasts with an interval, for series of 10 points or more.
-    ``grid`` tries p 0-2, d 0-1, q 0-2; ``auto`` lets a unit-root test pick d and tries p, q 0-3."""
+    """Order search by AIC, then point forecasts with an interval, for series of 10 points or more;
+    ``forecast_spending`` covers shorter ones. ``grid`` tries p 0-2, d 0-1, q 0-2; ``auto`` lets a
+    unit-root test pick d and tries p, q 0-3; ``orders`` names the orders to try."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < MIN_POINTS:
             return pd.DataFrame(columns=["ds", "amount", "lower_bound", "upper_bound"])
-        point, low, high = fit_arima(rows["amount"].to_numpy(float), days, search, alpha)
+        point, low, high = fit_arima(
+            rows["amount"].to_numpy(float), days, search, alpha, orders)
         return pd.DataFrame(
             {"ds": _future(rows, days), "amount": point, "lower_bound": low, "upper_bound": high}
         )
@@ -318,6 +325,32 @@ def forecast_trend_seasonal(
     )
 
 
+def forecast_spending(
+    series: DataFrame,
+    days: int = 30,
+    keys: Sequence[str] = CATEGORY,
+    model: Forecaster = forecast_arima,
+) -> DataFrame:
+    """Exactly ``days`` rows for every series: those of ``model`` where it forecasts the series, else
+    the mean, else the flat level for a series without any known value. ``forecaster`` names the one
+    used."""
+    keys = list(keys)
+
+    def without(rows: DataFrame, done: DataFrame) -> DataFrame:
+        names = done.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return rows.join(names, functools.reduce(lambda a, b: a & b, same), "left_anti")
+
+    fitted = model(series, days, keys=keys)
+    fitted = materialize(fitted.select("forecaster", *keys, "ds", "amount", "lower_bound",
+                                       "upper_bound").where("amount is not null"))
+    short = without(series, fitted)
+    mean = forecast_mean(short, days, keys)
+    known = mean.where("amount is not null")
+    flat = forecast_fallback(without(short, known), days, keys)
+    return fitted.unionByName(known).unionByName(flat)
+
+
 def minmax_scale(
     series: DataFrame, keys: Sequence[str] = CATEGORY, value: str = "amount"
 ) -> DataFrame:
@@ -368,7 +401,10 @@ def ensemble_forecast(
     keys: Sequence[str] = CATEGORY,
 ) -> DataFrame:
     """Combine the models of a series on the dates that all of them have, within the length of the
-    shortest. An unknown method means the weighted average, a missing weight counts 1."""
+    shortest. An unknown method means the weighted average. A weight that is missing from
+    ``weights`` counts 1; without ``weights``, models beyond the default ones get the weight of a
+    model added after those."""
+    other = 1.0 if weights is not None else default_weight("", DEFAULT_MODELS)
     weights = DEFAULT_WEIGHTS if weights is None else weights
     keys = list(keys)
     own = Window.partitionBy("forecaster", *keys)
@@ -380,7 +416,7 @@ def ensemble_forecast(
         F.count("*").alias("_models"), F.min("_len").alias("_shortest")
     )
     rows = rows.join(common, keys).filter("_i <= _shortest")
-    weight = F.lit(1.0)
+    weight = F.lit(other)
     for name, value in weights.items():
         weight = F.when(F.col("forecaster") == name, F.lit(float(value))).otherwise(weight)
     rows = rows.withColumn("_w", weight)

@@ -65,20 +65,35 @@ def monthly_category_spending(
     return grouped.agg(F.sum("spending").alias("spending"))
 
 
+def monthly_spending_of_all(
+    df: DataFrame, mode: str = "signed", keys: Sequence[str] = ()
+) -> DataFrame:
+    """As ``monthly_category_spending``, with a row for the spending of a month that has no
+    category, so that every month with an expense can be ranked."""
+    spending = select_expenses(not_null(df, "transaction_date"), mode)
+    if "category" not in spending.columns:
+        spending = spending.withColumn("category", F.lit(OTHER))
+    month = month_start(F.col("transaction_date")).alias("month")
+    return spending.groupBy(*keys, month, "category").agg(F.sum("spending").alias("spending"))
+
+
 def spending_patterns(
     df: DataFrame, pct: float = 75, mode: str = "signed", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Statistics of the observed months per category. ``recent`` is the mean over the last three
-    months seen in any category. With ``keys`` each key value is judged on its own months."""
-    return patterns_of(monthly_category_spending(df, mode, keys), pct, keys)
+    months with any expense, also an uncategorised one. With ``keys`` each key value is judged on
+    its own months."""
+    return patterns_of(monthly_spending_of_all(df, mode, keys), pct, keys)
 
 
 def patterns_of(monthly: DataFrame, pct: float = 75, keys: Sequence[str] = ()) -> DataFrame:
     """``spending_patterns`` from the monthly sums. The months of one key value are ranked together:
-    one row per month and category, however many transactions there were."""
+    one row per month and category, however many transactions there were. Rows without a category
+    take part in the ranking of the months only."""
     age = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("month")))
     recent = F.avg(F.when(F.col("_age") <= 3, F.col("spending")))
-    stats = monthly.withColumn("_age", age).groupBy(*keys, "category").agg(
+    aged = not_null(monthly.withColumn("_age", age), "category")
+    stats = aged.groupBy(*keys, "category").agg(
         F.avg("spending").alias("avg_spending"),
         F.percentile("spending", 0.5).alias("median_spending"),
         F.percentile("spending", pct / 100).alias("threshold"),
@@ -320,7 +335,7 @@ def all_recommendations(
     are written out once instead of computed again."""
     recs = []
     if "category" in df.columns:
-        patterns = patterns_of(materialize(monthly_category_spending(df, mode)))
+        patterns = patterns_of(materialize(monthly_spending_of_all(df, mode)))
         recs += [rec_high_spending(patterns), rec_saving_opportunity(patterns)]
         if forecasts is not None:
             recs.append(rec_spending_trend(patterns, forecasts))

@@ -58,16 +58,21 @@ def get_transaction(df: DataFrame, key: str, column: str = "id") -> DataFrame:
     return df.filter(F.col(column) == key)
 
 
-def append_transactions(df: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """The table with new rows, which get an id and a creation time."""
-    added = new.withColumns(
+def added(new: DataFrame, now: Column | None = None) -> DataFrame:
+    """New rows with an id and a creation time."""
+    return new.withColumns(
         {
             "id": F.expr("uuid()"),
             "created_at": now if now is not None else NOW(),
             "updated_at": F.lit(None).cast("timestamp"),
         }
     )
-    return df.unionByName(added, allowMissingColumns=True)
+
+
+def append_transactions(df: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """The table with new rows, which get an id and a creation time. To store them, ``append_to``
+    adds the new rows alone."""
+    return df.unionByName(added(new, now), allowMissingColumns=True)
 
 
 PATCHABLE = ("description", "amount", "transaction_date", "category", "notes")

@@ -125,12 +125,12 @@ def pct_change_features(
     lags: Sequence[int] = LAGS,
     keys: Sequence[str] = CATEGORY,
     date: str = DATE,
-    force: bool = False,
+    guard: bool = False,
 ) -> DataFrame:
-    """Relative change to the n-th earlier row, null where that row is 0. Without ``force`` the
-    columns stay null unless the table has more than ``max(lags) + 10`` rows."""
+    """Relative change to the n-th earlier row, null where that row is 0. With ``guard`` the columns
+    stay null unless the table has more than ``max(lags) + 10`` rows, which takes another scan."""
     w = _ordered(keys, date)
-    enough = F.lit(True) if force else df.agg(F.count("*")).scalar() > max(lags) + 10
+    enough = F.lit(True) if not guard else df.agg(F.count("*")).scalar() > max(lags) + 10
     change = {
         f"{value}_pct_change_{n}": F.when(
             enough, F.try_divide(F.col(value), F.lag(value, n).over(w)) - 1
@@ -271,13 +271,13 @@ def fill_gaps(
 
 
 def time_series_features(
-    df: DataFrame, freq: str = "D", keys: Sequence[str] = CATEGORY, guard: bool = True
+    df: DataFrame, freq: str = "D", keys: Sequence[str] = CATEGORY, guard: bool = False
 ) -> DataFrame:
     """Series with calendar, lag, rolling, season and outlier columns. All windows share one
-    partitioning and one sort order, so the series is shuffled once after the sums. ``guard=False``
-    saves the row count that ``pct_change_features`` makes for very short tables."""
+    partitioning and one sort order, so the series is shuffled once after the sums. ``guard`` is
+    passed to ``pct_change_features``."""
     series = cyclic_features(temporal_features(to_time_series(df, freq, keys)))
-    series = pct_change_features(lag_features(series, keys=keys), keys=keys, force=not guard)
+    series = pct_change_features(lag_features(series, keys=keys), keys=keys, guard=guard)
     series = rolling_std(rolling_mean(series, keys=keys), keys=keys)
     return outliers_zscore(seasonal_features(series), keys=keys)
 

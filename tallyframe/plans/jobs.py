@@ -73,6 +73,23 @@ def spending_per_freq(
     return spread.groupBy("freq", "category", "date").agg(F.sum("spending").alias("amount"))
 
 
+def period_dates(forecasts: DataFrame, series: DataFrame, freqs: Sequence[str]) -> DataFrame:
+    """``forecasts`` of models that step by days, with ``ds`` at the label of the n-th period after
+    the last one of its series instead of at the n-th day."""
+    last = series.groupBy("freq", "category").agg(F.max("date").alias("_last"))
+    rows = forecasts.join(last, ["freq", "category"])
+    step = F.datediff("ds", "_last")
+    label = F.col("ds")
+    for freq in freqs:
+        if freq == "D":
+            continue
+        days, months = {"W": (7, 0), "M": (0, 1), "Q": (0, 3), "Y": (0, 12)}[freq]
+        start = cal.period_start(F.col("_last"), freq)
+        begin = F.date_add(start, step * days) if days else F.add_months(start, step * months)
+        label = F.when(F.col("freq") == freq, cal.period_end(begin, freq)).otherwise(label)
+    return rows.withColumn("ds", label).select(*forecasts.columns)
+
+
 def forecast_per_freq(
     df: DataFrame,
     models: dict[str, Forecaster],
@@ -83,14 +100,14 @@ def forecast_per_freq(
     method: str = "weighted_average",
 ) -> tuple[DataFrame, DataFrame]:
     """Split, fit, forecast, combine and score every (freq, category) series in one job. Returns
-    the forecasts of all models with the ensemble, and the long metrics. Forecast steps are
-    numbered by ``ds``; scores pair them with the test periods by position."""
+    the forecasts of all models with the ensemble, and the long metrics. ``ds`` is the label of the
+    period that a row forecasts; scores pair rows with the test periods by position."""
     keys = ("freq", "category")
     series = materialize(spending_per_freq(df, freqs))
     parts = chrono_split(series, test_size, keys, min_points=min_points)
     train = parts.filter("part = 'train'").drop("part")
     test = parts.filter("part = 'test'").drop("part")
-    single = materialize(fit_predict(train, models, horizon, keys))
+    single = materialize(period_dates(fit_predict(train, models, horizon, keys), train, freqs))
     combined = ensemble_forecast(single, method, keys=keys)
     forecasts = single.unionByName(combined.select(*single.columns))
     return forecasts, compare_forecasters(forecasts, test, keys=keys)

@@ -2,23 +2,70 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.operators.evaluation import metrics_pivot
 from tallyframe.operators.recommend import with_ids
+from tallyframe.operators.tables import added, delete_transactions, update_transactions
 
 REC_STORED = ("id", "message", "type", "priority", "created_at", "category", "amount", "percentage")
 
 
-def write_transactions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = df.write.mode("overwrite")
+def _save(df: DataFrame, path: str, fmt: str, mode: str) -> None:
+    writer = df.write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
         writer.format(fmt).save(path)
 
 
+def write_transactions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace the table at ``path``, which ``df`` may itself be read from. The new table is written
+    whole to a folder beside it and only then takes its name; until that moment, and whatever fails
+    before it, the old table stays as it is."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-{kind}-{mark}")
+                for kind in ("new", "old"))
+    _save(df, new.toString(), fmt, "errorifexists")
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        raise OSError(f"cannot move {path} aside; the new table is at {new.toString()}")
+    if not files.rename(new, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"cannot put the new table at {path}; it is at {new.toString()}")
+    if had:
+        files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def append_to(path: str, new: DataFrame, now: Column | None = None) -> None:
+    """Add rows to a stored table, with ids and a creation time; no old row is read or rewritten."""
+    schema = new.sparkSession.read.parquet(path).schema
+    rows = added(new, now)
+    columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).alias(f.name)
+               for f in schema.fields]
+    casted = [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema.fields)]
+    _save(rows.select(*casted), path, "parquet", "append")
+
+
+def update_in(path: str, patches: DataFrame, now: Column | None = None) -> None:
+    """Apply ``update_transactions`` to a stored table."""
+    table = patches.sparkSession.read.parquet(path)
+    write_transactions(update_transactions(table, patches, now), path)
+
+
+def delete_from(path: str, ids: DataFrame) -> None:
+    """Apply ``delete_transactions`` to a stored table."""
+    write_transactions(delete_transactions(ids.sparkSession.read.parquet(path), ids), path)
+
+
 def write_series(series: dict[str, DataFrame], path: str) -> None:
     """Feature tables by frequency, one folder each, as one partitioned table. ``series`` maps a
     frequency code to its table."""
@@ -38,8 +85,9 @@ def write_forecasts(forecasts: DataFrame, path: str) -> None:
     named = forecasts.withColumns(
         {c: _folder_name(c) for c in ("forecaster", "category")}
     )
-    # Rows of one folder meet in one task, so a folder does not get a file from every task.
-    named.repartition("forecaster", "category").write.mode("overwrite").partitionBy(
+    # Rows of one folder meet in few tasks, so a folder does not get a file from every task; a folder
+    # that holds most rows is split by size.
+    named.hint("rebalance", "forecaster", "category").write.mode("overwrite").partitionBy(
         "forecaster", "category"
     ).parquet(path)
 

@@ -114,12 +114,22 @@ def test_dedupe_keeps_smallest_id(spark):
     assert out.columns == df.columns
 
 
+def test_dedupe_without_id(spark):
+    df = spark.createDataFrame([("x", 1.0, "b"), ("x", 1.0, "a"), ("y", 1.0, None)],
+                               "description string, amount double, note string")
+    out = ops.dedupe_transactions(df, ("description", "amount"))
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [("x", 1.0, "a"), ("y", 1.0, None)]
+    assert ops.dedupe_transactions(df, df.columns).count() == 3
+
+
 def test_narrow_types(spark):
     df = spark.createDataFrame(
         [(1, 300, 2**40, 0.5, 123456789.123, "a"), (-5, 2, 1, 1.5, 0.1, "a"), (3, 2, 1, 1.5, 0.1, "a")],
         "a long, b long, c long, d double, e double, f string",
     )
-    assert dict(ops.narrow_types(df).dtypes) == {
+    assert dict(ops.narrow_types(df).dtypes)["d"] == "double"
+    assert dict(ops.narrow_types(df, lossy=True).dtypes) == {
         "a": "tinyint", "b": "smallint", "c": "bigint", "d": "float", "e": "double", "f": "string"
     }
     flags = {r.column_name: r.dictionary_friendly for r in ops.profile_types(df).collect()}

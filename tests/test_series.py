@@ -87,9 +87,9 @@ def test_features_share_one_shuffle(df):
 def test_pct_change_guard(spark):
     rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), "a", float(i)) for i in range(5)]
     s = spark.createDataFrame(rows, "transaction_date date, category string, amount_sum double")
-    guarded = ops.pct_change_features(s, lags=(1,)).select("amount_sum_pct_change_1")
+    guarded = ops.pct_change_features(s, lags=(1,), guard=True).select("amount_sum_pct_change_1")
     assert {r[0] for r in guarded.collect()} == {None}
-    forced = ops.pct_change_features(s, lags=(1,), force=True).orderBy("transaction_date").collect()
+    forced = ops.pct_change_features(s, lags=(1,)).orderBy("transaction_date").collect()
     assert [r.amount_sum_pct_change_1 for r in forced] == [None, None, 1.0, 0.5, pytest.approx(1 / 3)]
 
 

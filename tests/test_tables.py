@@ -100,8 +100,9 @@ def test_hierarchy_skips_orphans_and_stops_on_deep_trees(spark):
     tree = cats.category_hierarchy(spark.createDataFrame(rows, CATEGORY))
     assert {(r.name, r.depth, r.path) for r in tree.collect()} == {
         ("a", 0, "a"), ("b", 1, "a/b"), ("c", 2, "a/b/c"), ("d", 0, "d")}
+    again = rows + [("b", None, None, None, "c")]
     with pytest.raises(cats.CategoryError):
-        cats.category_hierarchy(spark.createDataFrame(rows, CATEGORY), max_depth=1)
+        cats.category_hierarchy(spark.createDataFrame(again, CATEGORY))
 
 
 def test_budget_usage(spark, df):
