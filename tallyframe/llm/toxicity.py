@@ -169,7 +169,8 @@ class Index:
         return math.log((sums[0] + 1e-3) / (sums[1] + 1e-3))
 
     def score(self, found: list[tuple[float, int]]) -> float:
-        return 1 / (1 + math.exp(-(self.slope * self.vote(found) + self.shift)))
+        odds = self.slope * self.vote(found) + self.shift
+        return 1 / (1 + math.exp(min(max(-odds, -700.0), 700.0)))
 
 
 def build_index(rows: list[tuple[int, int, Counter]], idf: np.ndarray, block: int) -> Index:
