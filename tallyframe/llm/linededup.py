@@ -139,8 +139,9 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
         return lines.where(F.lit(False)).select(*DOC, "i")
     name = [size.alias("size"), "x", "y"]
     named = stored(named.select(*DOC, "a", "b", *name), "intervals")
-    first = named.groupBy("size", "x", "y").agg(F.count("*").alias("n"), F.min(
-        F.struct(*DOC, "a")).alias("first")).where("n > 1").drop("n")
+    # Written out, so that both sides of the join are shuffled for it and AQE can split hot runs.
+    first = stored(named.groupBy("size", "x", "y").agg(F.count("*").alias("n"), F.min(
+        F.struct(*DOC, "a")).alias("first")).where("n > 1").drop("n"), "firsts")
     later = named.join(first, ["size", "x", "y"]).where(F.struct(*DOC, "a") > F.col("first"))
     # Merge the deleted runs of a document before they become lines.
     so_far = Window.partitionBy(*DOC).orderBy("a", "b")
