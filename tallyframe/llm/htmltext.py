@@ -339,7 +339,11 @@ def fit(pages: DataFrame, sample: int = 300, max_chars: int = 200_000, copies: i
     """
     rows = pages.where("html is not null").where(F.length("html") <= max_chars).select(
         F.col("page_id").cast("long"), F.col("html").cast("string"))
-    chosen = rows.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
+    # The cut is found on hashes alone, so that tasks send no page that is not chosen.
+    place = F.xxhash64("page_id")
+    cut = rows.select(place.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.where(place <= F.lit(cut)).orderBy(
+        place, "page_id", F.xxhash64("html")).limit(sample)
     parsed = [blocks(r.html) for r in chosen.collect()]
     features, rng, ready = Features(), np.random.default_rng(seed), []
     every = [b.text for page in parsed for b in page] or ["text"]
