@@ -1,10 +1,10 @@
-"""Toxicity: nearest labelled examples by exact TF-IDF cosine from a block-max inverted index."""
+"""Toxicity: nearest labelled examples by exact TF-IDF cosine over all terms of a text."""
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold, stored
+from tallyframe.llm.common import fold
 
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
@@ -34,17 +34,18 @@ def terms(chunk: str) -> Iterator[str]:
 
 
 class Tokens:
-    """Term numbers of whole texts, for a fixed vocabulary."""
+    """Hashed term counts of whole texts: every term falls into one of ``buckets``."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.number, self.known = {t: i for i, t in enumerate(vocabulary)}, {}
+    def __init__(self, buckets: int):
+        self.buckets, self.known = buckets, {}
 
     def __call__(self, text: str | None) -> Counter:
         chunks = text.split() if text else []
         if len(self.known) > CACHED:
             self.known = {}
         for chunk in set(chunks).difference(self.known):
-            self.known[chunk] = [self.number[t] for t in terms(chunk) if t in self.number]
+            self.known[chunk] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.buckets
+                                 for t in terms(chunk)]
         return Counter(chain.from_iterable(map(self.known.__getitem__, chunks)))
 
 
@@ -62,39 +63,29 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def vocabulary(found: DataFrame, counts: dict[int, int], size: int, margin: float) -> list[str]:
-    """The ``size`` terms most associated with the label among the examples, by the log-likelihood
-    ratio of their document counts. The ratio must exceed what the best of all terms tried would
-    reach by chance, 2 log(number of terms), by ``margin``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                own = sorted(set(chain.from_iterable(map(terms, set((text or "").split())))))
-                yield pa.RecordBatch.from_pydict({
-                    "term": pa.array(own, pa.string()),
-                    "toxic": pa.array([toxic] * len(own), pa.int32())})
-
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    if not n0 or not n1:
-        return []
-    part = lambda k, total, n: F.when(k > 0, k * F.log(k * (n0 + n1) / (total * n))
-                                      ).otherwise(0.0)
-    a, b = F.col("a"), F.col("b")
-    ratio = 2 * (part(a, a + b, n1) + part(b, a + b, n0)
-                 + part(n1 - a, n0 + n1 - a - b, n1) + part(n0 - b, n0 + n1 - a - b, n0))
-    found = found.select("text", "toxic").mapInArrow(run, "term string, toxic int")
-    table = stored(found.groupBy("term").agg(F.sum("toxic").alias("a"),
-                                             F.sum(1 - F.col("toxic")).alias("b")), "terms")
-    least = 2 * math.log(table.count() + 1) + margin
-    best = table.select("term", ratio.alias("g")).where(F.col("g") >= least)
-    return [r.term for r in best.orderBy(F.desc("g"), "term").limit(size).collect()]
-
-
-def document_counts(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+def association(rows: list[tuple[int, int, Counter]], buckets: int) -> np.ndarray:
+    """The log-likelihood ratio of each term and the label among the examples, as a multiple of what
+    the best of all terms tried would reach by chance, 2 log(number of terms)."""
+    seen, sizes = np.zeros((2, buckets)), np.zeros(2)
+    for _, toxic, counts in rows:
+        seen[toxic, list(counts)] += 1
+        sizes[toxic] += 1
+    some = np.flatnonzero(seen.sum(axis=0))
+    out = np.zeros(buckets)
+    if not len(some) or not sizes.all():
+        return out
+    held, total = seen[:, some], sizes.sum()
+    for part, of in ((held, held.sum(axis=0)), (sizes[:, None] - held, total - held.sum(axis=0))):
+        share = np.maximum(part, 1) * total / (np.maximum(of, 1) * sizes[:, None])
+        out[some] += 2 * (part * np.log(share)).sum(axis=0)
+    return np.maximum(out, 0) / (2 * math.log(len(some) + 1))
+
+
+def document_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each term occurs, and the number of documents. A task adds up
     its own documents, so a row per task and term is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen, rows = Tokens(words), np.zeros(len(words), np.int64), 0
+        tokens, seen, rows = Tokens(buckets), np.zeros(buckets, np.int64), 0
         for batch in batches:
             rows += len(batch)
             for text in batch.column(0):
@@ -104,61 +95,71 @@ def document_counts(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]
         yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int64()),
                                           "n": pa.array(np.append(seen[some[:-1]], rows))})
 
-    totals = dict(docs.select(F.col("text").cast("string")).mapInArrow(
-        run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    return np.array([totals.get(i, 0) for i in range(len(words))]), totals.get(-1, 0)
+    table = docs.select(F.col("text").cast("string")).mapInArrow(
+        run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(buckets + 1, np.int64)  # the last place, -1, is the number of documents
+    totals[table["term"].to_numpy()] = table["n"].to_numpy()
+    return totals[:-1], int(totals[-1])
 
 
 @dataclass
 class Index:
-    """Inverted lists of unit vectors, cut into blocks of examples, with the largest weight of each
-    term in each block. ``cuts[t, b]`` is where the list of term t enters block b."""
+    """Unit vectors of the examples over all their terms: inverted lists, and a dense matrix for the
+    terms that many examples hold. ``factor`` weighs every term, also those of no example; ``row``
+    is a term's place among the lists, ``cuts`` has their edges."""
 
     ids: np.ndarray
     toxic: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray
+    row: np.ndarray
+    cuts: np.ndarray
     places: np.ndarray
     weights: np.ndarray
-    cuts: np.ndarray
-    most: np.ndarray
+    head: np.ndarray  # term x example
+    head_row: np.ndarray
     block: int
     slope: float = 1.0
     shift: float = 0.0
     prior: float = 0.0
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        own = np.array(sorted(counts), np.int64)
+        own = np.fromiter(counts.keys(), np.int64, len(counts))
         if not len(own):
             return own, np.zeros(0)
-        value = (1 + np.log([counts[t] for t in own.tolist()])) * self.idf[own]
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(own)
+        own, times = own[order], times[order]
+        value = (1 + np.log(times)) * self.factor[own]
         return own, value / math.sqrt(float((value * value).cumsum()[-1]))
 
     def nearest(self, counts: Counter, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples of largest cosine as (cosine, place), ties to the smaller place.
-
-        Blocks come in descending order of their bound, the sum of the query weights times the block
-        maxima; the search ends when no remaining block can reach the k-th cosine found.
-        """
-        own, value = self.vector(counts)
-        if not len(own) or not len(self.ids):
-            return []
-        bound = value @ self.most[own] + 1e-9
-        best: list[tuple[float, int]] = []  # a heap; places are negated so that ties drop the later
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < 2e-9 or len(best) == k and bound[b] < best[0][0]:
-                break
-            sums = np.zeros(self.block)
-            for t, v in zip(own.tolist(), value.tolist()):
-                i, j = self.cuts[t, b], self.cuts[t, b + 1]
-                sums[self.places[i:j] - b * self.block] += v * self.weights[i:j]
-            for at in np.flatnonzero(sums).tolist():
-                if (place := b * self.block + at) != skip:
-                    item = (float(sums[at]), -place)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return [(min(c, 1.0), -p) for c, p in sorted(best, reverse=True)]
+        """The ``k`` examples of largest cosine as (cosine, place), ties to the smaller place."""
+        return next(self.nearest_all([counts], k, [skip]))
+
+    def nearest_all(self, texts: list[Counter], k: int, skips: list[int] | None = None
+                    ) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of many texts; ``block`` of them share a product with the dense matrix."""
+        for start in range(0, len(texts), self.block):
+            vectors = [self.vector(c) for c in texts[start:start + self.block]]
+            query = np.zeros((len(vectors), len(self.head)))
+            for q, (own, value) in zip(query, vectors):
+                at = self.head_row[own]
+                q[at[at >= 0]] = value[at >= 0]
+            for j, (sums, (own, value)) in enumerate(zip(query @ self.head, vectors)):
+                at = self.row[own]
+                at, value = at[at >= 0], value[at >= 0]
+                sizes = self.cuts[at + 1] - self.cuts[at]
+                ends = np.cumsum(sizes)
+                if len(ends) and ends[-1]:
+                    spots = np.arange(ends[-1]) + np.repeat(self.cuts[at] - ends + sizes, sizes)
+                    sums = sums + np.bincount(self.places[spots], self.weights[spots]
+                                              * np.repeat(value, sizes), len(self.ids))
+                if skips is not None and skips[start + j] >= 0:
+                    sums[skips[start + j]] = 0
+                least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+                some = np.flatnonzero((sums >= least) & (sums > 0))
+                some = some[np.argsort(-sums[some], kind="stable")][:k]
+                yield [(min(float(sums[p]), 1.0), p) for p in some.tolist()]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Log odds of the label among the neighbours, weighted by inverse distance; without any,
@@ -173,26 +174,31 @@ class Index:
         return 1 / (1 + math.exp(min(max(-odds, -700.0), 700.0)))
 
 
-def build_index(rows: list[tuple[int, int, Counter]], idf: np.ndarray, block: int) -> Index:
-    """The index of ``doc_id, toxic, term counts`` rows. Examples whose heaviest terms agree stand
-    together, which makes block bounds tight."""
-    index = Index(np.zeros(0, np.int64), np.zeros(0, np.int32), idf, np.zeros(0, np.int64),
-                  np.zeros(0), np.zeros((len(idf), 1), np.int64), np.zeros((len(idf), 0)), block)
-    vectors = [(i, y, *index.vector(c)) for i, y, c in rows if c]
-    vectors.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[1], r[0]))
+def build_index(rows: list[tuple[int, int, Counter]], factor: np.ndarray, block: int,
+                dense: float = 0.15) -> Index:
+    """The index of ``doc_id, toxic, term counts`` rows. Terms held by more than the share ``dense``
+    of the examples go to the matrix; both parts together hold every term."""
+    index = Index(np.zeros(0, np.int64), np.zeros(0, np.int32), factor,
+                  np.full(len(factor), -1, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32),
+                  np.zeros(0), np.zeros((0, 0)), np.full(len(factor), -1, np.int32), block)
+    vectors = sorted(((i, y, *index.vector(c)) for i, y, c in rows if c), key=lambda r: r[:2])
     if not vectors:
         return index
-    blocks = -(-len(vectors) // block)
     own = np.concatenate([r[2] for r in vectors])
     weights = np.concatenate([r[3] for r in vectors])
-    places = np.repeat(np.arange(len(vectors)), [len(r[2]) for r in vectors])
-    order = np.lexsort((places, own))
-    own, index.places, index.weights = own[order], places[order], weights[order]
-    edges = np.arange(blocks + 1)
-    index.cuts = np.searchsorted(own * (blocks + 1) + index.places // block,
-                                 np.arange(len(idf))[:, None] * (blocks + 1) + edges)
-    index.most = np.zeros((len(idf), blocks))
-    np.maximum.at(index.most, (own, index.places // block), index.weights)
+    places = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(r[2]) for r in vectors])
+    held = np.bincount(own, minlength=len(factor))
+    common = np.flatnonzero(held > dense * len(vectors))
+    index.head_row[common] = np.arange(len(common))
+    index.head = np.zeros((len(common), len(vectors)))
+    at = index.head_row[own]
+    index.head[at[at >= 0], places[at >= 0]] = weights[at >= 0]
+    own, places, weights = own[at < 0], places[at < 0], weights[at < 0]
+    order = np.argsort(own, kind="stable")
+    index.places, index.weights = places[order], weights[order]
+    listed, sizes = np.unique(own, return_counts=True)
+    index.row[listed] = np.arange(len(listed))
+    index.cuts = np.concatenate([[0], np.cumsum(sizes)])
     index.ids = np.array([r[0] for r in vectors], np.int64)
     index.toxic = np.array([r[1] for r in vectors], np.int32)
     return index
@@ -214,19 +220,16 @@ def calibrate(votes: Iterable[float], labels: Iterable[int], weights: Iterable[f
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, size: int = 2048,
-        margin: float = 6.0, k: int = 15, block: int = 64) -> tuple[list[str], Index]:
-    """Vocabulary and calibrated index. Labels come from a bounded sample of labelled rows; document
-    frequencies come from all documents. What reaches the driver is bounded by the parameters."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, buckets: int = 1 << 20,
+        floor: float = 0.02, k: int = 15, block: int = 64) -> Index:
+    """Calibrated index. Labels come from a bounded sample of labelled rows; document frequencies
+    come from all documents. No term is dropped: each is weighed by its idf times ``floor`` plus its
+    ``association`` with the label. What reaches the driver is bounded by the parameters and the
+    lengths of the sampled texts."""
     found = examples(docs, labels, per_class)
-    ids = found.select("doc_id", "toxic").collect()
-    counts = Counter(r.toxic for r in ids)
-    words = vocabulary(found, counts, size, margin)
-    df, total = document_counts(docs, words) if words else (np.zeros(0), 0)
-    idf = np.log((1 + total) / (1 + df)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(words)
+        tokens = Tokens(buckets)
         for batch in batches:
             own = [tokens(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({
@@ -234,28 +237,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, size: int = 2
                 "terms": pa.array([list(c) for c in own], pa.list_(pa.int32())),
                 "counts": pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))})
 
-    rows = [] if not words else found.select("doc_id", "toxic", "text").mapInArrow(
-        run, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    rows = [(r.doc_id, r.toxic, Counter(dict(zip(r.terms, r.counts)))) for r in rows]
-    index = build_index(rows, idf, block)
+    table = found.select("doc_id", "toxic", "text").mapInArrow(
+        run, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
+    rows = [(i.as_py(), y.as_py(), Counter(dict(zip(t.as_py(), n.as_py()))))
+            for i, y, t, n in zip(*table.columns)]
+    counts = Counter(y for _, y, _ in rows)
+    df, total = document_counts(docs, buckets) if rows else (np.zeros(buckets), 0)
+    idf = np.log((1 + total) / (1 + df)) + 1
+    index = build_index(rows, idf * (floor + association(rows, buckets)), block)
     # The classes are sampled apart, so their real sizes weigh the curve and the prior.
     sizes = dict(labels.where("toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
                  .groupBy("toxic").count().collect())
     index.prior = sizes.get(1, 0) / (sum(sizes.values()) + 1)
     place = {int(i): p for p, i in enumerate(index.ids)}
-    votes = [index.vote(index.nearest(c, k, place.get(i, -1))) for i, _, c in rows]
+    votes = map(index.vote, index.nearest_all(
+        [c for _, _, c in rows], k, [place.get(i, -1) for i, _, _ in rows]))
     index.slope, index.shift = calibrate(
         votes, (y for _, y, _ in rows), (sizes.get(y, 0) / max(counts[y], 1) for _, y, _ in rows))
-    return words, index
+    return index
 
 
-def verdict(text: Column, words: list[str], index: Index, k: int = 15) -> Column:
+def verdict(text: Column, index: Index, k: int = 15) -> Column:
     """Score, prediction and evidence of a text column, in Arrow batches and without a shuffle."""
     @F.pandas_udf(VERDICT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(words)
+        tokens = Tokens(len(index.factor))
         for batch in batches:
-            found = [index.nearest(tokens(t), k) for t in batch]
+            found = [f for start in range(0, len(batch), index.block) for f in index.nearest_all(
+                [tokens(t) for t in batch[start:start + index.block]], k)]
             scores = [index.score(f) for f in found]
             evidence = [[{"doc_id": int(index.ids[p]), "cosine": c, "toxic": int(index.toxic[p])}
                          for c, p in f] for f in found]
@@ -269,29 +278,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, k: int = 15, **fitted) -> DataF
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs``.
 
     Each whole text is compared with labelled examples (``fit`` documents their bound) by the exact
-    cosine of TF-IDF vectors over the terms that tell the labels apart; the ``k`` nearest vote with
-    the inverse of their distance, and a logistic curve fitted on leave-one-out votes turns the vote
-    into a probability. ``evidence`` lists the neighbours.
+    cosine of TF-IDF vectors over all terms, in which those that tell the labels apart weigh more;
+    the ``k`` nearest vote with the inverse of their distance, and a logistic curve fitted on
+    leave-one-out votes turns the vote into a probability. ``evidence`` lists the neighbours.
 
-    * Null and empty texts, and texts without a known term: no neighbours, the calibrated prior.
+    * Null and empty texts, and texts without a term of any example: no neighbours, the
+      calibrated prior.
     * Null ``doc_id``: scored like any other, not held out unless the crc of the empty text says so.
     * Repeated rows: each is returned; repeated labels count once, toxic if one of them says so.
     * Ties: equal cosines go to the example that stands first in the index.
-    * Empty tables: no documents, empty result; no usable labels, score 0 and no evidence.
+    * Empty tables: no documents, empty result; no usable labels, score 0 and no evidence;
+      no toxic label, score 0.
     * Other columns are ignored, whatever they are called.
     """
-    words, index = fit(docs, labels, k=k, **fitted)
+    index = fit(docs, labels, k=k, **fitted)
     if not index.prior:
         index.slope, index.shift = 1.0, -1e3
     rows = docs.select(F.col("doc_id").cast("long"),
-                       verdict(F.col("text"), words, index, k).alias("v"))
+                       verdict(F.col("text"), index, k).alias("v"))
     return rows.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "v.*")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, k: int = 15, **fitted) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns and no shuffle."""
-    words, index = fit(docs, labels, k=k, **fitted)
+    index = fit(docs, labels, k=k, **fitted)
     if not index.prior:
         return docs
-    judged = docs.withColumn("__verdict", verdict(F.col("text"), words, index, k))
+    judged = docs.withColumn("__verdict", verdict(F.col("text"), index, k))
     return judged.where("__verdict.predicted = 0").drop("__verdict")

@@ -80,3 +80,25 @@ def test_edges(spark):
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
     assert len(none) == len(rows) and all(r.score < 1e-9 and not r.evidence for r in none)
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_no_term_is_dropped(spark, sf_dir):
+    """Every text that shares any word with an example has neighbours, with the cosine of whole
+    vectors, and toxic documents are found in every language."""
+    where = sf_dir.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    labels = spark.read.parquet(f"{where}/labels.parquet")
+    index = toxicity.fit(docs, labels)
+    tokens = toxicity.Tokens(len(index.factor))
+    own, value = index.vector(tokens("stupid weather in the qqqq mountains"))
+    assert len(own) == 6 + 6 and (value > 0).all()  # words, and prefixes of the long ones
+    judged = docs.select("doc_id", "lang", toxicity.verdict(F.col("text"), index).alias("v"))
+    rows = judged.join(labels, "doc_id").where(toxicity.fold("doc_id", 5) == 0).collect()
+    assert all(r.v.evidence for r in rows)
+    clean = [r for r in rows if r.toxic == 0]
+    assert sum(r.v.predicted for r in clean) <= 0.01 * len(clean)
+    for lang in ("de", "en", "es", "fr"):
+        toxic = [r.v.predicted for r in rows if r.toxic == 1 and r.lang == lang]
+        print(lang, sum(toxic), len(toxic))
+        assert len(toxic) > 3 and sum(toxic) >= 0.7 * len(toxic), lang
+    print("clean", sum(r.v.predicted for r in clean), len(clean))
