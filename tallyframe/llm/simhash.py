@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import stored
@@ -39,18 +39,25 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` of whole texts, one row per input row. Null, empty and blank texts have the
-    fingerprint zero. Texts go to Python once, in Arrow batches; no other column travels."""
+    """``doc_id, text_hash, fp`` of whole texts, one row per input row. Null, empty and blank texts
+    have the fingerprint zero. Texts go to Python once, in Arrow batches; no other column travels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = [fingerprint(t.as_py(), shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64())],
+                names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(*_key(), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _key() -> tuple[Column, Column]:
+    """What tells documents apart: the id, which may be null or given twice, and the whole text."""
+    return (F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
 
 def _masks(radius: int) -> list[int]:
@@ -97,20 +104,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
     Linking runs on distinct fingerprints, so exact copies cost one row however many there are.
     """
+    return _grouped(docs, shingle, max_distance).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("best.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, shingle: int, max_distance: int) -> DataFrame:
+    """``doc_id, text_hash, fp, best`` for every row: ``best`` is the key of the document that stands
+    for the component, the one with the smallest id, nulls last, then the smallest text hash."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = stored(fps.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
     linked = components(links(classes.select("fp"), max_distance))
     rooted = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(rooted.join(names, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
-    """The documents whose id names their component, with all their columns. Of repeated rows with
-    that id all stay, and so do rows without an id, which no component can name."""
-    found = near_duplicates(docs, shingle, max_distance)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    names = rooted.groupBy("root").agg(F.min("rep").alias("best"))
+    named = stored(rooted.join(names, "root").select("fp", "best"), "components")
+    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "best")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_distance: int = 2, repeats: bool = True
+             ) -> DataFrame:
+    """The document that stands for each component, with all its columns: the one with the smallest
+    id, nulls last, then the smallest text hash. Rows that share an id but differ in text are
+    different documents. Of rows that repeat it, id and text alike, all stay, or with ``repeats``
+    false the one with the smallest hash of its columns."""
+    found = stored(_grouped(docs, shingle, max_distance), "grouped")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (
+        F.col("text_hash") == F.col("best.text_hash"))
+    names = F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")
+    doc_id, text_hash = _key()
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keyed = rows.withColumns({"__own_id": doc_id, "__own_hash": text_hash})
+        return keyed.join(keys, F.col("__own_id").eqNullSafe(F.col("__id")) & (
+            F.col("__own_hash") == F.col("__hash")), how).drop("__own_id", "__own_hash")
+
+    kept = among(docs, found.where(~first).select(*names).distinct(), "left_anti")
+    again = found.where(first).groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if repeats or again.isEmpty():
+        return kept
+    again = stored(again, "repeated")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = among(docs, again, "left_semi").groupBy(doc_id.alias("__id"), text_hash.alias("__hash")
+                                                  ).agg(F.min_by(row, F.xxhash64(*plain)).alias("r"))
+    return among(kept, again, "left_anti").union(one.select("r.*"))

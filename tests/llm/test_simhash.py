@@ -82,3 +82,23 @@ def test_edges(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [3, 7, 7, 8]
+
+
+def test_one_row_of_each_group(spark):
+    one, two = "alpha beta gamma delta epsilon", "one two three four five six seven"
+    rows = [(7, one, "a"), (7, one, "a"), (7, one, "b"), (None, one, "c"), (9, one, "d"),
+            (5, two, "e"), (9, two + " other eight nine ten", "f"), (8, two, "g"),
+            (None, "rain snow wind sun fog", "h"), (None, "rain snow wind sun fog", "h"),
+            (None, "cat dog cow hen pig", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn(
+        "m", F.create_map(F.lit("x"), "tag"))
+    groups = {r.fingerprint for r in simhash.near_duplicates(docs).collect()}
+    assert len(groups) == 5
+    kept = simhash.keep_one(docs, repeats=False)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert got == sorted([(7, one), (5, two), (9, two + " other eight nine ten"),
+                          (0, "rain snow wind sun fog"), (0, "cat dog cow hen pig")])
+    # By default rows that repeat the document itself stay, and no other row of the group.
+    every = simhash.keep_one(docs).collect()
+    assert len(every) == 3 + 1 + 1 + 2 + 1
