@@ -55,6 +55,7 @@ WORDS = re.compile(r"[a-z]+")
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE = 256, 32, 6
 WIDTH = PATH_SIZE + WORD_SIZE + SHAPE_SIZE
 HIDDEN = 16
+BATCH = 2000  # blocks, with padding, that the labeller takes at once
 
 
 @dataclass
@@ -180,7 +181,8 @@ class Labeller:
         self.weights["v"] = rng.normal(0, 0.3, 2 * HIDDEN)
         self.weights["o"] = np.zeros(1)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool
+              ) -> tuple[np.ndarray, list]:
         u = self.weights[f"u{side}"]
         drive = x @ self.weights[f"w{side}"] + self.weights[f"c{side}"]
         steps = range(len(x)) if side == "f" else range(len(x) - 1, -1, -1)
@@ -194,21 +196,24 @@ class Labeller:
             on = mask[t][:, None]
             fresh = f * c + i * g
             squashed = np.tanh(fresh)
-            trail.append((t, h, c, i, f, o, g, squashed, on))
+            if keep:
+                trail.append((t, h, c, i, f, o, g, squashed, on))
             c = np.where(on, fresh, c)
             h = np.where(on, o * squashed, h)
             states[t] = h
         return states, trail
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        forth, trail_f = self._pass(x, mask, "f")
-        back, trail_b = self._pass(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False
+                ) -> tuple[np.ndarray, tuple]:
+        """Probabilities and states; ``keep`` also keeps every step, which only training needs."""
+        forth, trail_f = self._pass(x, mask, "f", keep)
+        back, trail_b = self._pass(x, mask, "b", keep)
         both = np.concatenate([forth, back], axis=2)
         logits = both @ self.weights["v"] + self.weights["o"]
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30))), (both, trail_f, trail_b)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (both, *trails) = self.forward(x, mask)
+        p, (both, *trails) = self.forward(x, mask, keep=True)
         error = (p - y) * mask / mask.sum()
         out = {"v": error.ravel() @ both.reshape(-1, 2 * HIDDEN), "o": np.array([error.sum()])}
         for k, (side, trail) in enumerate(zip("fb", trails)):
@@ -254,12 +259,10 @@ class Labeller:
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """The probability of every block of every page to be main text. Pages of like length share
-        a batch of bounded size."""
+        a batch of at most ``BATCH`` places, padding included; a longer page is alone."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        while order:
-            most = max(1, 2000 // len(pages[order[0]]))
-            some, order = order[:most], order[most:]
+        for some in batches(order, [len(p) for p in pages]):
             x, mask = stacked([pages[i] for i in some])
             p = self.forward(x, mask)[0]
             for k, i in enumerate(some):
@@ -267,6 +270,19 @@ class Labeller:
         return out
 
 
+def batches(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Runs of ``order``, by ascending size, whose largest size times number is at most ``BATCH``;
+    a larger one is alone."""
+    some: list[int] = []
+    for i in order:
+        if some and sizes[i] * (len(some) + 1) > BATCH:
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
 def stacked(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pages as one time-major array, and which places hold a block."""
     x = np.zeros((max(map(len, pages)), len(pages), pages[0].shape[1]))
@@ -370,15 +386,19 @@ def extract(pages: DataFrame, labeller: Labeller, threshold: float = 0.5) -> Dat
     * Broken markup: see ``blocks``. Empty table: empty result.
     * Other columns are ignored, whatever they are called.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
+        for batch in arrived:
             for start in range(0, len(batch), 128):
                 part = batch.slice(start, 128)
                 parsed = [blocks(p or "") for p in part.column(2).to_pylist()]
-                marks = labeller.label([features(page) for page in parsed])
-                texts = ["\n\n".join(b.text for b, p in zip(page, mark) if p >= threshold)
-                         for page, mark in zip(parsed, marks)]
+                texts, sizes = [""] * len(parsed), list(map(len, parsed))
+                order = sorted(filter(sizes.__getitem__, range(len(parsed))), key=sizes.__getitem__)
+                for some in batches(order, sizes):
+                    marks = labeller.label([features(parsed[i]) for i in some])
+                    for i, mark in zip(some, marks):
+                        texts[i] = "\n\n".join(
+                            b.text for b, p in zip(parsed[i], mark) if p >= threshold)
                 yield pa.RecordBatch.from_pydict({
                     "page_id": part.column(0), "url": part.column(1),
                     "text": pa.array(texts, pa.string()),

@@ -106,3 +106,28 @@ def test_edges(spark, labeller):
     assert by_id[4].text.count("a b c.") == 20_000 and by_id[None].text == "x y z"
     assert htmltext.extract(pages.limit(0), labeller).collect() == []
     assert htmltext.main_text(pages.limit(0)).collect() == []
+
+
+def test_one_huge_page_among_short_ones(monkeypatch):
+    """Short pages are not padded to the longest page, and no step is kept outside training."""
+    rng, shapes, kept = np.random.default_rng(5), [], []
+    net, whole, stacked = htmltext.Labeller(3), htmltext.Labeller._pass, htmltext.stacked
+    pages = [rng.normal(size=(n, htmltext.WIDTH)) for n in [5000, *range(1, 100)]]
+
+    def watched(self, x, mask, side, *keep):
+        out = whole(self, x, mask, side, *keep)
+        kept.append(len(out[1]))
+        return out
+
+    def measured(some):
+        out = stacked(some)
+        shapes.append(out[0].shape[:2])
+        return out
+
+    monkeypatch.setattr(htmltext.Labeller, "_pass", watched)
+    monkeypatch.setattr(htmltext, "stacked", measured)
+    marks = net.label(pages)
+    assert [len(m) for m in marks] == [len(p) for p in pages]
+    assert all(n == 1 or blocks * n <= 2000 for blocks, n in shapes) and (5000, 1) in shapes
+    assert not any(kept)
+    assert np.allclose(net.label([pages[60]])[0], marks[60])
