@@ -20,7 +20,7 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav noscript ol optgroup option p pre search section select summary table "
     "tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style textarea template iframe svg math object canvas".split())
+RAW_TAGS = frozenset("script style textarea template iframe".split())
 #: A start tag of the key ends an open element of the value at once.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"},
           "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},

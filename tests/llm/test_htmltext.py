@@ -131,3 +131,10 @@ def test_one_huge_page_among_short_ones(monkeypatch):
     assert all(n == 1 or blocks * n <= 2000 for blocks, n in shapes) and (5000, 1) in shapes
     assert not any(kept)
     assert np.allclose(net.label([pages[60]])[0], marks[60])
+
+
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "canvas"])
+def test_embedded_elements_are_parsed(tag):
+    assert texts(f"<p>a <{tag} class=x><b>in</b></{tag}> b</p><p>c</p>") == ["a in b", "c"]
+    assert texts(f"<article><p>a <{tag}>in<p>b</p><p>c</p></article>d") == ["a in", "b", "c", "d"]
+    assert texts(f"<{tag}><style>p{{}}</style><p>fallback</p></{tag}>") == ["fallback"]
