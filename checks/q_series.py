@@ -103,6 +103,12 @@ for freq in "DWMQY":
             {sql_dense('one', freq)} SELECT * FROM series""",
         R_SUM,
     )
+    register(
+        f"to_dense_series_all{suffix}",
+        lambda s, d, f=freq: ops.to_dense_series(tx(s, d), f),
+        f"WITH {TX}, {sql_dense('tx', freq)} SELECT * FROM series",
+        R_SUM,
+    )
 register(
     "to_time_series_by_account",
     lambda s, d: ops.to_time_series(ev(s, d), "W", ("account_id", "category")),

@@ -107,6 +107,14 @@ register(
     {_TERMS.format(text='plain', source='plain')} SELECT * FROM vocabulary""",
     "10:idf",
 )
+# Whole texts: SQL's \w knows ASCII only, so its words are spelled as a Unicode class.
+register(
+    "tfidf_vocabulary_documents_whole",
+    lambda s, d: ops.tfidf_vocabulary(table(s, d, "documents"), "text"),
+    "WITH " + _TERMS.format(text="coalesce(text, '')", source="documents").replace(
+        r"\b\w\w+\b", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}") + " SELECT * FROM vocabulary",
+    "10:idf",
+)
 register(
     "tfidf_features",
     lambda s, d: ops.tfidf_features(tx(s, d)),

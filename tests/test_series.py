@@ -137,3 +137,13 @@ def test_exact_quantiles_with_hot_values(spark, small):
     assert len(got) == 14
     for r in got:
         assert r.quantile == pytest.approx(frames[r.column_name].quantile(r.prob))
+
+
+def test_dense_series_is_checked_on_all_transactions(spark, sf_dir):
+    import __spark_entry__ as contract
+    from checks.base import tx
+
+    total = tx(spark, sf_dir).where("amount is not null").count()
+    for suffix in ("", "_weekly", "_monthly", "_quarterly", "_yearly"):
+        rows = contract.queries()[f"to_dense_series_all{suffix}"](spark, sf_dir).collect()
+        assert sum(r.amount_count for r in rows) == total

@@ -129,3 +129,24 @@ def test_classifier_errors(spark, labelled):
 def test_training_set_labels_are_sorted(spark, labelled):
     labels = ops.training_set(labelled).select("category", "label").distinct().orderBy("label")
     assert [tuple(r) for r in labels.collect()] == [("food", 0.0), ("transport", 1.0)]
+
+
+def test_vocabulary_of_whole_texts(spark, tmp_path):
+    import re
+    from collections import Counter
+
+    import __spark_entry__ as contract
+
+    texts = ["Größe über 42 Straßen", "été à l'école été", "El niño comió 3 piñas", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    want, held = Counter(), Counter()
+    for text in texts:
+        words = re.findall(r"\w\w+", (text or "").lower())
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        want.update(terms)
+        held.update(set(terms))
+    rows = contract.queries()["tfidf_vocabulary_documents_whole"](spark, str(tmp_path)).collect()
+    assert {r.term: (r.corpus_count, r.doc_count) for r in rows} == {
+        t: (n, held[t]) for t, n in want.items()}
+    assert {"größe", "été", "42", "niño comió"} <= set(want)
