@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import (
     bpe,
     htmltext,
+    infill,
     langid,
     linededup,
     mixing,
@@ -102,3 +103,11 @@ def op10_language_id(spark, sf_dir):
 @query
 def op9_html_text(spark, sf_dir):
     return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+
+
+ORACLES["op12_fill_in_middle"] = infill.SQL
