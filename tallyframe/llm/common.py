@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +42,16 @@ def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone, the same in every run and on every
     partitioning."""
     return F.shiftrightunsigned(F.xxhash64(F.lit("draw"), *cols), 11) / F.lit(float(1 << 53))
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts take about ``limit`` bytes at most; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import slices
+
 #: Marks of prefix, suffix and middle.
 SENTINELS = ("<P>", "<S>", "<M>")
 SLICE_BYTES = 16 << 20  # rows of a batch that are worked on together
@@ -25,19 +27,6 @@ def draws(doc_id: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts whose texts take about ``SLICE_BYTES`` at most; a longer text comes alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if i > start and held + size > SLICE_BYTES:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def _modulo(value: pa.Array, by) -> pa.Array:
     return pc.subtract(value, pc.multiply(pc.divide(value, by), by))
 
@@ -146,7 +135,7 @@ def fill_in_middle(docs: DataFrame, rate: int = 100, spm: int = 50, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE_BYTES):
                 own = rearranged(part.column(1), part.columns[2:], rate, spm, marks)
                 own[-1] = own[-1].cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
@@ -168,7 +157,7 @@ def restore(made: DataFrame, marks: tuple[str, str, str] = SENTINELS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, SLICE_BYTES):
                 forms = pc.fill_null(part.column(form_at), "plain")
                 text = rebuilt(part.column(at), forms, marks)
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())],

@@ -17,7 +17,9 @@ from tallyframe.llm import (
     mixing,
     neighbours,
     quality,
+    setjoin,
     simhash,
+    spelling,
     toxicity,
     warc,
 )
@@ -111,3 +113,16 @@ def op12_fill_in_middle(spark, sf_dir):
 
 
 ORACLES["op12_fill_in_middle"] = infill.SQL
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_jaccard_join(spark, sf_dir):
+    return setjoin.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+ORACLES["op11_jaccard_join"] = setjoin.SQL

@@ -52,7 +52,7 @@ def test_round_trip(texts, h):
     assert n.to_pylist() == [len(re.findall(r"[^\n]*\n|[^\n]+", t)) for t in texts]
 
 
-def test_edges(spark, monkeypatch):
+def test_edges(spark):
     long = "a line of words\n" * 40_000
     rows = [(1, None, 1), (2, "", 1), (3, "\n", 1), (4, "\n\n\nno end", 1), (5, "a<S>b\nc", 1),
             (None, "one\ntwo\nthree", 1), (6, "é\nü\r\nß", 1), (6, "é\nü\r\nß", 1), (7, long, 1)]
@@ -67,10 +67,9 @@ def test_edges(spark, monkeypatch):
         str((i, *slow(i, t, 40, 0, 3, ("[p", "[s", "[m")))) for i, t, _ in rows)
 
 
-def test_slices_bound_what_is_held(monkeypatch):
-    monkeypatch.setattr(infill, "SLICE_BYTES", 10)
+def test_slices_bound_what_is_held():
     batch = pa.record_batch({"text": ["aaaa", None, "bbbb", "cccc", "d" * 50, "", "e"]})
-    parts = [p.column(0).to_pylist() for p in infill.slices(batch, 0)]
+    parts = [p.column(0).to_pylist() for p in infill.slices(batch, 0, 10)]
     assert parts == [["aaaa", None, "bbbb"], ["cccc"], ["d" * 50], ["", "e"]]
 
 
