@@ -14,7 +14,6 @@ from tallyframe.llm.common import stored
 RUN = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORTEST = 7  # words from here on have two grams that no single edit can both affect
-APART = 4  # between the starts of two such grams
 EDGE = 64  # grams are listed up to this far from the ends of a word
 
 
@@ -56,39 +55,57 @@ def gram_dictionary(words: DataFrame, share: float = 0.002) -> dict[str, int]:
     return {r.pair: r.n for r in pairs.union(longer).collect()}
 
 
-def decompose(word: str, dictionary: dict[str, int]) -> list[tuple[int, int]]:
-    """Start and end of the grams of a word: at each place the longest one of the dictionary, unless
-    a gram before it covers it."""
-    out, reach = [], 0
-    for p in range(len(word) - 1):
-        end = p + 3 if p + 3 <= len(word) and word[p:p + 3] in dictionary else p + 2
-        if end > reach:
-            out.append((p, end))
-            reach = end
+def decompose(word: str, dictionary: dict[str, int]) -> list[tuple[int, int, int, int]]:
+    """``start, end, low, high`` of the grams of a word: at each place the longest one of the
+    dictionary, unless a gram before it covers it. An edit affects a gram only between ``low`` and
+    ``high``, where letter i stands at 2 i + 1 and the gap before it at 2 i.
+
+    A gram of three letters depends on them alone: nothing covers it. A pair also depends on the
+    letter before, with which a longer gram might cover it, and a pair at the end that could be longer
+    depends on the end."""
+    out = []
+    size = len(word)
+    for p in range(size - 1):
+        if word[p:p + 3] in dictionary and p + 3 <= size:
+            out.append((p, p + 3, 2 * p + 1, 2 * p + 5))
+        elif not p or word[p - 1:p + 2] not in dictionary:
+            out.append((p, p + 2, 2 * p - 1, 2 * p + 3 + (p + 2 == size)))
     return out
 
 
 def keys(word: str, dictionary: dict[str, int]) -> tuple[list[str], list[str]]:
-    """The lists that a word stands on, and the two that are merged to find its neighbours.
-
-    A gram at place p depends on the letters p - 1 to p + 2 alone, so an edit affects it only if it
-    touches these. Of two grams at least ``APART`` places apart, an edit affects one at most: it lies
-    to the right of what the first depends on, or else to the left of what the second depends on. The
-    neighbour then has the first gram, and the same text before it, or it has the second gram, and
-    the same text behind it. Lists are kept by gram and that text. Of all such pairs of grams, the
-    one with the shortest lists to be expected is merged.
+    """The lists that a word stands on, and those that are merged to find its neighbours.
+
+    Of two grams whose affected ranges do not meet, one edit affects one at most: it lies to the right
+    of the first range, or else to the left of the second. The neighbour then has the first gram and
+    the same text before it, or it has the second gram and the same text behind it. Lists are kept by
+    gram, that text and the length of the word; those of the neighbour's three possible lengths are
+    merged. Of all such pairs of grams in the halves of the word, the one with the shortest lists to
+    be expected is taken.
     """
     size, grams = len(word), decompose(word, dictionary)
-    heads = [(p, e, f"<{p},{word[:e]}") for p, e in grams if p < EDGE]
-    tails = [(p, e, f">{e - p},{word[p:]}") for p, e in grams if p >= size - EDGE]
-    listed = [k for _, _, k in heads + tails]
+    heads = [g for g in grams if g[0] <= min(size // 2, EDGE)]
+    tails = [g for g in grams if size - g[0] <= min(size // 2, EDGE) + 2]
 
-    def expected(p: int, e: int, beyond: int) -> float:
-        return dictionary.get(word[p:e], 1) * 8.0 ** -min(beyond, EDGE)
+    def names(found: list, place) -> list[str]:
+        return [place(g, n) for g in found for n in (size - 1, size, size + 1)]
 
-    choice = min(((expected(p, e, p) + expected(q, f, size - f), first, last)
-                  for p, e, first in heads for q, f, last in tails if q >= p + APART), default=None)
-    return listed, list(choice[1:])
+    def head(g: tuple, n: int) -> str:
+        return f"<{n},{g[0]},{word[:g[1]]}"
+
+    def tail(g: tuple, n: int) -> str:
+        return f">{n},{g[1] - g[0]},{word[g[0]:]}"
+
+    def expected(g: tuple, beyond: int) -> float:
+        return dictionary.get(word[g[0]:g[1]], 1) * 8.0 ** -min(beyond, EDGE)
+
+    # The neighbour may be a letter shorter and list its grams up to a smaller half.
+    near = min((size - 1) // 2, EDGE)
+    choice = min(((expected(g, g[0]) + expected(h, size - h[1]), g, h)
+                  for g in heads if g[0] <= near for h in tails
+                  if size - h[0] <= near + 2 and g[3] < h[2]), default=None)
+    return ([head(g, size) for g in heads] + [tail(g, size) for g in tails],
+            names([choice[1]], head) + names([choice[2]], tail))
 
 
 def near_words(words: DataFrame, share: float = 0.002) -> DataFrame:
@@ -118,7 +135,7 @@ def near_words(words: DataFrame, share: float = 0.002) -> DataFrame:
     lists = rows.where("not probe").select("key", F.col("word").alias("other"),
                                            F.col("n").alias("other_n"))
     found = rows.where("probe").join(lists, "key").where(
-        "abs(length(word) - length(other)) <= 1 and levenshtein(word, other, 1) = 1")
+        "levenshtein(word, other, 1) = 1")
     return found.select("word", "n", "other", "other_n").distinct()
 
 

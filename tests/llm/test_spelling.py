@@ -101,6 +101,14 @@ def test_every_edit_leaves_a_merged_list():
                     spelling.keys(other, dictionary)[0])
 
 
+def test_every_word_has_two_grams_that_no_edit_affects():
+    for size in range(spelling.SHORTEST, 15):
+        word = "".join(chr(97 + i) for i in range(size))
+        for kind in range(2 ** (size - 1)):
+            dictionary = {word[i:i + 3]: 1 for i in range(size - 1) if kind >> i & 1}
+            assert len(spelling.keys(word, dictionary)[1]) == 6
+
+
 def test_edges(spark):
     long = "abcdefgh" * 250
     rows = [(1, "Receive RECEIVE receive. " * 20, 0), (2, None, 0), (3, "", 0), (None, "recieve", 0),
