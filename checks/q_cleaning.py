@@ -207,3 +207,19 @@ def _narrow_sql():
 
 
 register("narrow_types", _narrowed, _narrow_sql(), "l_quantity l_extendedprice")
+
+
+def _null_ids(s, d):
+    """A third of the groups has no id at all, and the rest has some."""
+    number = F.col("id").cast("long")
+    return tx(s, d).withColumn("id", F.when((number % 3 > 0) & (number % 12 > 3), F.col("id")))
+
+
+register(
+    "dedupe_null_ids",
+    lambda s, d: ops.dedupe_transactions(_null_ids(s, d), ("transaction_date", "description")),
+    f"""WITH {TX}, some AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 3 > 0
+          AND CAST(id AS BIGINT) % 12 > 3 THEN id END AS id) FROM tx)
+        SELECT * FROM some QUALIFY row_number() OVER (PARTITION BY transaction_date, description
+          ORDER BY id NULLS LAST, account_id, amount, category NULLS FIRST) = 1""",
+)

@@ -4,17 +4,17 @@ the session's shared folder, reads it back and sums it."""
 from pyspark.sql import functions as F
 
 from checks.base import (
-    CLEAN, TX, TXC, register, sql_keywords, tx, tx_raw, txc,
+    CLEAN, ORACLES, TX, TXC, register, sql_keywords, tx, tx_raw, txc,
 )
 from checks.q_forecasts import FC, _PRED, fc, metrics
 from checks.q_recommend import ranked, sql_ranked
 from checks.q_series import sql_series
 from tallyframe.operators.reports import financial_report
-from tallyframe.operators.timeseries import to_time_series
+from tallyframe.operators.timeseries import series_of_freqs, to_time_series
 from tallyframe.plans.jobs import process_transactions
 from tallyframe.schemas import RAW_STATEMENT
 from tallyframe.session import new_path
-from tallyframe.sources import readers, writers
+from tallyframe.sources import readers, store, writers
 from tallyframe.streaming.ingest import ingest_stream, ingest_upload
 
 BY_CATEGORY = "category, count(*) AS n, sum(amount) AS total"
@@ -106,6 +106,17 @@ register(
 )
 
 
+def _series_in_one_pass(s, d):
+    path = new_path(s, "series")
+    writers.write_series(series_of_freqs(txc(s, d)), path)
+    return s.read.parquet(path).groupBy("freq", "category").agg(
+        F.count("*").alias("n"), F.sum("amount_sum").alias("total"))
+
+
+register("write_series_in_one_pass", _series_in_one_pass,
+         ORACLES["write_series"].split("FROM (", 1)[1].rsplit(") AS result", 1)[0], "total")
+
+
 def _forecasts(s, d):
     path = new_path(s, "forecasts")
     writers.write_forecasts(fc(s, d), path)
@@ -253,3 +264,74 @@ register(
     f"WITH {TX} SELECT {BY_CATEGORY} FROM tx WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY 1",
     "total",
 )
+
+
+def _store_append_new(s, d):
+    path = new_path(s, "first-rows")
+    rows = tx(s, d).drop("id")
+    writers.append_to(path, rows.filter("amount < 0"))
+    writers.append_to(path, rows.filter("amount >= 0"))
+    return _by_category_stored(s, path)
+
+
+register("store_append_new", _store_append_new,
+         f"WITH {TX} SELECT {BY_CATEGORY} FROM tx GROUP BY 1", "total")
+
+
+def _buckets(s, d):
+    """Made, appended to, patched and cut, all bucket by bucket."""
+    path = new_path(s, "buckets")
+    rows = tx(s, d).withColumns({"created_at": F.lit(None).cast("timestamp"),
+                                 "updated_at": F.lit(None).cast("timestamp")})
+    number = F.col("id").cast("long")
+    store.create_store(rows, path, buckets=16)
+    writers.append_to(path, rows.filter(number % 11 == 0).drop("id"))
+    patches = rows.filter(number % 7 == 0).select("id", F.lit(-1.0).alias("amount"),
+                                                  F.lit("new").alias("category"))
+    writers.update_in(path, patches)
+    writers.delete_from(path, rows.filter(number % 3 == 0))
+    return _by_category_stored(s, path)
+
+
+register(
+    "store_buckets", _buckets,
+    f"""WITH {TX} SELECT {BY_CATEGORY} FROM (
+          SELECT CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'new' ELSE category END AS category,
+                 CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN -1.0 ELSE amount END AS amount FROM tx
+          WHERE CAST(id AS BIGINT) % 3 <> 0
+          UNION ALL SELECT category, amount FROM tx WHERE CAST(id AS BIGINT) % 11 = 0)
+        AS changed GROUP BY 1""",
+    "total",
+)
+
+
+def _store_update_twice(s, d):
+    path = _written(s, tx(s, d))
+    ids = tx(s, d).filter(F.col("id").cast("long") % 7 == 0).select("id")
+    first = ids.withColumns({"seq": F.lit(1), "amount": F.lit(-1.0), "category": F.lit("old")})
+    second = ids.withColumns({"seq": F.lit(2), "amount": F.lit(None).cast("double"),
+                              "category": F.lit("new")})
+    writers.update_in(path, second.unionByName(first))
+    return _by_category_stored(s, path)
+
+
+register("store_update_twice", _store_update_twice, ORACLES["store_update"])
+
+
+def _stream_twice(s, d):
+    """Two uploads of one statement, the second after the first was taken in."""
+    source, table, progress = (new_path(s, n) for n in ("uploads", "taken", "progress"))
+    rows = tx_raw(s, d)
+    for _ in range(2):
+        rows.write.mode("append").option("header", True).options(**_SPACES).csv(source)
+        ingest_stream(s, source, table, progress, dedupe="30 days").awaitTermination()
+    return by_category(s.read.parquet(table))
+
+
+register(
+    "ingest_stream_dedupe", _stream_twice,
+    f"""WITH {CLEAN} SELECT {sql_keywords('description')} AS category, count(*) AS n,
+        sum(amount) AS total FROM (SELECT DISTINCT transaction_date, description, amount FROM clean)
+        AS once GROUP BY 1""",
+    "total",
+)

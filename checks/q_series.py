@@ -98,9 +98,8 @@ for freq in "DWMQY":
     suffix = {"D": "", "W": "_weekly", "M": "_monthly", "Q": "_quarterly", "Y": "_yearly"}[freq]
     register(
         f"to_dense_series{suffix}",
-        lambda s, d, f=freq: ops.to_dense_series(tx(s, d).filter("description = 'UBER'"), f),
-        f"""WITH {TX}, one AS (SELECT * FROM tx WHERE description = 'UBER'),
-            {sql_dense('one', freq)} SELECT * FROM series""",
+        lambda s, d, f=freq: ops.to_dense_series(ev(s, d), f),
+        f"WITH {EV}, {sql_dense('ev', freq)} SELECT * FROM series",
         R_SUM,
     )
     register(

@@ -6,7 +6,9 @@ from checks.base import (
     TX, TXC, TX_RECURRING, register, table, tx, tx_recurring, txc,
 )
 from tallyframe.operators import categories as cats
+from tallyframe.operators import search
 from tallyframe.operators import tables as ops
+from tallyframe.session import new_path
 
 COLS = "id, transaction_date, description, amount, category"
 KEEP = COLS.split(", ")
@@ -186,3 +188,45 @@ register(
           FROM dim AS d JOIN tree AS t ON d.parent_category = t.name)
         SELECT * FROM tree""",
 )
+
+
+def _indexed(s, df):
+    path = new_path(s, "search")
+    search.write_search_index(df, path, files=8)
+    return path
+
+
+def _search_documents(s, d):
+    """Texts by four queries, one of them shorter than a gram."""
+    docs = table(s, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("description"),
+        F.col("source").alias("category"), F.lit("2024-01-01").cast("date").alias("transaction_date"))
+    path = _indexed(s, docs)
+    found = None
+    for query in _QUERIES:
+        rows = search.search_with_index(docs, path, query).select(F.lit(query).alias("query"), "id")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+_QUERIES = ("License", " the ", "qu", "no such words")
+register(
+    "search_with_index_documents", _search_documents,
+    " UNION ALL ".join(f"""SELECT '{q}' AS query, doc_id AS id FROM documents
+        WHERE contains(lower(text), '{q.lower()}') OR contains(lower(source), '{q.lower()}')"""
+                       for q in _QUERIES),
+)
+register(
+    "search_with_index",
+    lambda s, d: search.search_with_index(
+        tx(s, d), _indexed(s, tx(s, d)), "Station").select("id", "description", "category"),
+    f"""WITH {TX} SELECT id, description, category FROM tx
+        WHERE contains(lower(description), 'station') OR contains(lower(category), 'station')""",
+)
+register(
+    "similar_with_index",
+    lambda s, d: search.similar_with_index(
+        tx(s, d), _indexed(s, tx(s, d)), "gas", 10).select("id", "description"),
+    f"""WITH {TX} SELECT id, description FROM tx WHERE contains(lower(description), 'gas')
+        ORDER BY transaction_date DESC, id LIMIT 10""",
+)

@@ -98,23 +98,15 @@ register(
     f"WITH {TX}, {_TERMS.format(text='description', source='tx')} SELECT * FROM vocabulary",
     "10:idf",
 )
-register(
-    "tfidf_vocabulary_documents",
-    lambda s, d: ops.tfidf_vocabulary(
-        table(s, d, "documents").select(F.regexp_replace("text", "[^a-zA-Z ]", " ").alias("plain")),
-        "plain"),
-    f"""WITH plain AS (SELECT regexp_replace(text, '[^a-zA-Z ]', ' ', 'g') AS plain FROM documents),
-    {_TERMS.format(text='plain', source='plain')} SELECT * FROM vocabulary""",
-    "10:idf",
-)
 # Whole texts: SQL's \w knows ASCII only, so its words are spelled as a Unicode class.
-register(
-    "tfidf_vocabulary_documents_whole",
-    lambda s, d: ops.tfidf_vocabulary(table(s, d, "documents"), "text"),
-    "WITH " + _TERMS.format(text="coalesce(text, '')", source="documents").replace(
-        r"\b\w\w+\b", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}") + " SELECT * FROM vocabulary",
-    "10:idf",
-)
+for name in ("tfidf_vocabulary_documents", "tfidf_vocabulary_documents_whole"):
+    register(
+        name,
+        lambda s, d: ops.tfidf_vocabulary(table(s, d, "documents"), "text"),
+        "WITH " + _TERMS.format(text="coalesce(text, '')", source="documents").replace(
+            r"\b\w\w+\b", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}") + " SELECT * FROM vocabulary",
+        "10:idf",
+    )
 register(
     "tfidf_features",
     lambda s, d: ops.tfidf_features(tx(s, d)),
@@ -188,3 +180,98 @@ register(
         SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) AS words
         WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 50""",
 )
+
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}"
+
+
+def sql_weights(rows: str, train: str = "true", top: int = 5000) -> str:
+    """CTEs from ``rows(id, text, ...)`` to ``vocabulary``, of the rows of ``train``, and ``weighed``:
+    normalised weights of each row's terms."""
+    return f"""split_rows AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS w FROM {rows}),
+    uses AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(w,
+      list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+      FROM split_rows) AS flat GROUP BY ALL),
+    vocabulary AS (SELECT term, sum(tf) AS used, ln((1 + (SELECT count(*) FROM {rows}
+      WHERE {train})) / (1 + count(*))) + 1 AS idf FROM uses JOIN {rows} USING (id) WHERE {train}
+      GROUP BY 1 ORDER BY used DESC, term LIMIT {top}),
+    weighed AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id))
+      AS weight FROM uses JOIN vocabulary USING (term))"""
+
+
+_DOCS = "docs AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS text FROM documents)"
+register(
+    "tfidf_features_documents",
+    lambda s, d: ops.document_features(table(s, d, "documents"), "doc_id", "text"),
+    f"WITH {_DOCS}, {sql_weights('docs')} SELECT id AS doc_id, term, weight FROM weighed",
+    "8:weight",
+)
+
+
+def _languages(s, d):
+    """The language of a text as its category; a fifth of the documents is held out."""
+    return table(s, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("description"),
+        F.col("lang").alias("category"), (F.col("doc_id") % 5 == 0).alias("held"))
+
+
+_LANGUAGES = f"""langs AS (SELECT doc_id AS id, lower({normal_sql('text')}) AS text, lang,
+      doc_id % 5 = 0 AS held FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+    {sql_weights('langs', 'NOT held')},
+    sums AS (SELECT lang, term, sum(weight) AS s FROM weighed JOIN langs USING (id)
+      WHERE NOT held GROUP BY 1, 2),
+    classes AS (SELECT lang, count(*) AS n, ln(count(*) + 1) - ln(sum(count(*)) OVER () + count(*)
+      OVER ()) AS prior FROM langs WHERE NOT held GROUP BY 1),
+    whole AS (SELECT lang, prior, ln(coalesce((SELECT sum(s) FROM sums WHERE sums.lang
+      = classes.lang), 0) + (SELECT count(*) FROM vocabulary)) AS total FROM classes),
+    scores AS (SELECT l.id, l.lang, c.lang AS guess, any_value(c.prior) + coalesce(sum(
+        w.weight * (ln(coalesce(s.s, 0) + 1) - c.total)), 0) AS score
+      FROM langs AS l CROSS JOIN whole AS c LEFT JOIN weighed AS w ON w.id = l.id
+      LEFT JOIN sums AS s ON s.lang = c.lang AND s.term = w.term GROUP BY 1, 2, 3),
+    guesses AS (SELECT id, any_value(lang) AS lang, max_by(guess, score) AS prediction
+      FROM scores GROUP BY 1)"""
+
+
+def _trained_languages(s, d):
+    return ml.train_categorizer(_languages(s, d), split="held")
+
+
+register(
+    "train_categorizer_documents",
+    lambda s, d: _languages(s, d).filter("held and category is not null").agg(
+        F.count("description").alias("n")).withColumn(
+        "accuracy", F.lit(_trained_languages(s, d)[1])),
+    f"""WITH {_LANGUAGES} SELECT count(*) AS n,
+        avg(CASE WHEN g.prediction = g.lang THEN 1.0 ELSE 0.0 END) AS accuracy
+        FROM guesses AS g JOIN langs USING (id) WHERE held""",
+    "accuracy",
+)
+register(
+    "predict_categories_documents",
+    lambda s, d: ml.predict_categories(
+        _trained_languages(s, d)[0], _languages(s, d).filter(
+            "description is not null and category is not null")).select("id", "prediction"),
+    f"WITH {_LANGUAGES} SELECT id, prediction FROM guesses",
+)
+register(
+    "table_categorize_documents",
+    lambda s, d: ops.table_categorize(
+        table(s, d, "documents").withColumnRenamed("text", "description"),
+        s.createDataFrame([(i, c, list(w)) for i, (c, w) in enumerate(RULE_SETS["default"])],
+                          "seq int, category string, keywords array<string>"), overwrite=True,
+    ).select("doc_id", "category"),
+    f"SELECT doc_id, {sql_keywords('text')} AS category FROM documents",
+)
+register(
+    "table_categorize",
+    # One rule for each customer, with the name and the account as keywords.
+    lambda s, d: ops.table_categorize(
+        table(s, d, "orders").select("o_orderkey", F.format_string(
+            "Paid by CUSTOMER#%09d, order %d", "o_custkey", "o_orderkey").alias("description")),
+        table(s, d, "customer").select(
+            F.col("c_custkey").alias("seq"), F.col("c_mktsegment").alias("category"),
+            F.array(F.lower("c_name"), F.concat(F.lit("account "), F.col("c_custkey")))
+            .alias("keywords")),
+    ).groupBy("category").agg(F.count("*").alias("n")),
+    """SELECT coalesce(c_mktsegment, 'other') AS category, count(*) AS n FROM orders
+       LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+)

@@ -101,8 +101,47 @@ def with_keyword_category(
 
 def rules_from_table(table: DataFrame, limit: int = 10_000) -> Rules:
     """Rules kept as a table ``(seq, category, keywords)``. They become literals in the plan, so
-    the table is refused when it is larger than ``limit`` rows."""
+    the table is refused when it is larger than ``limit`` rows; ``with_rule_table`` joins a table of
+    any size instead."""
     rows = table.select("seq", "category", "keywords").limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"Rule table has more than {limit} rows")
     return [(r.category, tuple(r.keywords)) for r in sorted(rows, key=lambda r: r.seq)]
+
+
+GRAM = 4  # letters of a keyword by which it is found
+
+
+def with_rule_table(df: DataFrame, rules: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``, the category of the first rule by ``seq`` that has a keyword inside the
+    lower-case text of ``column``, else ``other``. ``rules`` is a table ``(seq, category, keywords)``
+    of any size; ties in ``seq`` go to the category that sorts first.
+
+    Keywords are joined by their first letters with the places of the texts where these letters
+    stand, and compared with as much text as the longest keyword has. Each different text is looked
+    up once. Texts travel in windows of that length; the optimizer broadcasts the rules where they are
+    small, and AQE splits frequent letters.
+    """
+    words = rules.select("seq", "category", F.explode("keywords").alias("_word")).where(
+        "_word <> ''").withColumn("_gram", F.substring("_word", 1, GRAM))
+    # A few numbers: the longest keyword, and the lengths of first letters that there are.
+    longest, lengths = words.agg(F.max(F.length("_word")),
+                                 F.collect_set(F.length("_gram"))).first()
+    keyed = df.withColumns({"_h1": F.xxhash64(F.lower(column)),
+                            "_h2": F.xxhash64(F.lit(1), F.lower(column))})
+    if not longest:
+        return keyed.withColumn(out, F.lit(OTHER)).drop("_h1", "_h2")
+    texts = df.where(F.col(column) != "").select(F.lower(column).alias("_text")).distinct()
+    places = F.sequence(F.lit(1), F.length("_text"))
+    windows = F.array_distinct(F.transform(places, lambda i: F.substring(
+        F.col("_text"), i, F.lit(longest))))
+    spots = texts.select(F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(1), "_text").alias("_h2"),
+                         F.explode(windows).alias("_window"))
+    grams = F.array(*[F.when(F.length("_window") >= n, F.substring("_window", 1, n))
+                      for n in sorted(lengths)])
+    spots = spots.withColumn("_gram", F.explode(F.array_compact(grams)))
+    found = spots.join(words, "_gram").where(F.startswith("_window", "_word")).groupBy(
+        "_h1", "_h2").agg(F.min(F.struct("seq", "category")).alias("_first"))
+    joined = keyed.join(found, ["_h1", "_h2"], "left")
+    return joined.withColumn(out, F.coalesce("_first.category", F.lit(OTHER))).drop(
+        "_h1", "_h2", "_first")

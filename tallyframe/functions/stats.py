@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -111,20 +111,60 @@ def _narrow(df: DataFrame, targets: list[_Target], small: int) -> None:
         open_targets = again
 
 
+def _plain(column: str) -> Column:
+    return F.nullif(F.col(f"`{column}`").cast("double"), F.lit(math.nan))
+
+
+def quantile_sketch(columns: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    """Aggregates that ``exact_quantiles`` starts from, to be taken along in a pass that is made
+    anyway: the known values of each column, and a sketch of the ranges that hold the quantiles."""
+    room = 3 / ACCURACY
+    grid = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-room, room)]
+    return [a for i, c in enumerate(columns) for a in (
+        F.count(_plain(c)).alias(f"_known{i}"),
+        F.percentile_approx(_plain(c), grid, ACCURACY).alias(f"_sketch{i}"))]
+
+
+def _count(df: DataFrame, targets: list[_Target]) -> None:
+    """Exact numbers below and inside the range of every target, in one pass. A range that turns out
+    not to hold its ranks is opened again."""
+    if not targets:
+        return
+    counts = df.agg(*[F.count_if(t.value() < t.low) for t in targets],
+                    *[F.count_if(t.in_range()) for t in targets]).first()
+    for i, target in enumerate(targets):
+        below, inside = counts[i], counts[i + len(targets)]
+        if below <= target.low_rank <= target.high_rank < below + inside:
+            target.below, target.inside = below, inside
+        else:
+            target.low, target.high = -math.inf, math.inf
+
+
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = 100_000
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    small: int = 100_000,
+    sketch: Row | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of numeric columns as rows ``(column_name, prob, quantile)``.
 
     A sketch only tells where to look; the counts that follow are exact. The rows left in a range
     are grouped by value before they are ordered, so the ordered part has at most ``small`` rows
-    per quantile, or one when a single value fills the range, however large the table is.
+    per quantile, or one when a single value fills the range, however large the table is. ``sketch``
+    is the row of ``quantile_sketch`` where the caller has it already; then two passes are left, and
+    two more for each round that a range of more than ``small`` rows takes.
     """
-    numbers = df.select(
-        *[F.nullif(F.col(f"`{c}`").cast("double"), F.lit(math.nan)).alias(c) for c in columns]
-    )
-    counts = numbers.agg(*[F.count(f"`{c}`") for c in columns]).first()
-    targets = [_Target(c, p, n) for c, n in zip(columns, counts) if n for p in probs]
+    numbers = df.select(*[_plain(c).alias(c) for c in columns])
+    if sketch is None:
+        sketch = numbers.agg(*quantile_sketch(columns, probs)).first()
+    targets = []
+    for i, column in enumerate(columns):
+        for j, prob in enumerate(probs if sketch[f"_known{i}"] else ()):
+            target = _Target(column, prob, sketch[f"_known{i}"])
+            target.low, target.high = sketch[f"_sketch{i}"][2 * j:2 * j + 2]
+            targets.append(target)
+    _count(numbers, targets)
     _narrow(numbers, targets, small)
     schema = "column_name string, prob double, low_rank long, high_rank long, part double, " \
              "low double, high double, below long"

@@ -11,7 +11,14 @@ from pyspark.sql import Window
 
 from tallyframe.functions.calendar import month_start, weekday
 from tallyframe.functions.rules import OTHER
-from tallyframe.functions.stats import exact_quantiles, expense_of, income_of, percent_change, share
+from tallyframe.functions.stats import (
+    exact_quantiles,
+    expense_of,
+    income_of,
+    percent_change,
+    quantile_sketch,
+    share,
+)
 from tallyframe.operators.cleaning import map_columns_if_missing
 from tallyframe.operators.tables import filter_transactions, moment
 
@@ -203,37 +210,39 @@ def _stack(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
+QUARTILES = (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+_PROFILE = ("column_name string, data_type string, n_rows long, n_nulls long, mean double, std double, "
+            "min double, max double")
+
+
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls and, for numbers, mean, deviation, range and quartiles."""
-    numbers, aggs, rows = _numeric(df), [F.count("*").alias("_n")], []
-    empty = F.lit(None).cast("double")
+    """One row per column: rows, nulls and, for numbers, mean, deviation, range and quartiles.
+
+    One pass takes all counts and moments and, with them, a sketch of the quartiles; a second one
+    counts around these, and a third orders the few values between. One row per column reaches the
+    driver."""
+    numbers = _numeric(df)
+    probs = [p for _, p in QUARTILES]
+    aggs = [F.count("*").alias("_n"), *quantile_sketch(numbers, probs)]
+    moments = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
     for i, field in enumerate(df.schema.fields):
         col = F.col(f"`{field.name}`")
         aggs.append(F.count(col).alias(f"_c{i}"))
-        stats = dict.fromkeys(("mean", "std", "min", "max"), empty)
         if field.name in numbers:
-            found = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
-            for name, fn in found:
-                aggs.append(fn(col.cast("double")).alias(f"_{name}{i}"))
-                stats[name] = F.col(f"_{name}{i}")
-        rows.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.col("_n").alias("n_rows"),
-                (F.col("_n") - F.col(f"_c{i}")).alias("n_nulls"),
-                *[c.alias(n) for n, c in stats.items()],
-            )
-        )
-    profile = df.agg(*aggs).select(F.inline(F.array(*rows)))
+            aggs += [fn(col.cast("double")).alias(f"_{name}{i}") for name, fn in moments]
+    found = df.agg(*aggs).first()
+    rows = [
+        (field.name, field.dataType.simpleString(), found["_n"], found["_n"] - found[f"_c{i}"],
+         *[found[f"_{name}{i}"] if field.name in numbers else None for name, _ in moments])
+        for i, field in enumerate(df.schema.fields)
+    ]
+    profile = df.sparkSession.createDataFrame(rows, _PROFILE)
     if not numbers:
-        return profile.select("*", *[empty.alias(q) for q in ("q25", "q50", "q75")])
-    quartiles = exact_quantiles(df, numbers, (0.25, 0.5, 0.75))
+        empty = F.lit(None).cast("double")
+        return profile.select("*", *[empty.alias(q) for q, _ in QUARTILES])
+    quartiles = exact_quantiles(df, numbers, probs, sketch=found)
     wide = quartiles.groupBy("column_name").agg(
-        *[
-            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
-        ]
+        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in QUARTILES]
     )
     return profile.join(wide, "column_name", "left")
 

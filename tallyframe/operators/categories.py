@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,34 +96,39 @@ def delete_category(df: DataFrame, name: str) -> DataFrame:
 
 
 def category_hierarchy(df: DataFrame) -> DataFrame:
-    """``(root, name, parent_category, depth, path)`` for everything below a root, one join per
-    level until a level is empty. Each level is written out before the next one, so the plan stays
-    flat and the size of the tree is not limited by a recursive query's row limit. A name that
-    comes up again below itself is an error; nodes of a cycle that hangs below no root are not
-    listed."""
-    nodes = df.select("name", "parent_category")
-    no_parent = F.col("parent_category").isNull() | (F.col("parent_category") == "")
-    level = materialize(
-        nodes.filter(no_parent).select(
-            F.col("name").alias("root"), "name", "parent_category", F.lit(0).alias("depth"),
-            F.col("name").alias("path"), F.array("name").alias("_line"),
-        )
-    )
-    found = level
-    children = nodes.filter(~no_parent)
-    for depth in itertools.count(1):
-        above = level.select("root", F.col("name").alias("parent_category"), "path", "_line")
-        level = materialize(
-            children.join(above, "parent_category").select(
-                "root", "name", "parent_category", F.lit(depth).alias("depth"),
-                F.concat_ws("/", "path", "name").alias("path"),
-                F.concat("_line", F.array("name")).alias("_line"),
-                F.array_contains("_line", F.col("name")).alias("_again"),
-            )
-        )
-        if level.isEmpty():
-            return found.drop("_line")
-        if not level.filter("_again").isEmpty():
-            raise CategoryError("Category tree holds a cycle")
-        level = level.drop("_again")
-        found = found.unionByName(level)
+    """``(root, name, parent_category, depth, path)`` for everything below a root.
+
+    Lines of ancestors are doubled: a line that reaches up 2^k levels is joined with the line of the
+    node it ends at, so a tree of depth n takes log n joins, each written out before the next. A name
+    that comes up again below itself is an error; nodes of a cycle that hangs below no root, and nodes
+    whose parent does not exist, are not listed.
+    """
+    parent = F.nullif("parent_category", F.lit(""))
+    lines = materialize(df.select("name", "parent_category", parent.alias("up"),
+                                  F.array("name").alias("line")))
+    again = F.size(F.array_distinct("line")) < F.size("line")
+    loops = None
+    while True:
+        open_ = lines.filter("up is not null")
+        if open_.isEmpty():
+            break
+        above = lines.select(F.col("name").alias("_at"), F.col("up").alias("_up"),
+                             F.col("line").alias("_line"))
+        longer = open_.join(above, F.col("up") == F.col("_at")).select(
+            "name", "parent_category", F.col("_up").alias("up"),
+            F.concat("_line", "line").alias("line"))
+        lines = materialize(lines.filter("up is null").unionByName(longer))
+        # A line that holds a name twice and still goes up has seen the whole of its cycle.
+        turned = F.col("up").isNotNull() & again
+        looped = lines.filter(turned).select(F.explode("line").alias("name"))
+        loops = looped if loops is None else loops.unionByName(looped)
+        lines = lines.filter(~turned)
+    rooted = lines.select(F.get("line", F.lit(0)).alias("root"), "name", "parent_category",
+                          (F.size("line") - 1).alias("depth"),
+                          F.concat_ws("/", "line").alias("path"), again.alias("_again"))
+    tied = rooted.filter("_again").select("name")
+    if loops is not None:
+        tied = tied.unionByName(loops.join(rooted.select("name"), "name", "left_semi"))
+    if not tied.isEmpty():
+        raise CategoryError("Category tree holds a cycle")
+    return rooted.drop("_again")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.filters import not_null
-from tallyframe.functions.rules import DEFAULT, Rules, with_keyword_category
+from tallyframe.functions.rules import DEFAULT, Rules, with_keyword_category, with_rule_table
 from tallyframe.functions.text import normalize_text
 
 
@@ -27,6 +27,18 @@ def keyword_categorize(
     return found.withColumn("category", kept).drop("_found")
 
 
+def table_categorize(
+    df: DataFrame, rules: DataFrame, overwrite: bool = False, column: str = "description"
+) -> DataFrame:
+    """``keyword_categorize`` with a rule table ``(seq, category, keywords)`` of any size."""
+    names = df.columns if "category" in df.columns else [*df.columns, "category"]
+    found = with_rule_table(df, rules, column, "_found")
+    if overwrite or "category" not in df.columns:
+        return found.withColumn("category", F.col("_found")).select(*names)
+    kept = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.col("_found"))
+    return found.withColumn("category", kept).select(*names)
+
+
 def training_set(df: DataFrame) -> DataFrame:
     """Rows with text and label: normalised ``text``, ``category`` and its index in sorted order."""
     from pyspark.ml.feature import StringIndexer
@@ -121,3 +133,28 @@ def tfidf_features(
     return raw.join(norms, "text").select(
         "text", "copies", "term", (F.col("raw") / F.col("norm")).alias("weight")
     )
+
+
+def document_features(
+    df: DataFrame, id_col: str = "id", column: str = "description", max_features: int = 5000
+) -> DataFrame:
+    """Length-normalised weights ``(id, term, weight)`` of every row, over the ``max_features`` most
+    frequent terms. A row's terms are counted, weighed and normalised where the row is read: the table
+    is read twice, for the vocabulary and for the weights, and no text is shuffled. Rows without a term
+    of the vocabulary, null texts among them, have no weights."""
+    from tallyframe.operators.classifier import feature_stages
+
+    # At most max_features rows by the limit of the vocabulary.
+    vocabulary = tfidf_vocabulary(df, column, max_features).collect()
+    if not vocabulary:
+        kind = df.schema[id_col].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, term string, weight double")
+    rows = df.select(id_col, F.lower(F.coalesce(column, F.lit(""))).alias("_text"))
+    for stage in feature_stages(vocabulary):
+        rows = stage.transform(rows)
+    vector = F.unwrap_udt("_features")
+    flat = rows.select(id_col, F.inline(F.arrays_zip(
+        vector["indices"].alias("i"), vector["values"].alias("weight"))))
+    terms = df.sparkSession.createDataFrame(
+        [(i, r.term) for i, r in enumerate(vocabulary)], "i int, term string")
+    return flat.join(F.broadcast(terms), "i").select(id_col, "term", "weight")

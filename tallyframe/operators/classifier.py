@@ -35,11 +35,9 @@ def holdout(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.withColumn("is_validation", F.pmod(F.xxhash64(id_col), F.lit(5)) == 0)
 
 
-def _feature_stages(texts: DataFrame) -> list:
-    # At most MAX_FEATURES rows reach the driver: the model itself.
-    vocabulary = tfidf_vocabulary(texts, "_text", MAX_FEATURES, weight="weight").collect()
-    if not vocabulary:
-        raise ValueError("No usable words in the training descriptions")
+def feature_stages(vocabulary: list) -> list:
+    """Stages from a lower-case ``_text`` to ``_features``, the normalised weights of its terms.
+    ``vocabulary`` has rows with ``term`` and ``idf``."""
     return [
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
@@ -55,15 +53,21 @@ def _feature_stages(texts: DataFrame) -> list:
     ]
 
 
-def train_categorizer(df: DataFrame, id_col: str = "id") -> tuple[PipelineModel, float]:
+def train_categorizer(
+    df: DataFrame, id_col: str = "id", split: str | None = None
+) -> tuple[PipelineModel, float]:
     """Multinomial naive Bayes over word weights; returns the model and its validation accuracy.
 
     Examples with the same text and label are counted first and enter as one weighted row, so the
     passes of the fit run over distinct texts, written out once, instead of over all
-    transactions.
+    transactions. ``split`` names a boolean column that marks the rows held out for validation; without
+    one, a hash of the id decides.
     """
+    known = not_null(df, "description", "category")
+    marked = holdout(known, id_col) if split is None else known.withColumn(
+        "is_validation", F.coalesce(split, F.lit(False)))
     examples = (
-        holdout(not_null(df, "description", "category"), id_col)
+        marked
         .withColumn("_text", normalize_text(F.col("description")))
         .groupBy("_text", "category", "is_validation")
         .agg(F.count("*").cast("double").alias("weight"))
@@ -73,7 +77,11 @@ def train_categorizer(df: DataFrame, id_col: str = "id") -> tuple[PipelineModel,
     if total < MIN_EXAMPLES:
         raise ValueError(f"Need at least {MIN_EXAMPLES} examples to train a model")
     train = examples.filter(~F.col("is_validation"))
-    stages = _feature_stages(train)
+    # At most MAX_FEATURES rows reach the driver: the model itself.
+    vocabulary = tfidf_vocabulary(train, "_text", MAX_FEATURES, weight="weight").collect()
+    if not vocabulary:
+        raise ValueError("No usable words in the training descriptions")
+    stages = feature_stages(vocabulary)
     labels = StringIndexer(
         inputCol="category", outputCol="_label", stringOrderType="alphabetAsc"
     ).fit(examples)

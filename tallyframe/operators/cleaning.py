@@ -207,8 +207,9 @@ def dedupe_transactions(
     df: DataFrame, subset: Sequence[str] = REQUIRED, order: str | None = None
 ) -> DataFrame:
     """One row per ``subset``, the one with the smallest ``order``: a column, by default ``id``
-    where the table has one and else all remaining columns in turn. A partial aggregate runs before
-    the shuffle, so a value with many copies sends one row per task."""
+    where the table has one and else all remaining columns in turn. Rows whose ``order`` is null
+    come last, and ties go to the smallest remaining columns. A partial aggregate runs before the
+    shuffle, so a value with many copies sends one row per task."""
     if order is None and "id" in df.columns:
         order = "id"
     rest = [c for c in df.columns if c not in subset]
@@ -218,7 +219,10 @@ def dedupe_transactions(
         row = F.min(F.struct(*rest))
     else:
         rest = [order] + [c for c in rest if c != order]
-        row = F.min_by(F.struct(*rest), order)
+        unknown = F.col(order).isNull().alias("_unknown")
+        maps = any(isinstance(f.dataType, T.MapType) for f in df.schema.fields)
+        row = F.min_by(F.struct(*rest), F.struct(unknown, order)) if maps else F.min(
+            F.struct(unknown, *rest))
     kept = df.groupBy(*subset).agg(row.alias("_row"))
     return kept.select(*[c if c in subset else F.col(f"_row.{c}").alias(c) for c in df.columns])
 

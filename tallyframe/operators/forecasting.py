@@ -18,8 +18,14 @@ from pyspark.sql import Window
 
 from tallyframe.functions import calendar as cal
 from tallyframe.functions.filters import not_null
-from tallyframe.functions.series_fit import fit_arima, fit_autoregressive
+from tallyframe.functions.series_fit import fit_arima
 from tallyframe.operators.cleaning import select_expenses
+from tallyframe.operators.lag_models import (  # noqa: F401
+    augmented_test,
+    forecast_autoregressive,
+    forecast_fourier,
+    forecast_lag_orders,
+)
 from tallyframe.operators.timeseries import CATEGORY, DATE, fill_gaps
 from tallyframe.session import materialize
 
@@ -30,9 +36,12 @@ ADF_MIN_POINTS = 20
 DF_CRITICAL = -2.86
 Z95 = 1.96
 FALLBACK_LEVEL = 100.0
+# A trend that comes below this share of the mean is not divided by.
+NEAR_ZERO = 0.05
 # The trend and season model stands where the second one does.
 DEFAULT_WEIGHTS = {"arima": 0.4, "prophet": 0.6, "trend_seasonal": 0.6}
 DEFAULT_MODELS = 2
+LAG_ORDERS = tuple((p, d, 0) for p in range(4) for d in range(2))
 
 
 class Forecaster(Protocol):
@@ -221,7 +230,13 @@ def forecast_arima(
 ) -> DataFrame:
     """Order search by AIC, then point forecasts with an interval, for series of 10 points or more;
     ``forecast_spending`` covers shorter ones. ``grid`` tries p 0-2, d 0-1, q 0-2; ``auto`` lets a
-    unit-root test pick d and tries p, q 0-3; ``orders`` names the orders to try."""
+    unit-root test pick d and tries p, q 0-3; ``lags`` tries p 0-3, d 0-1 without moving averages;
+    ``orders`` names the orders to try. Orders without a moving average are fitted inside the JVM, for
+    all series at once; those with one need innovations, and run on one series at a time in Python."""
+    if search == "lags" and orders is None:
+        orders = LAG_ORDERS
+    if orders is not None and all(q == 0 for _, _, q in orders):
+        return forecast_lag_orders(series, days, keys, orders, alpha)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < MIN_POINTS:
@@ -235,32 +250,6 @@ def forecast_arima(
     return _per_series(series, keys, "arima", fit)
 
 
-def forecast_autoregressive(
-    series: DataFrame,
-    days: int = 30,
-    keys: Sequence[str] = CATEGORY,
-    n: int = 10,
-    ridge: float = 1e-3,
-) -> DataFrame:
-    """One-step model on the last ``n`` scaled values, rolled forward on its own predictions, for
-    series of at least ``3 n`` points."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 3 * n:
-            return pd.DataFrame(columns=["ds", "amount", "lower_bound", "upper_bound"])
-        point, std = fit_autoregressive(rows["amount"].to_numpy(float), days, n, ridge)
-        return pd.DataFrame(
-            {
-                "ds": _future(rows, days),
-                "amount": point,
-                "lower_bound": point - Z95 * std,
-                "upper_bound": point + Z95 * std,
-            }
-        )
-
-    return _per_series(series, keys, "autoregressive", fit)
-
-
 def forecast_trend_seasonal(
     series: DataFrame,
     days: int = 30,
@@ -269,6 +258,8 @@ def forecast_trend_seasonal(
     future: DataFrame | None = None,
 ) -> DataFrame:
     """Linear trend times weekday index times month index, with a 95 % interval from the residuals.
+    Where the trend comes near zero, the indexes are added to it instead: shares of next to nothing
+    would swing without bound.
 
     ``regressors`` names further numeric columns of the series. Each takes up what the fit before it
     left over, by least squares; ``future`` has one row ``(*keys, date, *regressors)`` per day ahead.
@@ -295,18 +286,26 @@ def forecast_trend_seasonal(
     b = F.try_divide(F.regr_sxy("y", "t").over(own), F.regr_sxx("y", "t").over(own))
     a = F.avg("y").over(own) - b * F.regr_avgx("y", "t").over(own)
     rows = rows.withColumn("trend", a + b * F.col("t"))
-    rows = rows.withColumn("ratio", F.try_divide("y", "trend"))
-    one = F.lit(1.0)
+    # Trend and mean of the known values decide for the whole series, its future included.
+    nearest = F.min("trend").over(own) * F.signum(F.avg("y").over(own))
+    farthest = F.max("trend").over(own) * F.signum(F.avg("y").over(own))
+    away = F.least(nearest, farthest) > NEAR_ZERO * F.abs(F.avg("y").over(own))
+    rows = rows.withColumn("away", F.coalesce(away, F.lit(False)))
+    rows = rows.withColumn("ratio", F.when(F.col("away"), F.try_divide("y", "trend")).otherwise(
+        F.col("y") - F.col("trend")))
+    one = F.when(F.col("away"), 1.0).otherwise(0.0)
     rows = rows.withColumn("wd", cal.weekday(F.col("date"))).withColumn("mo", F.month("date"))
     rows = rows.withColumn(
         "week_index", F.coalesce(F.avg("ratio").over(Window.partitionBy(*keys, "wd")), one)
     )
-    rest = F.try_divide("ratio", "week_index")
+    rest = F.when(F.col("away"), F.try_divide("ratio", "week_index")).otherwise(
+        F.col("ratio") - F.col("week_index"))
     rows = rows.withColumn("rest", rest).withColumn(
         "month_index", F.coalesce(F.avg("rest").over(Window.partitionBy(*keys, "mo")), one)
     )
-    fit = F.col("trend") * F.col("week_index") * F.col("month_index")
-    rows = rows.withColumn("fit", fit)
+    fit = F.when(F.col("away"), F.col("trend") * F.col("week_index") * F.col("month_index"))
+    rows = rows.withColumn("fit", fit.otherwise(
+        F.col("trend") + F.col("week_index") + F.col("month_index")))
     for name in regressors:
         rows = rows.withColumns({"_left": F.col("y") - F.col("fit"), "_x": F.col(name)})
         b = F.try_divide(F.regr_sxy("_left", "_x").over(own), F.regr_sxx("_left", "_x").over(own))

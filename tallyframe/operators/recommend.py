@@ -104,20 +104,20 @@ def patterns_of(monthly: DataFrame, pct: float = 75, keys: Sequence[str] = ()) -
     return stats.withColumn("recent_trend", F.coalesce(trend, F.lit(1.0)))
 
 
-def _rec(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
-    """Rows in the ``REC`` shape plus the place of their rule."""
+def _rec(df: DataFrame, kind: str, keys: Sequence[str] = (), **columns: Column) -> DataFrame:
+    """Rows in the ``REC`` shape, with their keys before it and the place of their rule behind."""
     columns = {"type": F.lit(kind), **columns}
     shaped = [
         columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in REC.fields
     ]
-    return df.select(*shaped, F.lit(RULE_ORDER.index(kind)).alias("seq"))
+    return df.select(*keys, *shaped, F.lit(RULE_ORDER.index(kind)).alias("seq"))
 
 
 def _message(kind: str, *values: Column) -> Column:
     return F.format_string(MESSAGES[kind], *values)
 
 
-def rec_high_spending(patterns: DataFrame) -> DataFrame:
+def rec_high_spending(patterns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Recent spending above the usual threshold by more than 10 % and 5 units."""
     over = share(F.col("recent_spending") - F.col("avg_spending"), F.col("avg_spending"))
     saving = F.col("recent_spending") - F.col("avg_spending")
@@ -129,6 +129,7 @@ def rec_high_spending(patterns: DataFrame) -> DataFrame:
     return _rec(
         hit,
         "high_spending",
+        keys,
         category=F.col("category"),
         message=text,
         amount=F.round(over, 1),
@@ -149,7 +150,9 @@ def pick_action(category: Column, actions: dict[str, Sequence[str]] = SAVINGS_AC
 
 
 def rec_saving_opportunity(
-    patterns: DataFrame, actions: dict[str, Sequence[str]] = SAVINGS_ACTIONS
+    patterns: DataFrame,
+    actions: dict[str, Sequence[str]] = SAVINGS_ACTIONS,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """15 % of the mean of every category above 100 that has known ways to save."""
     saving = F.col("avg_spending") * 0.15
@@ -159,6 +162,7 @@ def rec_saving_opportunity(
     return _rec(
         hit,
         "saving_opportunity",
+        keys,
         category=F.col("category"),
         message=text,
         savings_potential=F.round(saving, 2),
@@ -168,15 +172,18 @@ def rec_saving_opportunity(
     )
 
 
-def rec_spending_trend(patterns: DataFrame, forecasts: DataFrame) -> DataFrame:
+def rec_spending_trend(
+    patterns: DataFrame, forecasts: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
     """Mean forecast more than 20 % above the historical mean."""
-    ahead = forecasts.groupBy("category").agg(F.abs(F.avg("amount")).alias("ahead"))
+    ahead = forecasts.groupBy(*keys, "category").agg(F.abs(F.avg("amount")).alias("ahead"))
     usual = F.col("avg_spending")
     rise = share(F.col("ahead") - usual, usual)
-    hit = patterns.join(ahead, "category").filter(F.col("ahead") > usual * 1.2)
+    hit = patterns.join(ahead, [*keys, "category"]).filter(F.col("ahead") > usual * 1.2)
     return _rec(
         hit,
         "spending_trend",
+        keys,
         category=F.col("category"),
         message=_message("spending_trend", F.col("category"), amount_text(rise, 1)),
         percentage=F.round(rise, 1),
@@ -263,12 +270,13 @@ def recurring_charges(
     )
 
 
-def rec_recurring_charge(charges: DataFrame) -> DataFrame:
+def rec_recurring_charge(charges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     annual = F.col("annual_cost")
     text = _message("recurring_charge", amount_text(F.col("amount"), 2), F.col("description"))
     return _rec(
         charges.filter(annual > 100),
         "recurring_charge",
+        keys,
         description=F.col("description"),
         message=text,
         amount=F.round("amount", 2),
@@ -279,16 +287,16 @@ def rec_recurring_charge(charges: DataFrame) -> DataFrame:
     )
 
 
-def cashflow(df: DataFrame) -> DataFrame:
+def cashflow(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean monthly income and expenses, each over the months that have any, and the savings rate."""
     amount = F.col("amount")
-    monthly = df.groupBy(month_start(F.col("transaction_date")).alias("month")).agg(
+    monthly = df.groupBy(*keys, month_start(F.col("transaction_date")).alias("month")).agg(
         F.sum(expense_of(amount)).alias("spent"),
         F.sum(income_of(amount)).alias("earned"),
         F.count(expense_of(amount)).alias("expenses"),
         F.count(income_of(amount)).alias("incomes"),
     )
-    flow = monthly.agg(
+    flow = monthly.groupBy(*keys).agg(
         F.avg("spent").alias("monthly_expenses"),
         F.avg("earned").alias("monthly_income"),
         F.sum("expenses").alias("expense_count"),
@@ -298,15 +306,16 @@ def cashflow(df: DataFrame) -> DataFrame:
     return flow.withColumn("savings_rate", F.when(F.col("monthly_income") > 0, rate))
 
 
-def rec_cashflow(df: DataFrame) -> DataFrame:
+def rec_cashflow(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A savings rate below 10 %, from more than 10 expenses and at least one income."""
-    flow = cashflow(df).filter("expense_count > 10 and income_count > 0 and savings_rate < 10")
+    flow = cashflow(df, keys).filter("expense_count > 10 and income_count > 0 and savings_rate < 10")
     needed = F.col("monthly_expenses") - F.col("monthly_income") * 0.8
     rate = F.round("savings_rate", 1)
     shown = F.when(rate > 0, amount_text(F.col("savings_rate"), 1)).otherwise("0")
     return _rec(
         flow,
         "cashflow_improvement",
+        keys,
         message=_message("cashflow_improvement", shown, amount_text(needed, 2)),
         savings_potential=F.round(needed, 2),
         priority=F.lit(85),
@@ -314,12 +323,21 @@ def rec_cashflow(df: DataFrame) -> DataFrame:
     )
 
 
-def rec_habit(recs: DataFrame) -> DataFrame:
-    """One general suggestion while there are fewer than three others."""
-    few = recs.limit(3).agg(F.count("*").alias("n")).filter("n < 3")
+def rec_habit(
+    recs: DataFrame, keys: Sequence[str] = (), owners: DataFrame | None = None
+) -> DataFrame:
+    """One general suggestion while there are fewer than three others. With ``keys``, ``owners`` has a
+    row for each key value, also for those without any other recommendation."""
+    if keys:
+        counted = owners.select(*keys, F.lit(0).alias("one")).unionByName(
+            recs.select(*keys, F.lit(1).alias("one")))
+        few = counted.groupBy(*keys).agg(F.sum("one").alias("n")).filter("n < 3")
+    else:
+        few = recs.limit(3).agg(F.count("*").alias("n")).filter("n < 3")
     return _rec(
         few,
         "financial_habit",
+        keys,
         message=F.lit(MESSAGES["financial_habit"]),
         savings_potential=F.lit(100.0),
         priority=F.lit(50),
@@ -328,36 +346,49 @@ def rec_habit(recs: DataFrame) -> DataFrame:
 
 
 def all_recommendations(
-    df: DataFrame, forecasts: DataFrame | None = None, mode: str = "signed"
+    df: DataFrame,
+    forecasts: DataFrame | None = None,
+    mode: str = "signed",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Every recommendation with its rule number ``seq``, not ranked or cut. The monthly sums feed
     three rules and the list feeds its own last rule; both are small against the transactions and
-    are written out once instead of computed again."""
+    are written out once instead of computed again. With ``keys``, such as ``("account_id",)``, each
+    key value is advised on its own transactions, all in one job; rows without a key are left out."""
+    df = not_null(df, *keys)
     recs = []
     if "category" in df.columns:
-        patterns = patterns_of(materialize(monthly_spending_of_all(df, mode)))
-        recs += [rec_high_spending(patterns), rec_saving_opportunity(patterns)]
+        patterns = patterns_of(materialize(monthly_spending_of_all(df, mode, keys)), keys=keys)
+        recs += [rec_high_spending(patterns, keys), rec_saving_opportunity(patterns, keys=keys)]
         if forecasts is not None:
-            recs.append(rec_spending_trend(patterns, forecasts))
+            recs.append(rec_spending_trend(patterns, forecasts, keys))
     if "description" in df.columns:
-        recs.append(rec_recurring_charge(recurring_charges(df)))
-    recs.append(rec_cashflow(df))
+        recs.append(rec_recurring_charge(recurring_charges(df, keys=keys), keys))
+    recs.append(rec_cashflow(df, keys))
     union = recs[0]
     for more in recs[1:]:
         union = union.unionByName(more)
     union = materialize(union)
-    union = union.unionByName(rec_habit(union))
+    owners = df.select(*keys).distinct() if keys else None
+    union = union.unionByName(rec_habit(union, keys, owners))
     return union.withColumn("category", F.coalesce("category", F.lit("general")))
 
 
 def recommendations(
-    df: DataFrame, forecasts: DataFrame | None = None, limit: int = 10, mode: str = "signed"
+    df: DataFrame,
+    forecasts: DataFrame | None = None,
+    limit: int = 10,
+    mode: str = "signed",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``limit`` recommendations of highest priority; ties keep the order of the rules."""
-    ranked = all_recommendations(df, forecasts, mode).orderBy(
-        F.desc("priority"), "seq", "category", "description"
-    )
-    return ranked.limit(limit).drop("seq")
+    """The ``limit`` recommendations of highest priority, with ``keys`` those of each key value; ties
+    keep the order of the rules."""
+    every = all_recommendations(df, forecasts, mode, keys)
+    order = [F.desc("priority"), "seq", "category", "description"]
+    if not keys:
+        return every.orderBy(*order).limit(limit).drop("seq")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return every.withColumn("_place", place).filter(F.col("_place") <= limit).drop("seq", "_place")
 
 
 def with_ids(recs: DataFrame, now: Column | None = None) -> DataFrame:
@@ -372,22 +403,30 @@ def with_stable_ids(recs: DataFrame) -> DataFrame:
     return recs.withColumn("id", F.md5(F.concat_ws("|", *parts)))
 
 
-def top_recommendations(recs: DataFrame, k: int = 3) -> DataFrame:
-    return recs.orderBy(F.desc("priority"), "type", "category", "description").limit(k)
+def top_recommendations(recs: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    order = [F.desc("priority"), "type", "category", "description"]
+    if not keys:
+        return recs.orderBy(*order).limit(k)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return recs.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
-def recommendation_report(recs: DataFrame, k: int = 5) -> DataFrame:
-    """One nested row from a ranked and cut list: the ``k`` best, all by type, and the savings of
-    the saving opportunities."""
+def recommendation_report(
+    recs: DataFrame, k: int = 5, keys: Sequence[str] = (), most: int = 100
+) -> DataFrame:
+    """One nested row, with ``keys`` one per key value, from a ranked and cut list: the ``k`` best, up
+    to ``most`` of each type, and the savings of all saving opportunities."""
     entry = F.struct((-F.col("priority")).alias("order"), "message", "type", "priority", "category",
                      "amount", "percentage")
-    by_type = recs.groupBy("type").agg(
-        F.sort_array(F.collect_list(entry)).alias("items"),
+    place = F.row_number().over(Window.partitionBy(*keys, "type").orderBy(
+        F.desc("priority"), "message"))
+    by_type = recs.withColumn("_place", place).groupBy(*keys, "type").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_place") <= most, entry))).alias("items"),
         F.sum(F.when(F.col("type") == "saving_opportunity", F.col("savings_potential")))
         .alias("savings"),
     )
     ordered = F.slice(F.sort_array(F.flatten(F.collect_list("items"))), 1, k)
-    return by_type.agg(
+    return by_type.groupBy(*keys).agg(
         ordered.alias("top_recommendations"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "items")))).alias(
             "recommendation_by_type"

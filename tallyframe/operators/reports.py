@@ -3,10 +3,14 @@
 All sections read one rollup: sums per day, category and recency. The rollup is made in a single
 pass over the transactions and has at most days x categories x 2 rows, whatever their number, so a
 full report does not scan the raw table once per section. Every function also accepts the raw table.
+With ``keys`` each key value is a ledger of its own: its newest date, its shares and its months.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -29,7 +33,7 @@ UNSTABLE = "highly variable"
 NOT_SPENDING = ("income", "deposit", "transfer")
 
 
-def report_rollup(df: DataFrame) -> DataFrame:
+def report_rollup(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Income, expense and row counts per day, category and whether a row lies in the 30 days
     before the newest one."""
     if "n_rows" in df.columns:
@@ -37,9 +41,17 @@ def report_rollup(df: DataFrame) -> DataFrame:
     if "category" not in df.columns:
         df = df.withColumn("category", F.lit(None).cast("string"))
     ts, amount = F.col("transaction_date"), F.col("amount")
-    newest = df.agg(F.max("transaction_date")).scalar()
+    if keys:
+        # Sums per moment would not be smaller than the rows, so the newest moments are joined.
+        newest = F.col("_newest")
+        last = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(ts).alias("_newest"))
+        same = functools.reduce(lambda a, b: a & b,
+                                [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        df = df.join(last, same)
+    else:
+        newest = df.agg(F.max("transaction_date")).scalar()
     recent = F.coalesce(ts >= newest - F.expr("interval 30 days"), F.lit(False))
-    return df.groupBy(F.to_date(ts).alias("date"), "category", recent.alias("recent")).agg(
+    return df.groupBy(*keys, F.to_date(ts).alias("date"), "category", recent.alias("recent")).agg(
         F.sum(income_of(amount)).alias("income"),
         F.sum(expense_of(amount)).alias("expense"),
         F.count(income_of(amount)).alias("n_income"),
@@ -55,10 +67,10 @@ def _total(column: str, when: Column | None = None) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
 
-def report_summary(df: DataFrame) -> DataFrame:
+def report_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Range, totals, the last 30 days, monthly averages and the savings rate as one row."""
     recent = F.col("recent")
-    one = report_rollup(df).agg(
+    one = report_rollup(df, keys).groupBy(*keys).agg(
         F.min("first_ts").alias("start_date"),
         F.max("last_ts").alias("end_date"),
         _total("income").alias("total_income"),
@@ -83,49 +95,52 @@ def report_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _by_category(df: DataFrame, sign: str) -> DataFrame:
+def _by_category(df: DataFrame, sign: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(category, amount, n, whole)`` of one sign, categories without such rows left out. ``whole``
     is the total over all rows; the window behind it has one row per category."""
-    rows = report_rollup(df).filter(F.col(f"n_{sign}") > 0).groupBy("category")
+    rows = report_rollup(df, keys).filter(F.col(f"n_{sign}") > 0).groupBy(*keys, "category")
     sums = rows.agg(F.sum(sign).alias("amount"), F.sum(f"n_{sign}").alias("n"))
-    whole = F.sum("amount").over(Window.partitionBy())
+    whole = F.sum("amount").over(Window.partitionBy(*keys))
     return sums.withColumn("whole", whole).filter(F.col("category").isNotNull())
 
 
-def _monthly(df: DataFrame, sign: str) -> DataFrame:
-    rows = report_rollup(df).filter(F.col(f"n_{sign}") > 0)
-    return rows.groupBy(month_start(F.col("date")).alias("month")).agg(F.sum(sign).alias("amount"))
+def _monthly(df: DataFrame, sign: str, keys: Sequence[str] = ()) -> DataFrame:
+    rows = report_rollup(df, keys).filter(F.col(f"n_{sign}") > 0)
+    return rows.groupBy(*keys, month_start(F.col("date")).alias("month")).agg(F.sum(sign).alias("amount"))
 
 
-def top_categories(df: DataFrame, k: int = 3) -> DataFrame:
+def top_categories(df: DataFrame, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """The ``k`` largest categories of each sign."""
-    rollup = report_rollup(df)
+    rollup = report_rollup(df, keys)
     both = None
     for sign in SIGNS:
-        part = _by_category(rollup, sign).select(F.lit(sign).alias("kind"), "category", "amount")
+        part = _by_category(rollup, sign, keys).select(
+            *keys, F.lit(sign).alias("kind"), "category", "amount")
         both = part if both is None else both.unionByName(part)
-    order = Window.partitionBy("kind").orderBy(F.desc("amount"), "category")
+    order = Window.partitionBy(*keys, "kind").orderBy(F.desc("amount"), "category")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _shares(df: DataFrame, sign: str) -> DataFrame:
-    rows = _by_category(df, sign).filter("amount >= 0.01D * whole")
+def _shares(df: DataFrame, sign: str, keys: Sequence[str] = ()) -> DataFrame:
+    rows = _by_category(df, sign, keys).filter("amount >= 0.01D * whole")
     percentage = share(F.col("amount"), F.col("whole")).alias("percentage")
-    return rows.select("category", "amount", percentage)
+    return rows.select(*keys, "category", "amount", percentage)
 
 
-def income_sources(df: DataFrame) -> DataFrame:
+def income_sources(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Income per category and its share; below one percent left out."""
-    return _shares(df, "income").withColumnRenamed("category", "source")
+    return _shares(df, "income", keys).withColumnRenamed("category", "source")
 
 
-def expense_categories(df: DataFrame) -> DataFrame:
-    return _shares(df, "expense")
+def expense_categories(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return _shares(df, "expense", keys)
 
 
-def monthly_stability(df: DataFrame, sign: str = "income") -> DataFrame:
+def monthly_stability(
+    df: DataFrame, sign: str = "income", keys: Sequence[str] = ()
+) -> DataFrame:
     """Monthly statistics and a stability word from their coefficient of variation."""
-    stats = _monthly(df, SIGNS[sign]).agg(
+    stats = _monthly(df, SIGNS[sign], keys).groupBy(*keys).agg(
         F.count("*").alias("months"),
         F.avg("amount").alias("mean"),
         F.percentile("amount", 0.5).alias("median"),
@@ -143,13 +158,14 @@ def monthly_stability(df: DataFrame, sign: str = "income") -> DataFrame:
     return stats.withColumns(known)
 
 
-def monthly_trend(df: DataFrame, sign: str = "income") -> DataFrame:
+def monthly_trend(df: DataFrame, sign: str = "income", keys: Sequence[str] = ()) -> DataFrame:
     """Slope, correlation and overall change of the monthly totals; no row below four months, for
     constant totals, or when the first total is not positive."""
-    by_month = Window.orderBy("month")  # one row per calendar month
-    rows = _monthly(df, SIGNS[sign]).withColumn("i", F.row_number().over(by_month) - 1)
+    # One row per calendar month.
+    by_month = Window.partitionBy(*keys).orderBy("month")
+    rows = _monthly(df, SIGNS[sign], keys).withColumn("i", F.row_number().over(by_month) - 1)
     first, last = F.min_by("amount", "month"), F.max_by("amount", "month")
-    trend = rows.agg(
+    trend = rows.groupBy(*keys).agg(
         F.count("*").alias("months"),
         slope("amount", F.col("i").cast("double")).alias("slope"),
         correlation("amount", F.col("i").cast("double")).alias("correlation"),
@@ -165,23 +181,25 @@ def monthly_trend(df: DataFrame, sign: str = "income") -> DataFrame:
     return kept.drop("_var").withColumn("interpretation", word)
 
 
-def category_section(df: DataFrame) -> DataFrame:
+def category_section(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Expense categories of at least one rounded percent: total, share, count, mean and the change
     between their last two observed months."""
-    rollup = report_rollup(df).filter((F.col("n_expense") > 0) & F.col("category").isNotNull())
-    monthly = rollup.groupBy("category", month_start(F.col("date")).alias("month")).agg(
+    rollup = report_rollup(df, keys).filter(
+        (F.col("n_expense") > 0) & F.col("category").isNotNull())
+    monthly = rollup.groupBy(*keys, "category", month_start(F.col("date")).alias("month")).agg(
         F.sum("expense").alias("value"), F.sum("n_expense").alias("n")
     )
-    rows = monthly.groupBy("category").agg(
+    rows = monthly.groupBy(*keys, "category").agg(
         F.sum("value").alias("amount"),
         F.sum("n").alias("transaction_count"),
         F.sort_array(F.collect_list(F.struct("month", "value"))).alias("months"),
     )
-    whole = F.sum("amount").over(Window.partitionBy())  # one row per category
+    whole = F.sum("amount").over(Window.partitionBy(*keys))  # one row per category
     last = F.try_element_at("months", F.lit(-1))["value"]
     previous = F.try_element_at("months", F.lit(-2))["value"]
     rows = rows.withColumn("share", share(F.col("amount"), whole))
     return rows.filter(F.round("share", 1) >= 1).select(
+        *keys,
         "category",
         "amount",
         F.round("share", 1).alias("percentage"),
@@ -191,23 +209,32 @@ def category_section(df: DataFrame) -> DataFrame:
     )
 
 
-def pie_buckets(df: DataFrame) -> DataFrame:
+def pie_buckets(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rounded expense shares, those below three percent folded into ``Other``."""
-    totals = _by_category(df, "expense").filter("category is not null")
-    whole = F.sum("amount").over(Window.partitionBy())  # one row per category
+    totals = _by_category(df, "expense", keys).filter("category is not null")
+    whole = F.sum("amount").over(Window.partitionBy(*keys))  # one row per category
     totals = totals.withColumn("pct", F.round(share(F.col("amount"), whole), 1))
     pct = F.col("pct")
     slice_name = F.when(pct >= 3, F.col("category")).otherwise("Other")
-    return totals.groupBy(slice_name.alias("slice")).agg(F.sum(pct).alias("percentage"))
+    return totals.groupBy(*keys, slice_name.alias("slice")).agg(F.sum(pct).alias("percentage"))
 
 
-def group_recommendations(recs: DataFrame) -> DataFrame:
-    """Number and messages of each type in a ranked and cut list."""
+def group_recommendations(
+    recs: DataFrame, keys: Sequence[str] = (), most: int = 100
+) -> DataFrame:
+    """Number and messages of each type in a ranked and cut list. At most the ``most`` messages of
+    highest priority are gathered in a row; the number counts all."""
+    order = Window.partitionBy(*keys, "type").orderBy(F.desc("priority"), "message")
+    ranked = recs.withColumn("_place", F.row_number().over(order))
+    counts = recs.groupBy(*[F.col(k).alias(f"_{k}") for k in (*keys, "type")]).agg(
+        F.count("*").alias("n"))
     entry = F.struct((-F.col("priority")).alias("order"), "message")
-    grouped = recs.groupBy("type").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("items")
-    )
-    return grouped.select("type", "n", F.col("items.message").alias("messages"))
+    lists = ranked.filter(F.col("_place") <= most).groupBy(*keys, "type").agg(
+        F.sort_array(F.collect_list(entry)).alias("items"))
+    same = functools.reduce(lambda a, b: a & b, [
+        F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, "type")])
+    grouped = lists.join(counts, same)
+    return grouped.select(*keys, "type", "n", F.col("items.message").alias("messages"))
 
 
 def forecast_section(forecasts: DataFrame, df: DataFrame) -> DataFrame:
@@ -263,3 +290,45 @@ def financial_report(
         sections["forecasts"] = rows(forecast_section(forecasts, rollup), "forecast_total")
     one = df.sparkSession.range(1)
     return one.select(*[c.alias(n) for n, c in sections.items()])
+
+
+def _facts(df: DataFrame, keys: Sequence[str], section: str, name: Column) -> DataFrame:
+    """One row ``(*keys, section, name, measure, value, word)`` for each column of a section; numbers
+    go to ``value``, words and moments to ``word``."""
+    facts = []
+    for field in df.schema.fields:
+        if field.name in keys or field.name.startswith("_"):
+            continue
+        column = F.col(field.name)
+        text = field.dataType.simpleString() in ("string", "timestamp", "date", "timestamp_ntz")
+        facts.append(F.struct(
+            F.lit(field.name).alias("measure"),
+            (F.lit(None) if text else column).cast("double").alias("value"),
+            (column if text else F.lit(None)).cast("string").alias("word")))
+    return df.select(*keys, F.lit(section).alias("section"), name.alias("name"),
+                     F.inline(F.array(*facts)))
+
+
+def account_report(df: DataFrame, keys: Sequence[str] = ("account_id",), k: int = 3) -> DataFrame:
+    """The sections of ``financial_report`` for every account at once, as rows
+    ``(*keys, section, name, measure, value, word)``. The transactions are rolled up once, with the
+    account among the groups; each section sums that rollup, so an account costs a few rows and the
+    whole report a few shuffles of days and categories, however many accounts there are."""
+    rollup = materialize(report_rollup(df, keys))
+    nothing = F.lit(None).cast("string")
+    parts = [_facts(report_summary(rollup, keys), keys, "summary", nothing)]
+    for sign, shares, column in (("income", income_sources, "source"),
+                                 ("expense", expense_categories, "category")):
+        named = shares(rollup, keys).withColumnRenamed(column, "_name")
+        parts += [
+            _facts(named, keys, f"{sign}_parts", F.col("_name")),
+            _facts(monthly_stability(rollup, sign, keys), keys, f"{sign}_stability", nothing),
+            _facts(monthly_trend(rollup, sign, keys), keys, f"{sign}_trend", nothing)]
+    top = top_categories(rollup, k, keys).withColumn(
+        "_name", F.concat_ws(":", "kind", "category")).drop("kind", "category")
+    section = category_section(rollup, keys).withColumnRenamed("category", "_name")
+    slices = pie_buckets(rollup, keys).withColumnRenamed("slice", "_name")
+    parts += [_facts(top, keys, "top_categories", F.col("_name")),
+              _facts(section, keys, "category_breakdown", F.col("_name")),
+              _facts(slices, keys, "slices", F.col("_name"))]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -79,12 +79,14 @@ PATCHABLE = ("description", "amount", "transaction_date", "category", "notes")
 
 
 def update_transactions(df: DataFrame, patches: DataFrame, now: Column | None = None) -> DataFrame:
-    """Overwrite the fields that a patch sets. ``patches`` has one row per id; a null field leaves
-    the old value."""
+    """Overwrite the fields that a patch sets; a null field leaves the old value. Several patches of
+    one id are merged field by field: of the values that are set, the one with the largest ``seq``
+    counts, where ``patches`` have that column, else the largest value."""
     fields = [c for c in PATCHABLE if c in patches.columns and c in df.columns]
-    renamed = patches.select(
-        "id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields]
-    )
+    order = (lambda c: F.when(F.col(c).isNotNull(), F.struct("seq", c))) if (
+        "seq" in patches.columns) else F.col
+    merged = [F.max_by(c, order(c)).alias(f"_new_{c}") for c in fields]
+    renamed = patches.groupBy("id").agg(F.first(F.lit(True)).alias("_hit"), *merged)
     updated = df.join(renamed, "id", "left").withColumns(
         {c: F.coalesce(f"_new_{c}", c) for c in fields}
     )

@@ -41,6 +41,21 @@ def to_time_series(
     return not_null(df, DATE, *keys).groupBy(label, *keys).agg(*_measures(value))
 
 
+def series_of_freqs(
+    df: DataFrame,
+    freqs: Sequence[str] = ("D", "W", "M"),
+    keys: Sequence[str] = CATEGORY,
+    value: str = "amount",
+) -> DataFrame:
+    """``to_time_series`` of several frequencies as one table with a column ``freq``, in one pass: each
+    row goes to its period of every frequency, and is summed there before anything is shuffled."""
+    labels = [F.struct(F.lit(f).alias("freq"), cal.period_label(F.col(DATE), f).alias(DATE))
+              for f in freqs]
+    rows = not_null(df, DATE, *keys).select(*keys, value, F.array(*labels).alias("_labels"))
+    rows = rows.select(*keys, value, F.inline("_labels"))
+    return rows.groupBy("freq", DATE, *keys).agg(*_measures(value))
+
+
 def to_dense_series(df: DataFrame, freq: str = "D", value: str = "amount") -> DataFrame:
     """One series over all rows with every period between the first and the last; an empty period
     has sum 0, count 0 and no mean."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyframe.schemas import TX_RECORD, TX_STORED
+from tallyframe.sources import store
 
 
 def read_delimited(
@@ -35,7 +36,10 @@ def read_transactions(
 
 
 def read_transactions_table(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, dates parsed; an empty table of the same shape where none exists."""
+    """The stored table, dates parsed; an empty table of the same shape where none exists. A folder
+    kept by ``store`` is read as of now."""
+    if store.is_store(spark, path):
+        return store.read_store(spark, path)
     try:
         if path.rstrip("/").lower().endswith(".csv"):
             return spark.read.schema(TX_STORED).option("header", True).csv(path)

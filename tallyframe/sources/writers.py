@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.evaluation import metrics_pivot
 from tallyframe.operators.recommend import with_ids
 from tallyframe.operators.tables import added, delete_transactions, update_transactions
+from tallyframe.schemas import TX_STORED
+from tallyframe.sources import store
 
 REC_STORED = ("id", "message", "type", "priority", "created_at", "category", "amount", "percentage")
 
@@ -45,9 +49,31 @@ def write_transactions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     spark.catalog.refreshByPath(path)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a replacement that was cut off between its two renames: where no table has the name but
+    a whole new one lies beside it, that one takes the name. True if it did."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        return False
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}-new-*/_SUCCESS")
+    found = files.globStatus(pattern) or []
+    whole = sorted(found, key=lambda s: s.getModificationTime())
+    return bool(whole) and files.rename(whole[-1].getPath().getParent(), target)
+
+
 def append_to(path: str, new: DataFrame, now: Column | None = None) -> None:
-    """Add rows to a stored table, with ids and a creation time; no old row is read or rewritten."""
-    schema = new.sparkSession.read.parquet(path).schema
+    """Add rows to a stored table, with ids and a creation time; no old row is read or rewritten. The
+    first rows make the table, in the stored columns."""
+    spark = new.sparkSession
+    if store.is_store(spark, path):
+        return store.append_store(path, new, now)
+    try:
+        schema = spark.read.parquet(path).schema
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        schema = TX_STORED
     rows = added(new, now)
     columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).alias(f.name)
                for f in schema.fields]
@@ -56,23 +82,30 @@ def append_to(path: str, new: DataFrame, now: Column | None = None) -> None:
 
 
 def update_in(path: str, patches: DataFrame, now: Column | None = None) -> None:
-    """Apply ``update_transactions`` to a stored table."""
+    """Apply ``update_transactions`` to a stored table: to the touched buckets of a store, or to a
+    plain folder as a whole."""
+    if store.is_store(patches.sparkSession, path):
+        return store.update_store(path, patches, now)
     table = patches.sparkSession.read.parquet(path)
     write_transactions(update_transactions(table, patches, now), path)
 
 
 def delete_from(path: str, ids: DataFrame) -> None:
-    """Apply ``delete_transactions`` to a stored table."""
+    """Apply ``delete_transactions`` to a stored table, as ``update_in`` does."""
+    if store.is_store(ids.sparkSession, path):
+        return store.delete_store(path, ids)
     write_transactions(delete_transactions(ids.sparkSession.read.parquet(path), ids), path)
 
 
-def write_series(series: dict[str, DataFrame], path: str) -> None:
+def write_series(series: dict[str, DataFrame] | DataFrame, path: str) -> None:
     """Feature tables by frequency, one folder each, as one partitioned table. ``series`` maps a
-    frequency code to its table."""
-    whole = None
-    for freq, table in series.items():
-        part = table.withColumn("freq", F.lit(freq))
-        whole = part if whole is None else whole.unionByName(part)
+    frequency code to its table, or is one table with a column ``freq``, as ``series_of_freqs`` makes
+    it in one pass."""
+    if isinstance(series, DataFrame):
+        whole = series
+    else:
+        parts = [t.withColumn("freq", F.lit(f)) for f, t in series.items()]
+        whole = functools.reduce(DataFrame.unionByName, parts)
     whole.write.mode("overwrite").partitionBy("freq").parquet(path)
 
 
@@ -93,9 +126,11 @@ def write_forecasts(forecasts: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """The long metrics and their pivot next to each other."""
+    """The long metrics and their pivot next to each other. The metrics are computed once; the pivot
+    is made of what was written."""
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
-    metrics_pivot(metrics).write.mode("overwrite").parquet(f"{path}/metrics_pivot")
+    stored = metrics.sparkSession.read.schema(metrics.schema).parquet(f"{path}/metrics")
+    metrics_pivot(stored).write.mode("overwrite").parquet(f"{path}/metrics_pivot")
 
 
 def write_report(report: DataFrame, path: str) -> None:
