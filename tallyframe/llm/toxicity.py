@@ -13,6 +13,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ from tallyframe.llm.common import fold
 
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
+BATCH = 64  # texts that share a matrix product
+BLOCK = 8  # examples of a block of the inverted lists
+DENSE = 0.03  # share of the examples from which a term's list is kept in full
 CACHED = 200_000  # chunks whose terms a task remembers; it only saves time
 VERDICT = ("score double, predicted int, "
            "evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
@@ -33,20 +37,24 @@ def terms(chunk: str) -> Iterator[str]:
         yield from (f"{word[:n]}-" for n in (4, 5) if len(word) > n)
 
 
+Terms = tuple[np.ndarray, np.ndarray]  # sorted hashed terms of a text, and how often each occurs
+
+
 class Tokens:
     """Hashed term counts of whole texts: every term falls into one of ``buckets``."""
 
     def __init__(self, buckets: int):
         self.buckets, self.known = buckets, {}
 
-    def __call__(self, text: str | None) -> Counter:
+    def __call__(self, text: str | None) -> Terms:
         chunks = text.split() if text else []
         if len(self.known) > CACHED:
             self.known = {}
         for chunk in set(chunks).difference(self.known):
             self.known[chunk] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.buckets
                                  for t in terms(chunk)]
-        return Counter(chain.from_iterable(map(self.known.__getitem__, chunks)))
+        every = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+        return np.unique(np.array(every, np.int64), return_counts=True)
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -63,18 +71,18 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-def association(rows: list[tuple[int, int, Counter]], buckets: int) -> np.ndarray:
+def association(own: np.ndarray, labels: np.ndarray, sizes: np.ndarray, buckets: int) -> np.ndarray:
     """The log-likelihood ratio of each term and the label among the examples, as a multiple of what
-    the best of all terms tried would reach by chance, 2 log(number of terms)."""
-    seen, sizes = np.zeros((2, buckets)), np.zeros(2)
-    for _, toxic, counts in rows:
-        seen[toxic, list(counts)] += 1
-        sizes[toxic] += 1
-    some = np.flatnonzero(seen.sum(axis=0))
+    the best of all terms tried would reach by chance, 2 log(number of terms). ``own`` lists the terms
+    of all examples, ``labels`` the label of the example that each stands for, ``sizes`` the numbers
+    of examples per label."""
+    some = np.unique(own)
     out = np.zeros(buckets)
     if not len(some) or not sizes.all():
         return out
-    held, total = seen[:, some], sizes.sum()
+    at = np.searchsorted(some, own)
+    held = np.stack([np.bincount(at[labels == y], minlength=len(some)) for y in (0, 1)]).astype(float)
+    total = sizes.sum()
     for part, of in ((held, held.sum(axis=0)), (sizes[:, None] - held, total - held.sum(axis=0))):
         share = np.maximum(part, 1) * total / (np.maximum(of, 1) * sizes[:, None])
         out[some] += 2 * (part * np.log(share)).sum(axis=0)
@@ -89,8 +97,7 @@ def document_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             rows += len(batch)
             for text in batch.column(0):
-                if own := list(tokens(text.as_py())):
-                    seen[own] += 1
+                seen[tokens(text.as_py())[0]] += 1
         some = np.append(np.flatnonzero(seen), -1)
         yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int64()),
                                           "n": pa.array(np.append(seen[some[:-1]], rows))})
@@ -102,64 +109,142 @@ def document_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
     return totals[:-1], int(totals[-1])
 
 
+class Lists:
+    """Block-max inverted lists over the examples, ``block`` of them to a block.
+
+    A list has one entry for each block that holds its term: the block, the largest weight in it, and
+    where its postings begin. Terms that more than a share of the examples hold have full lists, kept
+    as rows of a matrix. Both parts together hold every term of every example."""
+
+    def __init__(self, buckets: int, ends: np.ndarray, own: np.ndarray, weights: np.ndarray,
+                 block: int, dense: float):
+        self.block, n = block, len(ends) - 1
+        self.blocks = -(-n // block)
+        places = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+        listed, at = np.unique(own, return_inverse=True)
+        held = np.bincount(at, minlength=len(listed))
+        common = held > dense * n
+        self.head_row = np.full(buckets, -1, np.int32)
+        self.head_row[listed[common]] = np.arange(common.sum())
+        self.row = np.full(buckets, -1, np.int32)
+        self.row[listed[~common]] = np.arange((~common).sum())
+        self.head = np.zeros((int(common.sum()), self.blocks * block), np.float32)
+        full = common[at]
+        self.head[self.head_row[own[full]], places[full]] = weights[full]
+        rest = np.flatnonzero(~full)
+        rest = rest[np.argsort(own[rest], kind="stable")]  # by term, then by place
+        self.places, self.weights = places[rest], weights[rest]
+        lists, in_block = self.row[own[rest]], self.places // block
+        fresh = np.ones(len(rest), bool)
+        fresh[1:] = (lists[1:] != lists[:-1]) | (in_block[1:] != in_block[:-1])
+        begin = np.flatnonzero(fresh)
+        self.entry_block = in_block[begin]
+        self.entry_start = np.append(begin, len(rest))
+        self.entry_most = np.maximum.reduceat(self.weights, begin) if len(begin) else np.zeros(0)
+        self.cuts = np.searchsorted(lists[begin], np.arange((~common).sum() + 1))
+        # Rounding of the matrix product, whose terms are at most 1 in all.
+        self.slack = 4 * (len(self.head) + 4) * 2.0 ** -24
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``starts[i] ... starts[i] + sizes[i] - 1`` one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples over all their terms: inverted lists, and a dense matrix for the
-    terms that many examples hold. ``factor`` weighs every term, also those of no example; ``row``
-    is a term's place among the lists, ``cuts`` has their edges."""
+    """Unit vectors of the examples over all their terms: the terms and weights of example ``i`` lie
+    between ``ends[i]`` and ``ends[i + 1]``. ``factor`` weighs every term, also those of no example.
+    The inverted lists are built where they are used first, so what travels is the vectors alone.
+    ``skipped`` and ``opened`` count blocks."""
 
     ids: np.ndarray
     toxic: np.ndarray
     factor: np.ndarray
-    row: np.ndarray
-    cuts: np.ndarray
-    places: np.ndarray
+    ends: np.ndarray
+    terms: np.ndarray
     weights: np.ndarray
-    head: np.ndarray  # term x example
-    head_row: np.ndarray
     block: int
+    dense: float
     slope: float = 1.0
     shift: float = 0.0
     prior: float = 0.0
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        own = np.fromiter(counts.keys(), np.int64, len(counts))
+    skipped: int = 0
+    opened: int = 0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+
+    @property
+    def lists(self) -> Lists:
+        if "_lists" not in self.__dict__:
+            self._lists = Lists(len(self.factor), self.ends, self.terms, self.weights, self.block,
+                                self.dense)
+        return self._lists
+
+    def vector(self, counts: Terms | Counter) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(counts, Counter):
+            own = np.array(sorted(counts), np.int64)
+            counts = own, np.array([counts[t] for t in own.tolist()])
+        own, times = counts
         if not len(own):
             return own, np.zeros(0)
-        times = np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(own)
-        own, times = own[order], times[order]
         value = (1 + np.log(times)) * self.factor[own]
         return own, value / math.sqrt(float((value * value).cumsum()[-1]))
 
-    def nearest(self, counts: Counter, k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, counts: Terms | Counter, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine as (cosine, place), ties to the smaller place."""
         return next(self.nearest_all([counts], k, [skip]))
 
-    def nearest_all(self, texts: list[Counter], k: int, skips: list[int] | None = None
+    def nearest_all(self, texts: list, k: int, skips: list[int] | None = None
                     ) -> Iterator[list[tuple[float, int]]]:
-        """``nearest`` of many texts; ``block`` of them share a product with the dense matrix."""
-        for start in range(0, len(texts), self.block):
-            vectors = [self.vector(c) for c in texts[start:start + self.block]]
-            query = np.zeros((len(vectors), len(self.head)))
+        """``nearest`` of many texts; ``BATCH`` of them share a product with the matrix.
+
+        The product gives what the full lists add to each cosine. Block maxima of the other lists
+        bound what these can add, so blocks that cannot hold one of the ``k`` nearest are skipped, and
+        their postings are not read. The few examples that are left at the top are compared with the
+        text term by term."""
+        lists, n, scratch = self.lists, len(self.ids), np.zeros(len(self.factor))
+        for start in range(0, len(texts), BATCH):
+            vectors = [self.vector(c) for c in texts[start:start + BATCH]]
+            query = np.zeros((len(vectors), len(lists.head)), np.float32)
             for q, (own, value) in zip(query, vectors):
-                at = self.head_row[own]
+                at = lists.head_row[own]
                 q[at[at >= 0]] = value[at >= 0]
-            for j, (sums, (own, value)) in enumerate(zip(query @ self.head, vectors)):
-                at = self.row[own]
-                at, value = at[at >= 0], value[at >= 0]
-                sizes = self.cuts[at + 1] - self.cuts[at]
-                ends = np.cumsum(sizes)
-                if len(ends) and ends[-1]:
-                    spots = np.arange(ends[-1]) + np.repeat(self.cuts[at] - ends + sizes, sizes)
-                    sums = sums + np.bincount(self.places[spots], self.weights[spots]
-                                              * np.repeat(value, sizes), len(self.ids))
-                if skips is not None and skips[start + j] >= 0:
-                    sums[skips[start + j]] = 0
-                least = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
-                some = np.flatnonzero((sums >= least) & (sums > 0))
-                some = some[np.argsort(-sums[some], kind="stable")][:k]
-                yield [(min(float(sums[p]), 1.0), p) for p in some.tolist()]
+            for j, (sums, (own, value)) in enumerate(zip(query @ lists.head, vectors)):
+                skip = skips[start + j] if skips is not None else -1
+                if skip >= 0:
+                    sums[skip] = 0
+                least = float(np.partition(sums, -k)[-k]) if len(sums) > k else 0.0
+                at = lists.row[own]
+                at, value_at = at[at >= 0], value[at >= 0]
+                sizes = lists.cuts[at + 1] - lists.cuts[at]
+                entries, times = _ranges(lists.cuts[at], sizes), np.repeat(value_at, sizes)
+                holders = lists.entry_block[entries]
+                bound = np.bincount(holders, lists.entry_most[entries] * times, lists.blocks)
+                most = sums.reshape(lists.blocks, lists.block).max(axis=1) if n else sums
+                alive = most + bound >= least - lists.slack
+                self.opened += int(alive.sum())
+                self.skipped += lists.blocks - int(alive.sum())
+                read = alive[holders]
+                entries, times = entries[read], times[read]
+                sizes = lists.entry_start[entries + 1] - lists.entry_start[entries]
+                spots = _ranges(lists.entry_start[entries], sizes)
+                whole = sums + np.bincount(lists.places[spots], lists.weights[spots]
+                                           * np.repeat(times, sizes), len(sums))
+                whole[~np.repeat(alive, lists.block)] = -1
+                whole[n:] = -1
+                if skip >= 0:
+                    whole[skip] = -1
+                edge = np.partition(whole, -k)[-k] if len(whole) > k else -1.0
+                some = np.flatnonzero((whole >= edge - 2 * lists.slack) & (whole >= 0))
+                scratch[own] = value
+                exact = [(float(scratch[self.terms[a:b]] @ self.weights[a:b]), p) for p, a, b in zip(
+                    some.tolist(), self.ends[some].tolist(), self.ends[some + 1].tolist())]
+                scratch[own] = 0
+                exact = sorted((-c, p) for c, p in exact if c > 0)[:k]
+                yield [(min(-c, 1.0), p) for c, p in exact]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Log odds of the label among the neighbours, weighted by inverse distance; without any,
@@ -174,34 +259,27 @@ class Index:
         return 1 / (1 + math.exp(min(max(-odds, -700.0), 700.0)))
 
 
-def build_index(rows: list[tuple[int, int, Counter]], factor: np.ndarray, block: int,
-                dense: float = 0.15) -> Index:
-    """The index of ``doc_id, toxic, term counts`` rows. Terms held by more than the share ``dense``
-    of the examples go to the matrix; both parts together hold every term."""
-    index = Index(np.zeros(0, np.int64), np.zeros(0, np.int32), factor,
-                  np.full(len(factor), -1, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32),
-                  np.zeros(0), np.zeros((0, 0)), np.full(len(factor), -1, np.int32), block)
-    vectors = sorted(((i, y, *index.vector(c)) for i, y, c in rows if c), key=lambda r: r[:2])
-    if not vectors:
-        return index
-    own = np.concatenate([r[2] for r in vectors])
-    weights = np.concatenate([r[3] for r in vectors])
-    places = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(r[2]) for r in vectors])
-    held = np.bincount(own, minlength=len(factor))
-    common = np.flatnonzero(held > dense * len(vectors))
-    index.head_row[common] = np.arange(len(common))
-    index.head = np.zeros((len(common), len(vectors)))
-    at = index.head_row[own]
-    index.head[at[at >= 0], places[at >= 0]] = weights[at >= 0]
-    own, places, weights = own[at < 0], places[at < 0], weights[at < 0]
-    order = np.argsort(own, kind="stable")
-    index.places, index.weights = places[order], weights[order]
-    listed, sizes = np.unique(own, return_counts=True)
-    index.row[listed] = np.arange(len(listed))
-    index.cuts = np.concatenate([[0], np.cumsum(sizes)])
-    index.ids = np.array([r[0] for r in vectors], np.int64)
-    index.toxic = np.array([r[1] for r in vectors], np.int32)
-    return index
+def build_index(rows: list[tuple[int, int, Counter]], factor: np.ndarray, block: int = BLOCK,
+                dense: float = DENSE) -> Index:
+    """The index of a few ``doc_id, toxic, term counts`` rows."""
+    rows = sorted((r for r in rows if r[2]), key=lambda r: r[:2])
+    own = [np.array(sorted(c), np.int64) for _, _, c in rows]
+    return index_of(np.array([r[0] for r in rows], np.int64),
+                    np.array([r[1] for r in rows], np.int32),
+                    np.cumsum([0, *map(len, own)]),
+                    np.concatenate([*own, np.zeros(0, np.int64)]),
+                    np.array([c[t] for (_, _, c), ts in zip(rows, own) for t in ts.tolist()]),
+                    factor, block, dense)
+
+
+def index_of(ids: np.ndarray, toxic: np.ndarray, ends: np.ndarray, own: np.ndarray,
+             times: np.ndarray, factor: np.ndarray, block: int = BLOCK, dense: float = DENSE) -> Index:
+    """The index of examples whose terms and counts lie between ``ends``, none of them empty."""
+    weights = (1 + np.log(times)) * factor[own] if len(own) else np.zeros(0)
+    if len(ids):
+        norms = np.sqrt(np.add.reduceat(weights * weights, ends[:-1]))
+        weights = weights / np.repeat(norms, np.diff(ends))
+    return Index(ids, toxic, factor, ends, own.astype(np.int32), weights, block, dense)
 
 
 def calibrate(votes: Iterable[float], labels: Iterable[int], weights: Iterable[float]
@@ -221,39 +299,45 @@ def calibrate(votes: Iterable[float], labels: Iterable[int], weights: Iterable[f
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, buckets: int = 1 << 20,
-        floor: float = 0.02, k: int = 15, block: int = 64) -> Index:
+        floor: float = 0.02, k: int = 15, block: int = BLOCK) -> Index:
     """Calibrated index. Labels come from a bounded sample of labelled rows; document frequencies
     come from all documents. No term is dropped: each is weighed by its idf times ``floor`` plus its
-    ``association`` with the label. What reaches the driver is bounded by the parameters and the
-    lengths of the sampled texts."""
+    ``association`` with the label. What reaches the driver is bounded by the parameters: a term and
+    a count for each of at most ``buckets`` different terms of at most ``per_class`` texts a class."""
     found = examples(docs, labels, per_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(buckets)
         for batch in batches:
             own = [tokens(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "toxic": batch.column(1),
-                "terms": pa.array([list(c) for c in own], pa.list_(pa.int32())),
-                "counts": pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))})
+            ends = pa.array(np.cumsum([0, *(len(t) for t, _ in own)]), pa.int32())
+            flat = [np.concatenate([x[i] for x in own]).astype(np.int32) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1),
+                 *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat]],
+                names=["doc_id", "toxic", "terms", "counts"])
 
     table = found.select("doc_id", "toxic", "text").mapInArrow(
-        run, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
-    rows = [(i.as_py(), y.as_py(), Counter(dict(zip(t.as_py(), n.as_py()))))
-            for i, y, t, n in zip(*table.columns)]
-    counts = Counter(y for _, y, _ in rows)
-    df, total = document_counts(docs, buckets) if rows else (np.zeros(buckets), 0)
+        run, "doc_id long, toxic int, terms array<int>, counts array<int>").where(
+        "size(terms) > 0").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids, toxic = (table[c].to_numpy() for c in ("doc_id", "toxic"))
+    lists = [table[c].combine_chunks() for c in ("terms", "counts")]
+    own, times = (x.flatten().to_numpy() for x in lists)
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists[0]).to_numpy()))
+    sizes = np.bincount(toxic, minlength=2).astype(float)
+    df, total = document_counts(docs, buckets) if len(ids) else (np.zeros(buckets), 0)
     idf = np.log((1 + total) / (1 + df)) + 1
-    index = build_index(rows, idf * (floor + association(rows, buckets)), block)
+    telling = association(own, np.repeat(toxic, np.diff(ends)), sizes, buckets)
+    index = index_of(ids, toxic, ends, own, times, idf * (floor + telling), block)
     # The classes are sampled apart, so their real sizes weigh the curve and the prior.
-    sizes = dict(labels.where("toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
-                 .groupBy("toxic").count().collect())
-    index.prior = sizes.get(1, 0) / (sum(sizes.values()) + 1)
-    place = {int(i): p for p, i in enumerate(index.ids)}
+    real = dict(labels.where("toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
+                .groupBy("toxic").count().collect())
+    index.prior = real.get(1, 0) / (sum(real.values()) + 1)
     votes = map(index.vote, index.nearest_all(
-        [c for _, _, c in rows], k, [place.get(i, -1) for i, _, _ in rows]))
-    index.slope, index.shift = calibrate(
-        votes, (y for _, y, _ in rows), (sizes.get(y, 0) / max(counts[y], 1) for _, y, _ in rows))
+        [(own[a:b], times[a:b]) for a, b in zip(ends[:-1], ends[1:])], k, list(range(len(ids)))))
+    share = [real.get(y, 0) / max(sizes[y], 1) for y in (0, 1)]
+    index.slope, index.shift = calibrate(votes, toxic, [share[y] for y in toxic.tolist()])
+    index.skipped = index.opened = 0
     return index
 
 
@@ -263,8 +347,8 @@ def verdict(text: Column, index: Index, k: int = 15) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(len(index.factor))
         for batch in batches:
-            found = [f for start in range(0, len(batch), index.block) for f in index.nearest_all(
-                [tokens(t) for t in batch[start:start + index.block]], k)]
+            found = [f for start in range(0, len(batch), BATCH) for f in index.nearest_all(
+                [tokens(t) for t in batch[start:start + BATCH]], k)]
             scores = [index.score(f) for f in found]
             evidence = [[{"doc_id": int(index.ids[p]), "cosine": c, "toxic": int(index.toxic[p])}
                          for c, p in f] for f in found]
