@@ -19,6 +19,7 @@ LEAF = 16  # points of a leaf
 GROWTH = 1.25  # of the sizes that share a number of parts
 SLICE_BYTES = 16 << 20
 NO_ID = -(1 << 63)
+FEW_EDGES = 1_000_000  # that one task may join
 POINTS, SHINGLES = 2000, 2_000_000  # of one side of a task's join
 
 
@@ -184,6 +185,32 @@ def described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, th long, n long, name binary, parts array<long>")
 
 
+def rooted(edges: DataFrame, most: int = FEW_EDGES) -> DataFrame:
+    """``components`` of stored edges ``a, b``. Up to ``most`` edges, a few megabytes, are joined by a
+    single task in one job; more of them take the rounds of the distributed form. Both give every
+    node the smallest one that it reaches."""
+    if edges.limit(most + 1).count() > most:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1),
+                              return_inverse=True)
+        root = list(range(len(nodes)))
+        for x, y in at.reshape(2, -1).T.tolist():
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            root[max(x, y)] = min(x, y)
+        for x, y in enumerate(root):  # a root is smaller than what hangs on it
+            root[x] = root[y]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(
+            nodes[np.array(root, np.int64)], pa.int64())], names=["node", "root"])
+
+    return stored(edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"), "roots")
+
+
 def gathered(classes: DataFrame) -> DataFrame:
     """``node, root``: classes that share a part, directly or by others, have one root. Every class
     that links with another is there. A part with many classes becomes a star around its least."""
@@ -194,7 +221,7 @@ def gathered(classes: DataFrame) -> DataFrame:
     pairs = shared.where("n = 2").select("a", "b")
     stars = parts.join(shared.where("n > 2").select("part", "a"), "part").select(
         "a", F.col("c").alias("b"))
-    return components(stored(pairs.union(stars).where("a <> b").distinct(), "part-links"))
+    return rooted(stored(pairs.union(stars).where("a <> b").distinct(), "part-links"))
 
 
 def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
@@ -260,7 +287,7 @@ def links(sets: DataFrame, percent: int, points: int = POINTS, shingles: int = S
         F.when(F.col("place").isNull(), F.array(home)).otherwise(everywhere)))
     inner = stored(_join(pieces, ["root", "piece"], percent), "inner-links")
     named = sets.join(large, "root").join(
-        components(inner).select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left"
+        rooted(inner).select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left"
     ).withColumn("label", F.coalesce("comp", "c")).drop("comp")
     named = stored(named, "large-sets")
     counts = named.groupBy("root", "label").agg(F.count("*").alias("m"))
@@ -309,7 +336,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, **limi
     near = stored(gathered(parts), "gathered")
     members = classes.join(near.withColumnRenamed("node", "c"), "c").select("c", "root", "id", "th")
     sets = stored(member_sets(docs, members, shingle), "sets")
-    joined = components(links(sets, percent, **limits)).withColumnsRenamed(
+    joined = rooted(stored(links(sets, percent, **limits), "links")).withColumnsRenamed(
         {"node": "c", "root": "comp"})
     rooted = classes.join(joined, "c", "left").select(
         "name", "best", F.coalesce("comp", "c").alias("comp"))

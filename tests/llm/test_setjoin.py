@@ -92,6 +92,25 @@ def test_large_groups_are_dealt_into_pieces(spark, limits):
     assert len({c for _, c in want.values()}) > 3
 
 
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_components_in_one_task_and_in_rounds(spark, most):
+    rng = random.Random(most)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    pairs += [(i, i + 1) for i in range(1000, 1040)] + [(2000 + i, 2000) for i in range(1, 40)]
+    edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    got = {r.node: r.root for r in setjoin.rooted(edges, most).collect()}
+    want = {i: i for p in pairs if p[0] != p[1] for i in p}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if a != b and want[a] != want[b]:
+                want[a] = want[b] = min(want[a], want[b])
+                changed = True
+    assert got == want
+    assert setjoin.rooted(edges.limit(0), most).collect() == []
+
+
 def test_linked_sets_share_a_part():
     rng = np.random.default_rng(1)
     for _ in range(400):
