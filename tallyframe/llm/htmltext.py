@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +49,8 @@ OTHER_NAMES = {
                  "section discussion", "ul comment list", "article comment", "div disqus thread"],
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-                   r"|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"(<!--.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?]", re.S)
+SPECIAL = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORDS = re.compile(r"[a-z]+")
 PATH_SIZE, WORD_SIZE, SHAPE_SIZE = 256, 32, 6
@@ -58,6 +59,43 @@ HIDDEN = 16
 BATCH = 2000  # blocks, with padding, that the labeller takes at once
 
 
+class Ends:
+    """Where the tags of a page end: at the first ``>`` outside quotes, or at the first one at all
+    where a quote is never closed. Each quote is looked at once, however many tags lead to it: one
+    from which no end was found is remembered, and so is the next mark after a place."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.doomed: set[int] = set()
+        self.since, self.mark = 0, -1
+
+    def special(self, at: int) -> int:
+        """The place of the next ``>`` or quote from ``at`` on."""
+        if not self.since <= at <= self.mark:
+            found = SPECIAL.search(self.page, at)
+            self.since, self.mark = at, found.start() if found else len(self.page)
+        return self.mark
+
+    def end(self, at: int, quoted: bool = True) -> int:
+        """The place behind the tag whose attributes start at ``at``; -1 if it never ends. Without
+        ``quoted``, quotes mean nothing."""
+        if at > self.last:
+            return -1
+        page, seen, place = self.page, [], at
+        while quoted and (mark := self.special(place)) < len(page):
+            if page[mark] == ">":
+                return mark + 1
+            if mark in self.doomed:
+                break
+            seen.append(mark)
+            close = page.find(page[mark], mark + 1)
+            if close < 0:
+                break
+            place = close + 1
+        self.doomed.update(seen)
+        return page.index(">", at) + 1
+
+
 @dataclass
 class Block:
     text: str
@@ -73,6 +111,12 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = links = at = 0
+    opened: Counter[str] = Counter()
+
+    def close_one() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     def flush() -> None:
         nonlocal linked
@@ -82,8 +126,14 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    ends = Ends(page)
     while at < len(page):
-        token = TOKEN.search(page, at)
+        token = OPEN.search(page, at)
+        end = -1
+        if token:
+            end = token.end() if token[1] else ends.end(token.end(), quoted=bool(token[3]))
+        if end < 0:
+            token = None  # what is left holds no whole tag
         run = page[at:token.start() if token else len(page)]
         if run:
             text = html.unescape(run) if "&" in run else run
@@ -91,22 +141,22 @@ def blocks(page: str) -> list[Block]:
             linked += len(text) if links else 0
         if not token:
             break
-        at = token.end()
-        tag = (token[2] or "").lower()
+        attributes, at = page[token.end():end], end
+        tag = (token[3] or "").lower()
         if not tag:
             continue
-        if token[1]:
+        if token[2]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK_TAGS:
                 flush()
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
+                if opened[tag]:
+                    while close_one() != tag:
                         pass
         elif tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not token[0].endswith("/>"):
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/>"):
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -115,10 +165,11 @@ def blocks(page: str) -> list[Block]:
             flush()
             links = 0
             while stack and stack[-1][0] in CLOSES.get(tag, ()):
-                stack.pop()
+                close_one()
             if tag not in VOID_TAGS:
-                names = WORDS.findall(" ".join(NAMES.findall(token[3])).lower()) if token[3] else []
+                names = WORDS.findall(" ".join(NAMES.findall(attributes[:-1])).lower())
                 stack.append((tag, " ".join([tag, *names])))
+                opened[tag] += 1
     flush()
     return found
 

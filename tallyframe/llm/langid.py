@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold, uniform
+from tallyframe.llm.common import fold, stored, uniform
 
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -57,15 +57,18 @@ class Model:
         return np.unpackbits(np.frombuffer(self.letters, np.uint8)).astype(bool)
 
 
-def learn(docs: DataFrame, per_language: int = 2000, max_languages: int = 200,
+def learn(docs: DataFrame, per_language: int = 2000, max_languages: int = 1000,
           buckets: int = 1 << 14) -> Model:
-    """Trigram multinomials of the most frequent ``max_languages`` values of ``lang``, each from
-    about ``per_language`` whole texts outside the held-out fold, drawn by a hash of the id. These
-    parameters bound the sample and what the driver sees: languages x buckets counts."""
+    """Trigram multinomials of all values of ``lang``, each from about ``per_language`` whole texts
+    outside the held-out fold, drawn by a hash of the id. These parameters bound the sample and what
+    the driver sees: languages x buckets counts. More than ``max_languages`` values are an error, as
+    no model of them all would fit a task; none is left out in silence."""
     rows = docs.where("lang is not null").where(fold("doc_id", FOLDS) != HELD_OUT).select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = stored(rows.groupBy("lang").count(), "languages")
+    if sizes.limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages or merge codes")
     share = sizes.select(F.col("lang").alias("__lang"),
                          (F.lit(per_language) / F.col("count")).alias("__share"))
     chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("__lang"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from tallyframe.llm.quality import words
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
 #: Exponent of the observed token share of a value, by margin: below 1 lifts small values.
+SWEEPS = 3  # of the raking that run in one job
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
@@ -60,35 +62,43 @@ def _targets(cells: DataFrame, margin: str, wanted: Mapping[str, float] | None)
 
 def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float]] | None = None,
          tolerance: float = 1e-6, sweeps: int = 100) -> DataFrame:
-    """``cells`` (the margins and their ``tokens``) with ``factor``, the raked weight of a token.
+    """``cells`` (the margins and their ``tokens``) with ``factor``, the raked weight of a token, and
+    ``error``, by how much the share of a value misses its target at most.
 
     Each step scales the weights of a margin's values to their targets; a sweep does so for all
-    margins. It ends when no share is off by more than ``tolerance``; targets that no weights can
-    meet end it after ``sweeps``. Steps are sums and equi-joins of the table of cells, which is as
-    large as the number of combinations that occur. Only the largest error reaches the driver.
+    margins, and ``SWEEPS`` of them run in one job. It ends when no share is off by more than
+    ``tolerance``, after ``sweeps``, or when the error no longer falls: targets that no weights can
+    meet stay off by that ``error``. Steps are sums and equi-joins of the table of cells, which is as
+    large as the number of combinations that occur. Only the error reaches the driver.
     """
     targets = {m: _targets(cells, m, (wanted or {}).get(m)) for m in MARGINS}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
-    for _ in range(sweeps if total else 0):
-        errors = []
-        for margin, target in targets.items():
-            weight = F.sum(F.col("tokens") * F.col("factor"))
-            now = state.groupBy(margin).agg((weight / total).alias("now"))
-            off = now.join(target.withColumnRenamed(margin, "__m"), F.col(margin).eqNullSafe(
-                F.col("__m"))).withColumn("ratio", F.when(
-                    F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0))
-            off = off.select(F.col("__m"), "ratio", F.abs(F.col("now") - F.col("target"))
-                             .alias(f"off_{margin}"))
-            state = state.join(off, F.col(margin).eqNullSafe(F.col("__m"))).withColumn(
-                "factor", F.col("factor") * F.col("ratio")).drop("__m", "ratio")
-            errors.append(F.max(f"off_{margin}"))
+    least, idle, worst = math.inf, 0, 0.0
+    for _ in range(-(-sweeps // SWEEPS) if total else 0):
+        for last in [False] * (SWEEPS - 1) + [True]:
+            errors = []
+            for margin, target in targets.items():
+                weight = F.sum(F.col("tokens") * F.col("factor"))
+                now = state.groupBy(margin).agg((weight / total).alias("now"))
+                off = now.join(target.withColumnRenamed(margin, "__m"), F.col(margin).eqNullSafe(
+                    F.col("__m"))).withColumn("ratio", F.when(
+                        F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0))
+                off = off.select(F.col("__m"), "ratio", F.abs(F.col("now") - F.col("target"))
+                                 .alias(f"off_{margin}"))
+                state = state.join(off, F.col(margin).eqNullSafe(F.col("__m"))).withColumn(
+                    "factor", F.col("factor") * F.col("ratio")).drop("__m", "ratio")
+                errors.append(F.max(f"off_{margin}"))
+            if not last:
+                state = state.drop(*[f"off_{m}" for m in MARGINS])
         state = stored(state, "cells")
         worst = state.agg(F.greatest(*errors)).first()[0] or 0.0
         state = state.drop(*[f"off_{m}" for m in MARGINS])
-        if worst <= tolerance:
+        idle = 0 if worst < 0.99 * least else idle + 1
+        least = min(least, worst)
+        if worst <= tolerance or idle == 2:
             break
-    return state
+    return state.withColumn("error", F.lit(float(worst)))
 
 
 def calibrated(cells: DataFrame, keep: float) -> DataFrame:
@@ -109,7 +119,7 @@ def calibrated(cells: DataFrame, keep: float) -> DataFrame:
 
 def weighed(docs: DataFrame, keep: float = 0.5,
             wanted: Mapping[str, Mapping[str, float]] | None = None, **raking) -> DataFrame:
-    """``docs`` with ``__source, __lang, __topic, __tokens, __weight, __probability, __kept``.
+    """``docs`` with ``__source, __lang, __topic, __tokens, __weight, __probability, __error, __kept``.
 
     Tokens (words) are counted by source, language and topic, token weights are raked to the target
     share of every value of these margins, and a document is kept with the calibrated probability of
@@ -127,7 +137,7 @@ def weighed(docs: DataFrame, keep: float = 0.5,
         F.sum("__tokens").alias("tokens")), "cells")
     table = calibrated(rake(cells, wanted, **raking), keep).select(
         *[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("factor").alias("__weight"),
-        F.col("probability").alias("__probability"))
+        F.col("probability").alias("__probability"), F.col("error").alias("__error"))
     table = stored(table, "probabilities")
     on = [F.col(f"__{m}").eqNullSafe(F.col(f"__cell_{m}")) for m in MARGINS]
     drawn = uniform(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -142,9 +152,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixing_weights(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, weight, probability, kept`` of every document; see
-    ``weighed``."""
+    """``doc_id, source, lang, topic, n_tokens, weight, probability, kept, error`` of every document;
+    see ``weighed``. ``error`` is by how much a share misses its target at most."""
     names = {"__source": "source", "__lang": "lang", "__topic": "topic", "__tokens": "n_tokens",
-             "__weight": "weight", "__probability": "probability", "__kept": "kept"}
+             "__weight": "weight", "__probability": "probability", "__kept": "kept",
+             "__error": "error"}
     return weighed(docs, **options).select(
         F.col("doc_id").cast("long"), *[F.col(a).alias(b) for a, b in names.items()])

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -138,3 +139,18 @@ def test_embedded_elements_are_parsed(tag):
     assert texts(f"<p>a <{tag} class=x><b>in</b></{tag}> b</p><p>c</p>") == ["a in b", "c"]
     assert texts(f"<article><p>a <{tag}>in<p>b</p><p>c</p></article>d") == ["a in", "b", "c", "d"]
     assert texts(f"<{tag}><style>p{{}}</style><p>fallback</p></{tag}>") == ["fallback"]
+
+
+def test_hostile_pages_take_linear_time():
+    """Quotes that never close, and tags that never end, cost no more than their length."""
+    began = time.thread_time()
+    for page in ("<a \"" * 250_000, "<a '>'" * 150_000, "<a \"\"" * 150_000 + "\">\"",
+                 "<a " * 300_000 + "\">\"", "<!" * 400_000, "<script/>" * 100_000,
+                 "<div></p>" * 2000 + "</b>" * 100_000, "<a\"" * 300_000 + " >"):
+        htmltext.blocks(page)
+    assert time.thread_time() - began < 16
+    assert [b.text for b in htmltext.blocks("<p title=\"a > b\">one</p><p title='x>two</p>")] == [
+        "one", "two"]
+    assert [b.text for b in htmltext.blocks("<p>a < b, <3 and <b")] == ["a < b, <3 and <b"]
+    assert [b.text for b in htmltext.blocks("<!doctype html><?x y?><p a=b>c<!-- <p>d -->e")] == [
+        "ce"]

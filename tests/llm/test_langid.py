@@ -76,3 +76,12 @@ def test_edges(spark, learned):
     assert langid.identify(docs.limit(0), model).collect() == []
     unlearned = langid.language_id(docs).collect()
     assert {r.lang_pred for r in unlearned} == {"und"} and len(unlearned) == len(rows)
+
+
+def test_every_language_is_learned_or_refused(spark):
+    rows = [(i, f"l{i % 230}", f"wort{i % 230}a text{i % 230}b {chr(97 + i % 26) * 5}")
+            for i in range(230 * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert len(langid.learn(docs).languages) == 230
+    with pytest.raises(ValueError):
+        langid.learn(docs, max_languages=229)

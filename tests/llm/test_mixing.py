@@ -1,5 +1,10 @@
 """Raking against numpy, and the calibration of the probabilities."""
 
+import math
+import re
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +75,49 @@ def test_edges(spark):
     assert mixing.mix(docs).columns == docs.columns
     assert mixing.mixing_weights(docs.limit(0)).collect() == []
     assert len(mixing.mixing_weights(docs.where("doc_id < 3")).collect()) == 2
+
+
+def slow_topic(text):
+    """The most frequent bucket of the longer words, by Spark's own hash of each."""
+    return [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") if len(w) >= 6]
+
+
+def test_topics_rate_and_draw(spark, sf_dir):
+    """Topic, calibrated probability and draw of every document, worked out again in Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in mixing.mixing_weights(docs, keep=0.4).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = sorted({w for t in texts.values() for w in slow_topic(t)})
+    hashes = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(
+        "w", F.pmod(F.xxhash64("w"), F.lit(mixing.TOPICS)).alias("b")).collect()}
+    for i, text in texts.items():
+        seen = Counter(hashes[w] for w in slow_topic(text))
+        want = min(seen, key=lambda b: (-seen[b], b)) if seen else -1
+        assert rows[i].topic == want
+    total = sum(r.n_tokens for r in rows.values())
+    factors = {(r.source, r.lang, r.topic): r.weight for r in rows.values()}
+    low, high = 0.0, 1 / min(f for f in factors.values() if f > 0)
+    for _ in range(100):
+        rate = (low + high) / 2
+        reached = sum(r.n_tokens * min(1, rate * r.weight) for r in rows.values())
+        low, high = (low, rate) if reached >= 0.4 * total else (rate, high)
+    for r in rows.values():
+        assert r.probability == pytest.approx(min(1, high * r.weight), rel=1e-6)
+    drawn = spark.createDataFrame(list(texts.items()), "doc_id long, text string").select(
+        "doc_id", mixing.uniform(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("u"))
+    for r in drawn.collect():
+        assert rows[r.doc_id].kept == (r.u < rows[r.doc_id].probability)
+
+
+def test_targets_that_cannot_be_met_end_soon(spark):
+    """One source has one language alone, so no weights meet both wanted shares."""
+    cells = spark.createDataFrame([("a", "x", 0, 50), ("b", "y", 0, 50), ("b", "y", 1, 20)],
+                                  "source string, lang string, topic int, tokens long")
+    wanted = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.2, "y": 0.8}}
+    began = time.time()
+    got = mixing.rake(cells, wanted).collect()
+    assert time.time() - began < 60
+    assert all(r.error > 0.1 and math.isfinite(r.factor) for r in got)
+    fine = mixing.rake(cells, {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.3, "y": 0.7},
+                               "topic": {"0": 0.8, "1": 0.2}}).collect()
+    assert all(r.error <= 1e-6 for r in fine)

@@ -3,6 +3,7 @@
 import sys
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -44,3 +45,47 @@ def test_stages(spark, sf_dir, tmp_path):
         assert list(after[row.doc_id].ids) == ids and after[row.doc_id].n_tokens == len(ids)
     ran = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id: r for r in ran.collect()} == after
+
+
+def odd_tables(spark, path):
+    """Nulls in every column, an empty and a long text, repeated rows and ids, clashing names."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (1, "other text here", "de", None, 1),
+            (None, None, None, None, None), (None, text, "en", "b", 2), (2, "", "en", "a", 0),
+            (3, "wonderful word " * 40_000, "en", "a", 9), (4, "line one\n" * 30, None, "b", 3),
+            (5, text + "\n" + text, "en", "a", 7)]
+    rows += [(10 + i, f"a text of its own, number {i}", "en", "a", i) for i in range(13)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "fp", "topic", "factor", "h1", "w", "n_tokens"):
+        docs = docs.withColumn(name, F.lit(1))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(10, 1, 0), (11, 0, 1), (None, 1, 1), (12, None, None)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return rows
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    path = str(tmp_path / "odd")
+    rows = odd_tables(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        assert name == "bpe" or docs.columns == names
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert 0 < docs.count() <= len(rows)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/mixing").collect()}
+    for r in docs.collect():
+        assert list(r.ids) == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    path = str(tmp_path / "empty")
+    odd_tables(spark, str(tmp_path / "odd"))
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/odd/{name}.parquet").limit(0).write.parquet(
+            f"{path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, path).collect() == []
