@@ -218,8 +218,8 @@ def _null_ids(s, d):
 register(
     "dedupe_null_ids",
     lambda s, d: ops.dedupe_transactions(_null_ids(s, d), ("transaction_date", "description")),
-    f"""WITH {TX}, some AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 3 > 0
+    f"""WITH {TX}, marked AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 3 > 0
           AND CAST(id AS BIGINT) % 12 > 3 THEN id END AS id) FROM tx)
-        SELECT * FROM some QUALIFY row_number() OVER (PARTITION BY transaction_date, description
+        SELECT * FROM marked QUALIFY row_number() OVER (PARTITION BY transaction_date, description
           ORDER BY id NULLS LAST, account_id, amount, category NULLS FIRST) = 1""",
 )

@@ -47,17 +47,17 @@ register(
             / sum(w1 * w1) FILTER (i > 2)) / count(*) FILTER (i > 2) AS v11
           FROM lagged GROUP BY 1 HAVING count(*) >= 10),
         tried AS (
-          SELECT *, 0 AS at, v00 AS v, 4 AS k, mean AS a, CAST(0 AS DOUBLE) AS b FROM sums UNION ALL
+          SELECT *, 0 AS pick, v00 AS v, 4 AS k, mean AS a, CAST(0 AS DOUBLE) AS b FROM sums UNION ALL
           SELECT *, 1, v10, 6, a10, b10 FROM sums WHERE abs(b10) < 0.999 UNION ALL
           SELECT *, 2, v01, 2, 0, 0 FROM sums UNION ALL
           SELECT *, 3, v11, 4, 0, b11 FROM sums WHERE abs(b11) < 0.999),
         best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY category
-          ORDER BY m * (ln(2 * pi() * v) + 1) + k, at) = 1),
+          ORDER BY m * (ln(2 * pi() * v) + 1) + k, pick) = 1),
         ahead AS (SELECT *, CAST(unnest(range(1, {DAYS + 1})) AS INTEGER) AS h FROM best),
         points AS (SELECT category, CAST(last + h AS DATE) AS ds,
-          CASE WHEN at = 0 THEN a WHEN at = 1 THEN a / (1 - b) + pow(b, h) * (y0 - a / (1 - b))
+          CASE WHEN pick = 0 THEN a WHEN pick = 1 THEN a / (1 - b) + pow(b, h) * (y0 - a / (1 - b))
                ELSE y0 + w0 * b * (1 - pow(b, h)) / (1 - b) END AS amount,
-          {Z975} * sqrt(v * list_sum(list_transform(range(h), j -> CASE at
+          {Z975} * sqrt(v * list_sum(list_transform(range(h), lambda j: CASE pick
             WHEN 0 THEN CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END WHEN 1 THEN pow(b, 2 * j)
             ELSE pow((1 - pow(b, j + 1)) / (1 - b), 2) END))) AS reach FROM ahead)
         SELECT 'arima' AS forecaster, category, {_STEP} FROM points""",

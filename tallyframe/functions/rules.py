@@ -132,11 +132,13 @@ def with_rule_table(df: DataFrame, rules: DataFrame, column: str, out: str) -> D
     if not longest:
         return keyed.withColumn(out, F.lit(OTHER)).drop("_h1", "_h2")
     texts = df.where(F.col(column) != "").select(F.lower(column).alias("_text")).distinct()
-    places = F.sequence(F.lit(1), F.length("_text"))
-    windows = F.array_distinct(F.transform(places, lambda i: F.substring(
-        F.col("_text"), i, F.lit(longest))))
+    # A window is cut from the list of letters: finding a place in the text means counting up to it.
+    letters, places = F.split("_text", ""), F.sequence(F.lit(1), F.length("_text"))
+    windows = F.array_distinct(F.transform(places, lambda i: F.array_join(
+        F.slice(F.col("_letters"), i, F.lit(longest)), "")))
     spots = texts.select(F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit(1), "_text").alias("_h2"),
-                         F.explode(windows).alias("_window"))
+                         "_text", letters.alias("_letters")).select(
+        "_h1", "_h2", F.explode(windows).alias("_window"))
     grams = F.array(*[F.when(F.length("_window") >= n, F.substring("_window", 1, n))
                       for n in sorted(lengths)])
     spots = spots.withColumn("_gram", F.explode(F.array_compact(grams)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.least_squares import let
 from tallyframe.operators.tables import filter_transactions
 
 GRAM = 3
@@ -13,8 +14,13 @@ FIELDS = ("description", "category")
 
 def _grams(text: Column) -> Column:
     """The different runs of ``GRAM`` characters of a text; a shorter text has none."""
-    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
+    # From the list of letters: finding a place in the text itself means counting up to it.
+    def of(letters: Column) -> Column:
+        places = F.when(F.size(letters) >= GRAM, F.sequence(F.lit(0), F.size(letters) - GRAM))
+        return F.array_distinct(F.transform(places, lambda i: F.concat(
+            *[F.get(letters, i + n) for n in range(GRAM)])))
+
+    return let(F.split(text, ""), of)
 
 
 def _key(text: Column) -> list[Column]:

@@ -1,8 +1,10 @@
 """Stored tables: buckets, lists, conflicts, and what a cut-off job leaves."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.operators.cleaning import dedupe_transactions
 from tallyframe.sources import readers, store, writers
 from tallyframe.streaming.ingest import ingest_stream, ingest_upload
@@ -130,9 +132,6 @@ def test_dedupe_keeps_rows_without_ids(spark):
 
 
 def test_uploads(spark, tmp_path):
-    upload = tmp_path / "one.csv"
-    upload.write_text("Date,Details,Amount\n2024-01-02,UBER RIDE,-5.5\n2024-01-02,UBER RIDE,-5.5\n"
-                      "bad,RENT,-1\n")
     text = "DATE,TRANSACTION DETAILS, WITHDRAWAL AMT , DEPOSIT AMT \n2024-01-02,UBER RIDE,5.5,\n"
     drop = tmp_path / "drop"
     drop.mkdir()
@@ -147,3 +146,18 @@ def test_uploads(spark, tmp_path):
         ("2019-05-05", -7.0), ("2024-01-02", -5.5), ("2024-01-03", -5.5)]
     n, sample = ingest_upload(spark, str(drop / "a.csv"), str(tmp_path / "batch"))
     assert n == 3 and sample.columns == got.columns
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    kept = session.new_path(spark, "kept")
+    rows(spark, 2).write.parquet(kept)
+    with session.scratch(spark):
+        inner = session.new_path(spark, "inner")
+        rows(spark, 3).write.parquet(inner)
+        spark.read.parquet(inner).write.parquet(str(tmp_path / "out"))
+        assert spark.read.parquet(inner).count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert spark.read.parquet(kept).count() == 2
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(inner)
+    session.drop_path(spark, kept)
