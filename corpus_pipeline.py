@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, linededup, mixing, simhash, toxicity
-from tallyframe.session import new_path
+from tallyframe.session import drop_path, new_path, scratch
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -48,10 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each written as Parquet and read again by the next. What a stage
+    stores on its way is deleted when its result is written, and so is that when the next has read
+    it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
