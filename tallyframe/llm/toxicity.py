@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,42 +16,59 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold
 
-LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 BATCH = 64  # texts that share a matrix product
 BLOCK = 8  # examples of a block of the inverted lists
 DENSE = 0.03  # share of the examples from which a term's list is kept in full
-CACHED = 200_000  # chunks whose terms a task remembers; it only saves time
+PREFIXES = (4, 5)
+BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
 VERDICT = ("score double, predicted int, "
            "evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>")
 
 
-def terms(chunk: str) -> Iterator[str]:
-    """Terms of a run of non-blank characters: each word of letters, in lower case, and the first
-    four and five letters of longer ones, which stand for all its inflections."""
-    for word in LETTERS.findall(chunk.lower()):
-        yield word
-        yield from (f"{word[:n]}-" for n in (4, 5) if len(word) > n)
-
-
 Terms = tuple[np.ndarray, np.ndarray]  # sorted hashed terms of a text, and how often each occurs
 
 
 class Tokens:
-    """Hashed term counts of whole texts: every term falls into one of ``buckets``."""
+    """Hashed term counts of whole texts: every term falls into one of ``buckets``. Terms are the
+    words of letters, in lower case, and the first four and five letters of longer ones, which stand
+    for all their inflections.
+
+    The hash of a run of letters is the difference of two running sums of letters times powers of an
+    odd base, divided by the power at its start, so all runs of a text are hashed at once."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.known = buckets, {}
+        self.buckets = buckets
+        self.letters = np.array([chr(c).isalnum() and not chr(c).isdecimal()
+                                 for c in range(0x110000)])
+        self._powers(1 << 12)
+
+    def _powers(self, size: int) -> None:
+        ones = np.full((2, size), BASE, np.uint64)
+        ones[1] = pow(BASE, -1, 1 << 64)
+        ones[:, 0] = 1
+        self.power, self.inverse = np.cumprod(ones, axis=1, dtype=np.uint64)
 
     def __call__(self, text: str | None) -> Terms:
-        chunks = text.split() if text else []
-        if len(self.known) > CACHED:
-            self.known = {}
-        for chunk in set(chunks).difference(self.known):
-            self.known[chunk] = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % self.buckets
-                                 for t in terms(chunk)]
-        every = list(chain.from_iterable(map(self.known.__getitem__, chunks)))
-        return np.unique(np.array(every, np.int64), return_counts=True)
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = len(codes)
+        if size >= len(self.power):
+            self._powers(2 * size)
+        inside = np.zeros(size + 2, bool)
+        inside[1:-1] = self.letters[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(codes * self.power[:size], out=sums[1:])
+        found = [(sums[ends] - sums[starts]) * self.inverse[starts]]
+        for length in PREFIXES:
+            first = starts[ends - starts > length]
+            found.append((sums[first + length] - sums[first]) * self.inverse[first]
+                         + np.uint64(length))
+        mixed = np.concatenate(found)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        own = (mixed >> np.uint64(33)) % np.uint64(self.buckets)
+        return np.unique(own.astype(np.int64), return_counts=True)
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -142,8 +156,9 @@ class Lists:
         self.entry_start = np.append(begin, len(rest))
         self.entry_most = np.maximum.reduceat(self.weights, begin) if len(begin) else np.zeros(0)
         self.cuts = np.searchsorted(lists[begin], np.arange((~common).sum() + 1))
-        # Rounding of the matrix product, whose terms are at most 1 in all.
-        self.slack = 4 * (len(self.head) + 4) * 2.0 ** -24
+        # Rounding of the matrix product: its terms add up to 1 at most, and each is rounded once as
+        # it is made of two rounded numbers, and once for every sum that it goes into.
+        self.slack = (len(self.head) + 4) * 2.0 ** -24
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
