@@ -16,7 +16,11 @@ def _own(sql):
 
 
 _HABIT = "'" + ops.MESSAGES["financial_habit"] + "'"
-BY_ACCOUNT = f"""{LEDGER}, {sql_monthly('ledger', 'account_id, ')},
+# Means of a few amounts in cents often end in half a cent, which engines round either way; the scaled
+# amounts do not.
+SCALE = 1.01373
+BY_ACCOUNT = f"""{LEDGER}, scaled AS (SELECT * REPLACE (amount * CAST({SCALE} AS DOUBLE) AS amount)
+      FROM ledger), {sql_monthly('scaled', 'account_id, ')},
     aged AS (SELECT *, dense_rank() OVER (PARTITION BY account_id ORDER BY month DESC) <= 3 AS fresh
       FROM monthly),
     patterns AS (SELECT account_id, category, {_STATS.replace('month >= cutoff', 'fresh')}
@@ -24,7 +28,7 @@ BY_ACCOUNT = f"""{LEDGER}, {sql_monthly('ledger', 'account_id, ')},
     steps AS (SELECT account_id, description, amount, transaction_date,
       floor((epoch_us(transaction_date) - epoch_us(lag(transaction_date) OVER
         (PARTITION BY account_id, description ORDER BY transaction_date))) / 86400000000) AS gap
-      FROM ledger),
+      FROM scaled),
     charges AS (SELECT account_id, description, avg(-amount) FILTER (WHERE amount < 0) AS amount,
       avg(-amount) FILTER (WHERE amount < 0) * (365 / nullif(avg(gap), 0)) AS annual_cost
       FROM steps GROUP BY ALL
@@ -37,7 +41,7 @@ BY_ACCOUNT = f"""{LEDGER}, {sql_monthly('ledger', 'account_id, ')},
         SELECT account_id, -sum(amount) FILTER (WHERE amount < 0) AS e,
           sum(amount) FILTER (WHERE amount > 0) AS i, count(*) FILTER (WHERE amount < 0) AS ne,
           count(*) FILTER (WHERE amount > 0) AS ni
-        FROM ledger GROUP BY account_id, date_trunc('month', transaction_date)) AS m
+        FROM scaled GROUP BY account_id, date_trunc('month', transaction_date)) AS m
       GROUP BY 1) AS t),
     rules AS ({_own(HIGH)} UNION ALL {_own(SAVING)} UNION ALL {_own(RECURRING)}
       UNION ALL {_own(CASH)}),
@@ -53,15 +57,19 @@ BY_ACCOUNT = f"""{LEDGER}, {sql_monthly('ledger', 'account_id, ')},
 _COLS = "account_id, " + ", ".join(REC_COLS)
 
 
+def _scaled(s, d):
+    return ledger(s, d).withColumn("amount", F.col("amount") * SCALE)
+
+
 def _ranked(s, d, limit):
-    return ops.recommendations(ledger(s, d), limit=limit, keys=KEYS)
+    return ops.recommendations(_scaled(s, d), limit=limit, keys=KEYS)
 
 
 register("recommendations_by_account",
          lambda s, d: _ranked(s, d, 5).select("account_id", *REC_COLS),
          f"WITH {BY_ACCOUNT.format(limit=5)} SELECT {_COLS} FROM ranked", R_REC)
 register("all_recommendations_by_account",
-         lambda s, d: ops.all_recommendations(ledger(s, d), keys=KEYS).groupBy(
+         lambda s, d: ops.all_recommendations(_scaled(s, d), keys=KEYS).groupBy(
              "account_id", "type").agg(F.count("*").alias("n"), F.max("priority").alias("priority")),
          f"""WITH {BY_ACCOUNT.format(limit=5)} SELECT account_id, type, count(*) AS n,
              max(priority) AS priority FROM named GROUP BY ALL""")
@@ -143,8 +151,8 @@ register(
             AS recent_income,
           coalesce(-sum(amount) FILTER (amount < 0 AND transaction_date >= since), 0)
             AS recent_expenses, count(*) AS transaction_count,
-          floor((epoch_us(max(transaction_date)) - epoch_us(min(transaction_date)))
-            / 86400000000) AS days FROM txc JOIN last USING (account_id) GROUP BY 1),
+          CAST(floor((epoch_us(max(transaction_date)) - epoch_us(min(transaction_date)))
+            / 86400000000) AS BIGINT) AS days FROM txc JOIN last USING (account_id) GROUP BY 1),
         summary AS (SELECT *, total_income - total_expenses AS net_cashflow,
           recent_income - recent_expenses AS recent_net_cashflow,
           total_income / greatest(1, days // 30) AS monthly_income,
