@@ -49,7 +49,8 @@ def test_blocks_are_skipped():
     index = toxicity.build_index(rows, factor, block=8)
     for i in range(0, 2000, 50):
         query = rows[i][2]
-        assert index.nearest(query, 10) == pytest.approx(brute(index, query, 10))
+        got, want = index.nearest(query, 10), brute(index, query, 10)
+        assert [p for _, p in got] == [p for _, p in want]
     assert index.skipped > 5 * index.opened
 
 
