@@ -14,7 +14,6 @@ from tallyframe.llm.quality import words
 MARGINS = ("source", "lang", "topic")
 TOPICS = 8
 #: Exponent of the observed token share of a value, by margin: below 1 lifts small values.
-SWEEPS = 3  # of the raking that run in one job
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 
 
@@ -66,7 +65,7 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float]] | None = No
     ``error``, by how much the share of a value misses its target at most.
 
     Each step scales the weights of a margin's values to their targets; a sweep does so for all
-    margins, and ``SWEEPS`` of them run in one job. It ends when no share is off by more than
+    margins in one job. It ends when no share is off by more than
     ``tolerance``, after ``sweeps``, or when the error no longer falls: targets that no weights can
     meet stay off by that ``error``. Steps are sums and equi-joins of the table of cells, which is as
     large as the number of combinations that occur. Only the error reaches the driver.
@@ -75,28 +74,26 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float]] | None = No
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     state = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
     least, idle, worst = math.inf, 0, 0.0
-    for _ in range(-(-sweeps // SWEEPS) if total else 0):
-        for last in [False] * (SWEEPS - 1) + [True]:
-            errors = []
-            for margin, target in targets.items():
-                weight = F.sum(F.col("tokens") * F.col("factor"))
-                now = state.groupBy(margin).agg((weight / total).alias("now"))
-                off = now.join(target.withColumnRenamed(margin, "__m"), F.col(margin).eqNullSafe(
-                    F.col("__m"))).withColumn("ratio", F.when(
-                        F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0))
-                off = off.select(F.col("__m"), "ratio", F.abs(F.col("now") - F.col("target"))
-                                 .alias(f"off_{margin}"))
-                state = state.join(off, F.col(margin).eqNullSafe(F.col("__m"))).withColumn(
-                    "factor", F.col("factor") * F.col("ratio")).drop("__m", "ratio")
-                errors.append(F.max(f"off_{margin}"))
-            if not last:
-                state = state.drop(*[f"off_{m}" for m in MARGINS])
+    for _ in range(sweeps if total else 0):
+        errors = []
+        for margin, target in targets.items():
+            weight = F.sum(F.col("tokens") * F.col("factor"))
+            now = state.groupBy(margin).agg((weight / total).alias("now"))
+            off = now.join(target.withColumnRenamed(margin, "__m"), F.col(margin).eqNullSafe(
+                F.col("__m"))).withColumn("ratio", F.when(
+                    F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0))
+            off = off.select(F.col("__m"), "ratio", F.abs(F.col("now") - F.col("target"))
+                             .alias(f"off_{margin}"))
+            state = state.join(off, F.col(margin).eqNullSafe(F.col("__m"))).withColumn(
+                "factor", F.col("factor") * F.col("ratio")).drop("__m", "ratio")
+            errors.append(F.max(f"off_{margin}"))
+        # Each step reads the state twice, so one sweep is as much as a job can hold.
         state = stored(state, "cells")
         worst = state.agg(F.greatest(*errors)).first()[0] or 0.0
         state = state.drop(*[f"off_{m}" for m in MARGINS])
         idle = 0 if worst < 0.99 * least else idle + 1
         least = min(least, worst)
-        if worst <= tolerance or idle == 2:
+        if worst <= tolerance or idle == 4:
             break
     return state.withColumn("error", F.lit(float(worst)))
 

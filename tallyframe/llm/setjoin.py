@@ -185,7 +185,7 @@ def described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, th long, n long, name binary, parts array<long>")
 
 
-def rooted(edges: DataFrame, most: int = FEW_EDGES) -> DataFrame:
+def roots_of(edges: DataFrame, most: int = FEW_EDGES) -> DataFrame:
     """``components`` of stored edges ``a, b``. Up to ``most`` edges, a few megabytes, are joined by a
     single task in one job; more of them take the rounds of the distributed form. Both give every
     node the smallest one that it reaches."""
@@ -221,7 +221,7 @@ def gathered(classes: DataFrame) -> DataFrame:
     pairs = shared.where("n = 2").select("a", "b")
     stars = parts.join(shared.where("n > 2").select("part", "a"), "part").select(
         "a", F.col("c").alias("b"))
-    return rooted(stored(pairs.union(stars).where("a <> b").distinct(), "part-links"))
+    return roots_of(stored(pairs.union(stars).where("a <> b").distinct(), "part-links"))
 
 
 def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
@@ -287,7 +287,7 @@ def links(sets: DataFrame, percent: int, points: int = POINTS, shingles: int = S
         F.when(F.col("place").isNull(), F.array(home)).otherwise(everywhere)))
     inner = stored(_join(pieces, ["root", "piece"], percent), "inner-links")
     named = sets.join(large, "root").join(
-        rooted(inner).select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left"
+        roots_of(inner).select(F.col("node").alias("c"), F.col("root").alias("comp")), "c", "left"
     ).withColumn("label", F.coalesce("comp", "c")).drop("comp")
     named = stored(named, "large-sets")
     counts = named.groupBy("root", "label").agg(F.count("*").alias("m"))
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 90, **limi
     near = stored(gathered(parts), "gathered")
     members = classes.join(near.withColumnRenamed("node", "c"), "c").select("c", "root", "id", "th")
     sets = stored(member_sets(docs, members, shingle), "sets")
-    joined = rooted(stored(links(sets, percent, **limits), "links")).withColumnsRenamed(
+    joined = roots_of(stored(links(sets, percent, **limits), "links")).withColumnsRenamed(
         {"node": "c", "root": "comp"})
     rooted = classes.join(joined, "c", "left").select(
         "name", "best", F.coalesce("comp", "c").alias("comp"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import fold
 
 FOLDS = 5
-BATCH = 64  # texts that share a matrix product
+BATCH = 256  # texts that share a matrix product
 BLOCK = 8  # examples of a block of the inverted lists
 DENSE = 0.03  # share of the examples from which a term's list is kept in full
 PREFIXES = (4, 5)

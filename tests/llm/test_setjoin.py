@@ -98,7 +98,7 @@ def test_components_in_one_task_and_in_rounds(spark, most):
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
     pairs += [(i, i + 1) for i in range(1000, 1040)] + [(2000 + i, 2000) for i in range(1, 40)]
     edges = spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
-    got = {r.node: r.root for r in setjoin.rooted(edges, most).collect()}
+    got = {r.node: r.root for r in setjoin.roots_of(edges, most).collect()}
     want = {i: i for p in pairs if p[0] != p[1] for i in p}
     changed = True
     while changed:
@@ -108,7 +108,7 @@ def test_components_in_one_task_and_in_rounds(spark, most):
                 want[a] = want[b] = min(want[a], want[b])
                 changed = True
     assert got == want
-    assert setjoin.rooted(edges.limit(0), most).collect() == []
+    assert setjoin.roots_of(edges.limit(0), most).collect() == []
 
 
 def test_linked_sets_share_a_part():
