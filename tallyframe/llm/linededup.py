@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import let, stored
 from tallyframe.llm.quality import words
 
-SLICES = 1024
+ROWS = 250_000  # rows of a task that orders them
+TASKS = 50_000  # beyond so many tasks of ROWS rows, sorts spill
 DOC = ["doc_id", "th"]
 LINE = ["h1", "h2"]
 
@@ -33,15 +34,24 @@ def line_table(docs: DataFrame) -> DataFrame:
         "i", "x")).select(*DOC, "i", "x.*")
 
 
-def ranked(pairs: DataFrame, by: list[str], part: Column) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of ``rows`` rows at most, dealt by ``keys`` into tasks small enough to order their rows
+    in memory. Partitions are sized by rows here, as AQE would merge them by their compressed bytes."""
+    return df.repartition(min(max(1, -(-rows // ROWS)), TASKS), *keys)
+
+
+def ranked(pairs: DataFrame, by: list[str], part: Column,
+           rows: int | None = None) -> DataFrame:
     """``rank`` of distinct keys ``base, *by`` that occur ``n`` times: ``base`` plus the number of
-    occurrences of smaller keys with the same base.
+    occurrences of smaller keys with the same base. There are ``rows`` keys at most.
 
-    ``part`` is a number that grows with ``by``. It cuts a base into slices of bounded number, so a
-    base that holds a third of all keys is summed in many tasks: running sums inside each slice, and
-    running sums over the totals of the slices.
+    ``part`` is a number that grows with ``by``. It cuts a base into slices, so a base that holds a
+    third of all keys is summed in many tasks: running sums inside each slice, and running sums over
+    the totals of the slices.
     """
     cut = pairs.withColumn("part", part)
+    if rows is not None:
+        cut = dealt(cut, rows, "base", "part")
     inner = Window.partitionBy("base", "part").orderBy(*by).rowsBetween(
         Window.unboundedPreceding, -1)
     outer = Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +67,11 @@ def first_ranks(lines: DataFrame) -> tuple[DataFrame, int]:
     number of such lines. Lines that occur once end every repeated run, so they drop out here."""
     ids = lines.groupBy(*LINE).agg(F.count("*").alias("n")).where("n > 1")
     ids = stored(ids.withColumn("base", F.lit(0).cast("long")), "line-ids")
-    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranks = ranked(ids, LINE, F.shiftright("h1", 54)).select(*LINE, F.col("rank").alias("r"))
+    total, rows = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # Half of the bits of the total: so many slices as a slice has keys, about.
+    bits = total.bit_length() // 2 + 1
+    ranks = ranked(ids, LINE, F.shiftright("h1", 64 - bits), rows).select(
+        *LINE, F.col("rank").alias("r"))
     return lines.join(ranks, LINE).select(*DOC, "i", "r"), total
 
 
@@ -70,15 +83,17 @@ def doubled(ranks: DataFrame, span: int, total: int) -> DataFrame:
     row a task, and pairs that occur once are settled and drop out.
     """
     ahead = Window.partitionBy(*DOC).orderBy("i").rangeBetween(span, span)
-    both = stored(ranks.withColumn("r2", F.max("r").over(ahead)).where("r2 is not null")
-                  .withColumnRenamed("r", "base"), f"suffixes-{2 * span}")
+    both = dealt(ranks, total, *DOC).withColumn("r2", F.max("r").over(ahead))
+    both = stored(both.where("r2 is not null").withColumnRenamed("r", "base"),
+                  f"suffixes-{2 * span}")
     pairs = both.groupBy("base", "r2").agg(F.count("*").alias("n")).where("n > 1")
-    part = F.floor(F.col("r2") * SLICES / F.lit(max(total, 1)))
-    return both.join(ranked(pairs, ["r2"], part), ["base", "r2"]).select(
+    part = F.shiftright("r2", total.bit_length() // 2)
+    order = ranked(pairs, ["r2"], part, both.count() // 2)
+    return both.join(order, ["base", "r2"]).select(
         *DOC, "i", F.col("rank").alias("r"))
 
 
-def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
+def shortest_runs(lines: DataFrame, min_words: int, n_lines: int) -> DataFrame:
     """``doc_id, th, a, b``: for each line the shortest run of ``min_words`` words or more that
     starts with it, and the shortest one that ends with it; lines a to b - 1.
 
@@ -87,7 +102,7 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     ends one, and any other line lies in the one that starts with the run.
     """
     order = Window.partitionBy(*DOC).orderBy("i")
-    rows = lines.select(*DOC, "i", "w", F.sum("w").over(order).alias("upto")).withColumn(
+    rows = dealt(lines, n_lines, *DOC).select(*DOC, "i", "w", F.sum("w").over(order).alias("upto")).withColumn(
         "base", F.col("upto") - F.col("w"))
     whole = Window.partitionBy(*DOC)
     up, down = whole.orderBy("base"), whole.orderBy("upto")
@@ -125,7 +140,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     kept = lines.join(ranks.select(*DOC).distinct().withColumnsRenamed(
         {c: f"__{c}" for c in DOC}), F.col("doc_id").eqNullSafe(F.col("__doc_id"))
         & (F.col("th") == F.col("__th")), "left_semi")
-    runs = stored(shortest_runs(kept, min_words), "runs")
+    runs = stored(shortest_runs(kept, min_words, lines.count()), "runs")
     longest = runs.agg(F.coalesce(F.max(F.col("b") - F.col("a")), F.lit(0))).first()[0]
     named, span, size = None, 1, F.col("b") - F.col("a")
     while span <= longest:
@@ -143,6 +158,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     first = stored(named.groupBy("size", "x", "y").agg(F.count("*").alias("n"), F.min(
         F.struct(*DOC, "a")).alias("first")).where("n > 1").drop("n"), "firsts")
     later = named.join(first, ["size", "x", "y"]).where(F.struct(*DOC, "a") > F.col("first"))
+    later = dealt(later.select(*DOC, "a", "b"), named.count(), *DOC)
     # Merge the deleted runs of a document before they become lines.
     so_far = Window.partitionBy(*DOC).orderBy("a", "b")
     reach = F.max("b").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
