@@ -138,6 +138,14 @@ class Lists:
         listed, at = np.unique(own, return_inverse=True)
         held = np.bincount(at, minlength=len(listed))
         common = held > dense * n
+        # Terms of the examples numbered from the most common on, so that those which texts share
+        # lie together in memory; the last number stands for all other terms.
+        rank = np.empty(len(listed), np.int32)
+        rank[np.argsort(-held, kind="stable")] = np.arange(len(listed))
+        self.number = np.full(buckets, len(listed), np.int32)
+        self.number[listed] = rank
+        self.numbers = rank[at]
+        self.scratch = np.zeros(len(listed) + 1)
         self.head_row = np.full(buckets, -1, np.int32)
         self.head_row[listed[common]] = np.arange(common.sum())
         self.row = np.full(buckets, -1, np.int32)
@@ -208,6 +216,16 @@ class Index:
         value = (1 + np.log(times)) * self.factor[own]
         return own, value / math.sqrt(float((value * value).cumsum()[-1]))
 
+    def _products(self, own: np.ndarray, value: np.ndarray, places: np.ndarray) -> list[float]:
+        """Inner products of a text with the examples at ``places`` over all terms."""
+        numbers, text = self.lists.numbers, self.lists.scratch
+        at = self.lists.number[own]
+        text[at] = value
+        out = [float(text[numbers[a:b]] @ self.weights[a:b]) for a, b in zip(
+            self.ends[places].tolist(), self.ends[places + 1].tolist())]
+        text[at] = 0
+        return out
+
     def nearest(self, counts: Terms | Counter, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples of largest cosine as (cosine, place), ties to the smaller place."""
         return next(self.nearest_all([counts], k, [skip]))
@@ -220,7 +238,7 @@ class Index:
         bound what these can add, so blocks that cannot hold one of the ``k`` nearest are skipped, and
         their postings are not read. The few examples that are left at the top are compared with the
         text term by term."""
-        lists, n, scratch = self.lists, len(self.ids), np.zeros(len(self.factor))
+        lists, n = self.lists, len(self.ids)
         for start in range(0, len(texts), BATCH):
             vectors = [self.vector(c) for c in texts[start:start + BATCH]]
             query = np.zeros((len(vectors), len(lists.head)), np.float32)
@@ -248,16 +266,15 @@ class Index:
                 spots = _ranges(lists.entry_start[entries], sizes)
                 whole = sums + np.bincount(lists.places[spots], lists.weights[spots]
                                            * np.repeat(times, sizes), len(sums))
-                whole[~np.repeat(alive, lists.block)] = -1
-                whole[n:] = -1
                 if skip >= 0:
                     whole[skip] = -1
+                whole[n:] = -1
+                places = _ranges(np.flatnonzero(alive) * lists.block, np.full(
+                    int(alive.sum()), lists.block))
+                whole = whole[places]
                 edge = np.partition(whole, -k)[-k] if len(whole) > k else -1.0
-                some = np.flatnonzero((whole >= edge - 2 * lists.slack) & (whole >= 0))
-                scratch[own] = value
-                exact = [(float(scratch[self.terms[a:b]] @ self.weights[a:b]), p) for p, a, b in zip(
-                    some.tolist(), self.ends[some].tolist(), self.ends[some + 1].tolist())]
-                scratch[own] = 0
+                some = places[(whole >= edge - 2 * lists.slack) & (whole >= 0)]
+                exact = zip(self._products(own, value, some), some.tolist())
                 exact = sorted((-c, p) for c, p in exact if c > 0)[:k]
                 yield [(min(-c, 1.0), p) for c, p in exact]
 
