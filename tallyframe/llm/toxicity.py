@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import fold
@@ -232,15 +233,23 @@ class Index:
 
     def nearest_all(self, texts: list, k: int, skips: list[int] | None = None
                     ) -> Iterator[list[tuple[float, int]]]:
-        """``nearest`` of many texts; ``BATCH`` of them share a product with the matrix.
+        """``nearest`` of many texts."""
+        yield from self.nearest_vectors((self.vector(c) for c in texts), k, skips)
+
+    def nearest_vectors(self, queries: Iterable[tuple[np.ndarray, np.ndarray]], k: int,
+                        skips: list[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of unit vectors; ``BATCH`` of them share a product with the matrix.
 
         The product gives what the full lists add to each cosine. Block maxima of the other lists
         bound what these can add, so blocks that cannot hold one of the ``k`` nearest are skipped, and
         their postings are not read. The few examples that are left at the top are compared with the
         text term by term."""
         lists, n = self.lists, len(self.ids)
-        for start in range(0, len(texts), BATCH):
-            vectors = [self.vector(c) for c in texts[start:start + BATCH]]
+        queries = iter(queries)
+        for start in itertools.count(0, BATCH):
+            vectors = list(itertools.islice(queries, BATCH))
+            if not vectors:
+                return
             query = np.zeros((len(vectors), len(lists.head)), np.float32)
             for q, (own, value) in zip(query, vectors):
                 at = lists.head_row[own]
@@ -330,6 +339,25 @@ def calibrate(votes: Iterable[float], labels: Iterable[int], weights: Iterable[f
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
+def left_out_votes(spark: SparkSession, index: Index, k: int) -> list[float]:
+    """The vote of every example by its neighbours among the others. Tasks build the lists and search
+    them, so the driver gets a number for each example and never holds the lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(0).to_pylist()
+            own = ((index.terms[a:b], index.weights[a:b]) for a, b in (
+                index.ends[p:p + 2].tolist() for p in places))
+            votes = [index.vote(f) for f in index.nearest_vectors(own, k, places)]
+            yield pa.RecordBatch.from_pydict({"place": batch.column(0),
+                                              "vote": pa.array(votes, pa.float64())})
+
+    if not len(index.ids):
+        return []
+    places = spark.range(0, len(index.ids), 1, -(-len(index.ids) // (4 * BATCH)))
+    votes = places.mapInArrow(run, "place long, vote double").collect()
+    return [v for _, v in sorted(votes)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, buckets: int = 1 << 20,
         floor: float = 0.02, k: int = 15, block: int = BLOCK) -> Index:
     """Calibrated index. Labels come from a bounded sample of labelled rows; document frequencies
@@ -353,23 +381,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, buckets: int
         run, "doc_id long, toxic int, terms array<int>, counts array<int>").where(
         "size(terms) > 0").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     ids, toxic = (table[c].to_numpy() for c in ("doc_id", "toxic"))
-    lists = [table[c].combine_chunks() for c in ("terms", "counts")]
-    own, times = (x.flatten().to_numpy() for x in lists)
-    ends = np.append(0, np.cumsum(pc.list_value_length(lists[0]).to_numpy()))
+    sizes_of = pc.list_value_length(table["terms"]).to_numpy()
+    own, times = (np.concatenate([np.zeros(0, np.int32), *(
+        x.flatten().to_numpy() for x in table[c].chunks)]) for c in ("terms", "counts"))
+    del table
+    ends = np.append(0, np.cumsum(sizes_of))
     sizes = np.bincount(toxic, minlength=2).astype(float)
     df, total = document_counts(docs, buckets) if len(ids) else (np.zeros(buckets), 0)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    telling = association(own, np.repeat(toxic, np.diff(ends)), sizes, buckets)
-    index = index_of(ids, toxic, ends, own, times, idf * (floor + telling), block)
+    factor = association(own, np.repeat(toxic.astype(np.int8), sizes_of), sizes, buckets) + floor
+    factor *= np.log((1 + total) / (1 + df)) + 1
+    index = index_of(ids, toxic, ends, own, times, factor, block)
+    del df, own, times
     # The classes are sampled apart, so their real sizes weigh the curve and the prior.
     real = dict(labels.where("toxic in (0, 1)").where(fold("doc_id", FOLDS) != 0)
                 .groupBy("toxic").count().collect())
     index.prior = real.get(1, 0) / (sum(real.values()) + 1)
-    votes = map(index.vote, index.nearest_all(
-        [(own[a:b], times[a:b]) for a, b in zip(ends[:-1], ends[1:])], k, list(range(len(ids)))))
     share = [real.get(y, 0) / max(sizes[y], 1) for y in (0, 1)]
-    index.slope, index.shift = calibrate(votes, toxic, [share[y] for y in toxic.tolist()])
-    index.skipped = index.opened = 0
+    index.slope, index.shift = calibrate(left_out_votes(docs.sparkSession, index, k), toxic,
+                                         [share[y] for y in toxic.tolist()])
     return index
 
 
