@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.functions import rules as rule_tables
 from tallyframe.functions.rules import DEFAULT, with_rule_table
 from tallyframe.operators import categorize, search, tables
 from tallyframe.operators import categories as cats
@@ -54,6 +55,40 @@ def test_a_hundred_thousand_rules(spark):
         f"c{i * 211 % 9}" if i * 211 < 100_000 else "other") for i in range(500)}
 
 
+def test_keywords_across_pieces(spark):
+    long = "x" * 70 + "é\n𝄞" + "y" * 70
+    rows = [(1, "long", [long]), (2, "note", ["𝄞 b"]), (2, "aa", ["a\nb"]), (3, "short", ["z"]), (4, "q", None)]
+    texts = ["p" * k + t for k in (0, 1, 62, 63, 64, 65, 127, 300)
+             for t in (long.upper(), "𝄞 B", "A\nb", "z", "𝄞", "xxxxx")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, description string")
+    table = rules(spark, rows)
+    got = {r.id: r.c for r in with_rule_table(df, table, "description", "c").collect()}
+    assert got == {i: slow_rules(t, [(s, c, w or []) for s, c, w in rows])
+                   for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rules_that_begin_alike_are_joined_by_whole_keywords(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(rule_tables, "SMALL", 0)
+    many = spark.range(3000).select(
+        F.col("id").alias("seq"), F.concat(F.lit("c"), F.col("id") % 9).alias("category"),
+        F.array(F.format_string("customer#%06d", "id")).alias("keywords"))
+    df = spark.range(3000).select("id", F.format_string("BY CUSTOMER#%06d", "id").alias("description"))
+    out = with_rule_table(df, many, "description", "c")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.id: r.c for r in out.collect()} == {i: f"c{i % 9}" for i in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    plan = out._jdf.queryExecution().explainString(mode)
+    assert "Join [_word" in plan and "Join [_gram" not in plan
+    # Rules of a checked size go to the texts; windows of texts then travel nowhere.
+    assert ("BroadcastHashJoin [_word" in plan) == small
+
+
 @pytest.mark.parametrize("query", ["gas", "GAS st", "o", "aa", "tat", "ré", "nothing here", ""])
 def test_search_by_index_equals_the_scan(spark, tmp_path, query):
     rng = random.Random(query)
