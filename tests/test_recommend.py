@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.operators import recommend as ops
 from tallyframe.operators import reports
 from tallyframe.operators.aggregates import category_stats, monthly_summary, transaction_stats
@@ -244,3 +245,32 @@ def test_monthly_summary_nesting(year):
     row = monthly_summary(year, k=1).orderBy("month").first()
     assert row.month == "2022-01" and len(row.top_categories) == 1
     assert row.top_categories[0].category == "housing" and row.top_categories[0]["count"] == 1
+
+
+def test_tasks_are_sized_by_rows(spark, monkeypatch):
+    rows = [(str(i), f"a{i % 5}", f"2024-{i % 4 + 1:02d}-{i % 7 + 1:02d}", f"shop {i % 9}",
+             float(-10 - i % 3), "food" if i % 2 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, account_id string, day string, description string, "
+                               "amount double, category string")
+    df = df.withColumn("transaction_date", F.to_timestamp("day")).drop("day")
+    keys = ("account_id",)
+    jobs = {
+        "charges": lambda: ops.recurring_charges(df, max_variance=9.0),
+        "charges by key": lambda: ops.recurring_charges(df, max_variance=9.0, keys=keys),
+        "patterns by key": lambda: ops.spending_patterns(df, keys=keys),
+        "cashflow by key": lambda: ops.cashflow(df, keys, df.count()),
+        "all by key": lambda: ops.all_recommendations(df, keys=keys),
+    }
+
+    def rounded(df):
+        return sorted(str([round(v, 6) if isinstance(v, float) else v for v in r])
+                      for r in df.collect())
+
+    want = {name: rounded(job()) for name, job in jobs.items()}
+    monkeypatch.setattr(session, "ROWS", 10)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    for name, job in jobs.items():
+        got = job()
+        assert rounded(got) == want[name], name
+        if name != "all by key":
+            assert ", 12), REPARTITION_BY_NUM" in got._jdf.queryExecution().explainString(mode), name
