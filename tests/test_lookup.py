@@ -120,6 +120,38 @@ def test_search_reads_lists_and_not_all_texts(spark, tmp_path):
     assert "In(gram" in plan.replace("IN(", "In(") and "LeftSemi" in plan
 
 
+def test_grams_of_odd_texts(spark):
+    texts = ["", "ab", "abc", "a\nb\r\n c", "𝄞𝄞é𝄞 x𝄞", "aaaaa", None, "\u2028ab\x00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h1 int, text string")
+    got = sorted(map(tuple, search.search_grams(df).collect()))
+    assert got == sorted((g, i) for i, t in enumerate(texts) if t
+                         for g in {t[k:k + 3] for k in range(len(t) - 2)})
+
+
+def test_gram_lists_are_made_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "LETTERS", 2000)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(gram):
+        made.add(1)
+        return gram
+
+    plain = search.search_grams
+    monkeypatch.setattr(search, "search_grams", lambda t: plain(t).withColumn("gram", seen("gram")))
+    df = spark.range(300).select(F.concat(F.lit("abcde "), F.md5(F.col("id").cast("string"))).alias(
+        "description"))
+    path = str(tmp_path / "index")
+    search.write_search_index(df, path, fields=("description",), files=2)
+    lists = spark.read.parquet(f"{path}/grams")
+    assert made.value == lists.count() == lists.select("gram", "h1").distinct().count()
+    parts = lists.select(F.input_file_name().alias("f"), "gram").distinct().groupBy("gram").count()
+    # More parts than asked for, and the list of a gram that all texts have is dealt over several.
+    assert 2 < lists.select(F.input_file_name()).distinct().count() <= 6
+    assert parts.filter("gram = 'abc'").first()["count"] > 1
+    assert search.find_texts(spark, path, "CDE").count() == 300
+
+
 def test_deep_trees_take_few_rounds(spark, monkeypatch):
     rows = [(f"n{i}", None, None, None, f"n{i - 1}" if i else None) for i in range(1000)]
     rounds = []
