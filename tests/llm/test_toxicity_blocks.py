@@ -54,6 +54,21 @@ def test_blocks_are_skipped():
     assert index.skipped > 5 * index.opened
 
 
+def test_sparse_lists_are_read_at_once():
+    """Without subjects a block holds one posting of a list: there are no bounds to read before."""
+    rng = random.Random(3)
+    factor = np.array([rng.uniform(0.5, 4) for _ in range(40_000)])
+    rows = [(i, i % 2, Counter(rng.randrange(39_000) for _ in range(40))
+             + Counter(39_000 + rng.randrange(50) for _ in range(10))) for i in range(2000)]
+    index = toxicity.build_index(rows, factor, block=8)
+    assert not index.lists.bounded and not hasattr(index.lists, "entry_most")
+    assert len(index.lists.places) == int((index.lists.row[index.terms] >= 0).sum()) > 70_000
+    for i in range(0, 2000, 50):
+        got, want = index.nearest(rows[i][2], 10, skip=i), brute(index, rows[i][2], 11)
+        assert [p for _, p in got] == [p for _, p in want if p != i][:10]
+    assert not index.skipped
+
+
 def test_empty_index():
     index = toxicity.build_index([], np.ones(10))
     assert index.nearest(Counter({3: 1}), 5) == [] and index.nearest(Counter(), 5) == []
