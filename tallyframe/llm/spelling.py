@@ -108,6 +108,15 @@ def keys(word: str, dictionary: dict[str, int]) -> tuple[list[str], list[str]]:
             names([choice[1]], head) + names([choice[2]], tail))
 
 
+def parity(word: str) -> int:
+    """Which code points a word has an odd number of times, folded into 31 bits: one edit changes two
+    of them at most."""
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 31
+    return bits
+
+
 def near_words(words: DataFrame, share: float = 0.002) -> DataFrame:
     """``word, n, other, other_n`` for all ordered pairs of the distinct ``words`` (``word, n``) that
     differ by exactly one inserted, deleted or replaced code point. Words have ``SHORTEST`` code
@@ -119,23 +128,27 @@ def near_words(words: DataFrame, share: float = 0.002) -> DataFrame:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
                 rows, hashes, probes = [], [], []
-                for row, word in enumerate(part.column(0).to_pylist()):
+                texts = part.column(0).to_pylist()
+                for row, word in enumerate(texts):
                     listed, merged = keys(word, dictionary)
                     for own, probe in ((listed, False), (merged, True)):
                         rows += [row] * len(own)
                         hashes += [xxhash.xxh64_intdigest(k) - (1 << 63) for k in own]
                         probes += [probe] * len(own)
-                found = part.take(pa.array(rows, pa.int32()))
+                at = pa.array(rows, pa.int32())
+                odd = pa.array(map(parity, texts), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*found.columns, pa.array(hashes, pa.int64()), pa.array(probes, pa.bool_())],
-                    names=["word", "n", "key", "probe"])
+                    [*part.take(at).columns, odd.take(at), pa.array(hashes, pa.int64()),
+                     pa.array(probes, pa.bool_())],
+                    names=["word", "n", "odd", "key", "probe"])
 
     rows = stored(words.select("word", "n").mapInArrow(
-        run, "word string, n long, key long, probe boolean"), "gram-lists")
+        run, "word string, n long, odd int, key long, probe boolean"), "gram-lists")
     lists = rows.where("not probe").select("key", F.col("word").alias("other"),
-                                           F.col("n").alias("other_n"))
+                                           F.col("n").alias("other_n"), F.col("odd").alias("other_odd"))
+    # Most words of a list differ in more letters than one edit explains, which the parities tell.
     found = rows.where("probe").join(lists, "key").where(
-        "levenshtein(word, other, 1) = 1")
+        "bit_count(odd ^ other_odd) <= 2 and levenshtein(word, other, 1) = 1")
     return found.select("word", "n", "other", "other_n").distinct()
 
 

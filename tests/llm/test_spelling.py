@@ -123,3 +123,24 @@ def test_edges(spark):
     assert spelling.spelling_variants(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         spelling.spelling_groups(spark.createDataFrame([("short", 3)], "word string, n long"))
+
+
+def test_parity_passes_every_edit(spark):
+    """One edit changes two bits at most, and the join asks for that before it compares letters."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzàéößÿÉ"
+    for _ in range(3000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(7, 20)))
+        at = rng.randrange(len(word))
+        for edited in (word[:at] + word[at + 1:], word[:at] + rng.choice(letters) + word[at:],
+                       word[:at] + rng.choice(letters) + word[at + 1:]):
+            assert 0 <= spelling.parity(edited) < 1 << 31
+            assert bin(spelling.parity(word) ^ spelling.parity(edited)).count("1") <= 2
+    words = spark.createDataFrame([("letters", 5), ("lettérs", 3), ("setters", 2), ("strings", 1)],
+                                  "word string, n long")
+    near = spelling.near_words(words)
+    assert {(r.word, r.other) for r in near.collect()} == {
+        ("letters", "lettérs"), ("lettérs", "letters"), ("letters", "setters"), ("setters", "letters")}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    plan = near._jdf.queryExecution().explainString(mode)
+    assert 0 < plan.index("bit_count") < plan.index("levenshtein")
