@@ -7,6 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -186,17 +187,17 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Unit vectors of the examples over all their terms: the terms and weights of example ``i`` lie
-    between ``ends[i]`` and ``ends[i + 1]``. ``factor`` weighs every term, also those of no example.
-    The inverted lists are built where they are used first, so what travels is the vectors alone.
-    ``skipped`` and ``opened`` count blocks."""
+    """Unit vectors of the examples over all their terms: the terms and counts (``times``) of example
+    ``i`` lie between ``ends[i]`` and ``ends[i + 1]``. ``factor`` weighs every term, also those of no
+    example. Weights and inverted lists are made where they are used first, so what travels is the
+    terms and small counts. ``skipped`` and ``opened`` count blocks."""
 
     ids: np.ndarray
     toxic: np.ndarray
     factor: np.ndarray
     ends: np.ndarray
     terms: np.ndarray
-    weights: np.ndarray
+    times: np.ndarray
     block: int
     dense: float
     slope: float = 1.0
@@ -206,7 +207,17 @@ class Index:
     opened: int = 0
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_lists"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "_lists")}
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        out = np.log(self.times.astype(float))
+        out += 1
+        out *= self.factor[self.terms]
+        if len(self.ids):
+            norms = np.sqrt(np.add.reduceat(out * out, self.ends[:-1]))
+            out /= np.repeat(norms, np.diff(self.ends))
+        return out
 
     @property
     def lists(self) -> Lists:
@@ -215,6 +226,12 @@ class Index:
                                 self.dense)
         return self._lists
 
+    def release(self) -> None:
+        """Drops what was made from the vectors. A worker runs one task after the other, and would
+        hold the lists of the last one while it makes the next."""
+        self.__dict__.pop("weights", None)
+        self.__dict__.pop("_lists", None)
+
     def vector(self, counts: Terms | Counter) -> tuple[np.ndarray, np.ndarray]:
         if isinstance(counts, Counter):
             own = np.array(sorted(counts), np.int64)
@@ -328,13 +345,8 @@ def build_index(rows: list[tuple[int, int, Counter]], factor: np.ndarray, block:
 def index_of(ids: np.ndarray, toxic: np.ndarray, ends: np.ndarray, own: np.ndarray,
              times: np.ndarray, factor: np.ndarray, block: int = BLOCK, dense: float = DENSE) -> Index:
     """The index of examples whose terms and counts lie between ``ends``, none of them empty."""
-    weights = np.log(times) if len(own) else np.zeros(0)
-    if len(ids):  # in place: the driver holds few copies of all terms
-        weights += 1
-        weights *= factor[own]
-        norms = np.sqrt(np.add.reduceat(weights * weights, ends[:-1]))
-        weights /= np.repeat(norms, np.diff(ends))
-    return Index(ids, toxic, factor, ends, own.astype(np.int32), weights, block, dense)
+    small = np.min_scalar_type(int(times.max())) if len(times) else np.uint8
+    return Index(ids, toxic, factor, ends, own.astype(np.int32), times.astype(small), block, dense)
 
 
 def calibrate(votes: Iterable[float], labels: Iterable[int], weights: Iterable[float]
@@ -364,6 +376,7 @@ def left_out_votes(spark: SparkSession, index: Index, k: int) -> list[float]:
             votes = [index.vote(f) for f in index.nearest_vectors(own, k, places)]
             yield pa.RecordBatch.from_pydict({"place": batch.column(0),
                                               "vote": pa.array(votes, pa.float64())})
+        index.release()
 
     if not len(index.ids):
         return []
@@ -438,6 +451,7 @@ def verdict(text: Column, index: Index, k: int = 15) -> Column:
                 [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nearest)],
                 names=["score", "predicted", "evidence"])
+        index.release()
 
     return run(text.cast("string"))
 
