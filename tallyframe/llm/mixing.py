@@ -64,38 +64,35 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float]] | None = No
     """``cells`` (the margins and their ``tokens``) with ``factor``, the raked weight of a token, and
     ``error``, by how much the share of a value misses its target at most.
 
-    Each step scales the weights of a margin's values to their targets; a sweep does so for all
-    margins in one job. It ends when no share is off by more than
-    ``tolerance``, after ``sweeps``, or when the error no longer falls: targets that no weights can
-    meet stay off by that ``error``. Steps are sums and equi-joins of the table of cells, which is as
-    large as the number of combinations that occur. Only the error reaches the driver.
+    Each step scales the weights of a margin's values to their targets: one aggregate, joined back,
+    and stored, so that the plan of a step stays as small as that. A sweep does so for all margins. It
+    ends when no share is off by more than ``tolerance``, after ``sweeps``, or when the error no longer
+    falls: targets that no weights can meet stay off by that ``error``. The table of cells is as large
+    as the number of combinations that occur. Only the error reaches the driver.
     """
-    targets = {m: _targets(cells, m, (wanted or {}).get(m)) for m in MARGINS}
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    state = stored(cells.withColumn("factor", F.lit(1.0)), "cells")
+    state = cells.withColumn("factor", F.lit(1.0))
+    for margin in MARGINS:
+        target = _targets(cells, margin, (wanted or {}).get(margin)).withColumnsRenamed(
+            {margin: "__m", "target": f"target_{margin}"})
+        state = state.join(target, F.col(margin).eqNullSafe(F.col("__m"))).drop("__m")
+    state = stored(state, "cells")
     least, idle, worst = math.inf, 0, 0.0
     for _ in range(sweeps if total else 0):
-        errors = []
-        for margin, target in targets.items():
+        for margin in MARGINS:
             weight = F.sum(F.col("tokens") * F.col("factor"))
-            now = state.groupBy(margin).agg((weight / total).alias("now"))
-            off = now.join(target.withColumnRenamed(margin, "__m"), F.col(margin).eqNullSafe(
-                F.col("__m"))).withColumn("ratio", F.when(
-                    F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0))
-            off = off.select(F.col("__m"), "ratio", F.abs(F.col("now") - F.col("target"))
-                             .alias(f"off_{margin}"))
-            state = state.join(off, F.col(margin).eqNullSafe(F.col("__m"))).withColumn(
-                "factor", F.col("factor") * F.col("ratio")).drop("__m", "ratio")
-            errors.append(F.max(f"off_{margin}"))
-        # Each step reads the state twice, so one sweep is as much as a job can hold.
-        state = stored(state, "cells")
-        worst = state.agg(F.greatest(*errors)).first()[0] or 0.0
-        state = state.drop(*[f"off_{m}" for m in MARGINS])
+            now = state.groupBy(F.col(margin).alias("__m")).agg((weight / total).alias("__now"))
+            now_is, wanted_is = F.col("__now"), F.col(f"target_{margin}")
+            ratio = F.when(now_is > 0, wanted_is / now_is).otherwise(1.0)
+            state = stored(state.join(now, F.col(margin).eqNullSafe(F.col("__m"))).withColumns({
+                "factor": F.col("factor") * ratio, f"off_{margin}": F.abs(now_is - wanted_is),
+            }).drop("__m", "__now"), "cells")
+        worst = state.agg(F.greatest(*[F.max(f"off_{m}") for m in MARGINS])).first()[0] or 0.0
         idle = 0 if worst < 0.99 * least else idle + 1
         least = min(least, worst)
         if worst <= tolerance or idle == 2:
             break
-    return state.withColumn("error", F.lit(float(worst)))
+    return state.select(*cells.columns, "factor", F.lit(float(worst)).alias("error"))
 
 
 def calibrated(cells: DataFrame, keep: float) -> DataFrame:

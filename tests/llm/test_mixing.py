@@ -121,3 +121,22 @@ def test_targets_that_cannot_be_met_end_soon(spark):
     fine = mixing.rake(cells, {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.3, "y": 0.7},
                                "topic": {"0": 0.8, "1": 0.2}}).collect()
     assert all(r.error <= 1e-6 for r in fine)
+
+
+def test_a_step_plans_one_aggregate_and_one_join(spark, monkeypatch):
+    """What a job of the raking plans does not grow with the steps before it."""
+    seen = []
+
+    def spied(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if name == "cells":
+            seen.append((plan.count("Aggregate "), plan.count("Join ")))
+        return stored(df, name)
+
+    stored = mixing.stored
+    monkeypatch.setattr(mixing, "stored", spied)
+    cells = spark.createDataFrame([("a", "x", 0, 50), ("b", None, 0, 50), ("b", "y", 1, 20)],
+                                  "source string, lang string, topic int, tokens long")
+    got = mixing.rake(cells)
+    assert got.columns == [*cells.columns, "factor", "error"] and got.count() == 3
+    assert len(seen) > 3 and seen[0] == (0, 3) and set(seen[1:]) == {(1, 1)}
