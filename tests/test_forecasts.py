@@ -106,6 +106,15 @@ def test_trend_seasonal_repeats_the_week(spark):
     np.testing.assert_allclose(values, [100 * w for w in week], rtol=0.1)
 
 
+def test_trend_seasonal_does_not_depend_on_the_days_ahead(spark):
+    """The trend of a falling series meets zero only in the far future."""
+    falling = series(spark, [(100 - i) * (1.5 if i % 7 == 0 else 1.0) for i in range(70)])
+    near, far = (ops.forecast_trend_seasonal(falling, days).orderBy("ds").limit(7).collect()
+                 for days in (7, 90))
+    assert [r.ds for r in near] == [r.ds for r in far]
+    np.testing.assert_allclose([r.amount for r in near], [r.amount for r in far], rtol=1e-9)
+
+
 def test_trend_seasonal_regressor(spark):
     rng = random.Random(8)
     sale = [float(rng.random() < 0.4) for _ in range(200)]
