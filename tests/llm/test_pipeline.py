@@ -82,6 +82,18 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert list(r.ids) == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
 
 
+def test_pipeline_tokenizes_each_row_of_a_repeated_id(spark, tmp_path):
+    """Rows that share an id but not a text each keep their own tokens."""
+    path = str(tmp_path / "odd")
+    odd_tables(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted((str(r.doc_id), library.encode(r.text or "", add_special_tokens=False).ids)
+                  for r in docs.collect())
+    got = dict(corpus_pipeline.STAGES)["bpe"](spark, docs, path).collect()
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     path = str(tmp_path / "empty")
     odd_tables(spark, str(tmp_path / "odd"))
