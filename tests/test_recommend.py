@@ -276,18 +276,24 @@ def test_tasks_are_sized_by_rows(spark, monkeypatch):
             assert ", 12), REPARTITION_BY_NUM" in got._jdf.queryExecution().explainString(mode), name
 
 
-def test_sums_are_dealt_by_rows_not_by_the_session(spark, monkeypatch):
+def test_sums_and_lists_are_dealt_by_rows_not_by_the_session(spark, monkeypatch):
     rows = [(f"2024-{i % 4 + 1:02d}-{i % 7 + 1:02d}", f"a{i % 9}", f"shop {i % 9}", float(-10 - i % 3),
              "food") for i in range(120)]
     df = spark.createDataFrame(rows, "day string, account_id string, description string, "
                                "amount double, category string")
     df = df.withColumn("transaction_date", F.to_timestamp("day")).drop("day")
+    keys = ("account_id",)
     monkeypatch.setattr(session, "ROWS", 10)
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    ranked = ops.recommendations(df, keys=keys)
     jobs = {
         "charges": ops.recurring_charges(df),
+        "ranked": ranked,
+        "top": ops.top_recommendations(ranked, 2, keys),
+        "report": ops.recommendation_report(ranked, keys=keys),
     }
     for name, got in jobs.items():
         plan = got._jdf.queryExecution().explainString(mode)
         assert plan.count("REPARTITION_BY_NUM") == 2, name
         assert "ENSURE_REQUIREMENTS" not in plan, name
+    assert jobs["report"].count() == 9
