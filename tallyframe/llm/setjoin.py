@@ -20,6 +20,8 @@ GROWTH = 1.25  # of the sizes that share a number of parts
 SLICE_BYTES = 16 << 20
 NO_ID = -(1 << 63)
 FEW_EDGES = 1_000_000  # that one task may join
+LIGHT = 3  # shingles that a part needs to be told by its content
+TURNS = 4  # hashes by which a set is dealt into parts until enough of them are heavy
 POINTS, SHINGLES = 2000, 2_000_000  # of one side of a task's join
 
 
@@ -63,19 +65,36 @@ def part_names(hashes: np.ndarray, percent: int) -> np.ndarray:
 
     Two sets of sizes a <= b that link differ in at most (a + b)(100 - p) / (100 + p) shingles, so
     when shingles are dealt into more parts than that, one part at least is the same in both. The
-    number of parts follows from the level of the larger set; a set is dealt out once for each level
-    that a partner of its size or more can have.
+    number of parts follows from the level of the larger set; a set is dealt out for each level that a
+    partner of its size or more can have.
+
+    Sets without much in common share parts that are empty or hold a common shingle or two, and ever
+    more of them do in a larger table. So a part of fewer than ``LIGHT`` shingles has no name, unless
+    it may be all that a link has: sets that agree in no heavy part differ in all the heavy parts of
+    either, so neither has more of those than linked sets can differ in. A set with so few is dealt
+    anew by another hash, as its partner then is too, and names all its parts in the last turn.
     """
     size, out = len(hashes), []
     if size and percent < 100:
         reach = size * 100 // percent
         ends = level_ends(percent, reach)
+        light = max(min((100 + percent) // (6 * (100 - percent)), LIGHT), 1)  # a third of a mean part
+        last = TURNS - 1 if light > 1 else 0
         for level in range(max(bisect_left(ends, size), 1), bisect_left(ends, reach) + 1):
             parts = 2 * ends[level] * (100 - percent) // (100 + percent) + 1
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, (hashes % np.uint64(parts)).astype(np.int64), hashes)
-            place = np.arange(parts, dtype=np.uint64) + np.uint64(level << 40)
-            out.append(_mixed(sums + _mixed(place)))
+            most = (size + min(reach, ends[level])) * (100 - percent) // (100 + percent)
+            for turn in range(last + 1):
+                dealt = _mixed(hashes + np.uint64(turn)) if turn else hashes
+                at = (dealt % np.uint64(parts)).astype(np.int64)
+                sums = np.zeros(parts, np.uint64)
+                np.add.at(sums, at, hashes)
+                place = np.arange(parts, dtype=np.uint64) + np.uint64((turn << 56) + (level << 40))
+                names = _mixed(sums + _mixed(place))
+                heavy = np.bincount(at, minlength=parts) >= light
+                few = np.count_nonzero(heavy) <= most
+                out.append(names if few and turn == last else names[heavy])
+                if not few:
+                    break
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 

@@ -125,6 +125,34 @@ def test_linked_sets_share_a_part():
             assert set(setjoin.part_names(own, percent)) & set(setjoin.part_names(other, percent))
 
 
+@pytest.mark.parametrize("turns", [1, 2, 4])
+def test_linked_sets_share_a_part_when_few_parts_hold_their_shingles(monkeypatch, turns):
+    monkeypatch.setattr(setjoin, "TURNS", turns)
+    rng = np.random.default_rng(turns)
+    for _ in range(400):
+        size = int(rng.choice([10, 11, 12, 16, 20, 25, 31, 38]))
+        crowded = rng.integers(0, 2**40, 2 * size, dtype=np.uint64) * np.uint64(2520)
+        other = rng.permutation(crowded[:size])
+        edits = int(rng.integers(0, (size + 18) // 19 + 1))
+        other[:edits] = crowded[size:size + edits]
+        if 100 * (size - edits) >= 90 * (size + edits):
+            assert set(setjoin.part_names(crowded[:size], 90)) & set(setjoin.part_names(other, 90))
+
+
+def test_unrelated_sets_share_hardly_a_part():
+    """Not in empty parts, nor in parts that hold a common shingle or two alone."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    holders = {}
+    for i in range(4000):
+        size = int(rng.integers(100, 500))
+        own = np.concatenate([common, rng.integers(0, 2**63, size, dtype=np.uint64)])
+        for name in set(setjoin.part_names(own, 90).tolist()):
+            holders.setdefault(name, set()).add(i)
+    gathered = set().union(*(x for x in holders.values() if len(x) > 1))
+    assert len(gathered) < 40
+
+
 def test_trees_prune_and_lose_nothing():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.poisson(lam, (150, setjoin.GROUPS)) for lam in (1, 2, 5)])
